@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -69,7 +70,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             continue
         at = batch.schema.get_field_index(column)
         texts = batch.column(at)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         lo = 0
         while lo < batch.num_rows:

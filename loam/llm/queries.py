@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from loam.llm.pieces import op3_sentencepiece_codec
 from loam.llm.sharding import op4_jump_hash_shards
+from loam.llm.tokenfiles import op5_rans_token_files
 
 QUERIES = {
+    "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op4_jump_hash_shards": op4_jump_hash_shards,
+    "op5_rans_token_files": op5_rans_token_files,
 }
 
 #: Each of these operators has a crc32, a hash join of its own, a tokenizer or a trained model, which DuckDB cannot
