@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from loam.llm.ngram_join import op2_ngram_jaccard_join
 from loam.llm.pieces import op3_sentencepiece_codec
 from loam.llm.sharding import op4_jump_hash_shards
 from loam.llm.tokenfiles import op5_rans_token_files
 
 QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op4_jump_hash_shards": op4_jump_hash_shards,
     "op5_rans_token_files": op5_rans_token_files,
