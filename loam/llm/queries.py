@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from loam.llm.line_crf import op6_crf_line_rules
 from loam.llm.ngram_join import op2_ngram_jaccard_join
 from loam.llm.pieces import op3_sentencepiece_codec
+from loam.llm.quality_fm import op1_quality_fm
+from loam.llm.secrets import op7_guess_cost_secrets
 from loam.llm.sharding import op4_jump_hash_shards
 from loam.llm.tokenfiles import op5_rans_token_files
+from loam.llm.urls import op9_url_redirect_filter
 
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op4_jump_hash_shards": op4_jump_hash_shards,
     "op5_rans_token_files": op5_rans_token_files,
+    "op6_crf_line_rules": op6_crf_line_rules,
+    "op7_guess_cost_secrets": op7_guess_cost_secrets,
+    "op9_url_redirect_filter": op9_url_redirect_filter,
 }
 
 #: Each of these operators has a crc32, a hash join of its own, a tokenizer or a trained model, which DuckDB cannot
