@@ -219,6 +219,22 @@ def _repeat_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _judged(texts: pa.Array, chain: Chain, content_share: float) -> tuple[list[np.ndarray], np.ndarray, Lines]:
+    """Columns from n_words to content_share, the label of each line, and the lines."""
+    raw, at = text_bytes(texts)
+    words = words_of(texts, fold=False)
+    n = np.diff(words[3])
+    counts = class_counts(raw, at, ("word_char", "symbol"))
+    lines = lines_of(texts, words)
+    label = chain.decode(lines)
+    own = np.concatenate(([0], np.cumsum(lines.words * (label == CONTENT))))
+    share = (own[lines.bounds[1:]] - own[lines.bounds[:-1]]) / np.maximum(n, 1)
+    dup = np.concatenate(([0], np.cumsum(lines.again)))
+    repeat = _repeat_words(words[0], words[3])
+    failed = (n < 50) | (100 * repeat > 50 * n)
+    return [n, counts["word_char"], counts["symbol"], dup[lines.bounds[1:]] - dup[lines.bounds[:-1]], repeat, failed, ~failed & (share >= content_share), share], label, lines
+
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
@@ -233,19 +249,7 @@ def judge(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            texts = block.column("text")
-            raw, at = text_bytes(texts)
-            words = words_of(texts, fold=False)
-            n = np.diff(words[3])
-            counts = class_counts(raw, at, ("word_char", "symbol"))
-            lines = lines_of(texts, words)
-            label = chain.decode(lines)
-            own = np.concatenate(([0], np.cumsum(lines.words * (label == CONTENT))))
-            share = (own[lines.bounds[1:]] - own[lines.bounds[:-1]]) / np.maximum(n, 1)
-            dup = np.concatenate(([0], np.cumsum(lines.again)))
-            repeat = _repeat_words(words[0], words[3])
-            failed = (n < 50) | (100 * repeat > 50 * n)
-            cols = [n, counts["word_char"], counts["symbol"], dup[lines.bounds[1:]] - dup[lines.bounds[:-1]], repeat, failed, ~failed & (share >= content_share), share]
+            cols, label, lines = _judged(block.column("text"), chain, content_share)
             out = [block.column("doc_id"), *(pa.array(np.asarray(c)) for c in cols)]
             names = [f.split()[0] for f in SCHEMA.split(", ")]
             if with_lines:
@@ -255,6 +259,17 @@ def judge(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE, w
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + ", lines array<tinyint>" * with_lines)
 
 
+def keep_content(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows of docs that are kept, with all their columns, whatever those are."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            yield block.filter(pa.array(_judged(block.column("text"), chain, content_share)[0][6]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_crf_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loam.llm.common import bounded_batches, table, text_blocks
@@ -143,6 +144,21 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return _inputs(docs, held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of docs that the machine predicts to be good, with all their columns, whatever those are."""
+    bounded_batches(docs.sparkSession)
+    with_size = "n_chars" in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            texts = block.column("text")
+            size = pc.cast(block.column("n_chars"), pa.int64()) if with_size else pa.nulls(block.num_rows, pa.int64())
+            size = pc.fill_null(pc.coalesce(size, pc.cast(pc.utf8_length(texts), pa.int64())), 0)
+            yield block.filter(pa.array(machine.score(*features(texts, np.asarray(size))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from loam.llm.knn import op10_voronoi_knn
 from loam.llm.line_crf import op6_crf_line_rules
 from loam.llm.ngram_join import op2_ngram_jaccard_join
+from loam.llm.packing import op8_length_bucket_packing
 from loam.llm.pieces import op3_sentencepiece_codec
 from loam.llm.quality_fm import op1_quality_fm
 from loam.llm.secrets import op7_guess_cost_secrets
@@ -19,7 +21,9 @@ QUERIES = {
     "op5_rans_token_files": op5_rans_token_files,
     "op6_crf_line_rules": op6_crf_line_rules,
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
+    "op8_length_bucket_packing": op8_length_bucket_packing,
     "op9_url_redirect_filter": op9_url_redirect_filter,
+    "op10_voronoi_knn": op10_voronoi_knn,
 }
 
 #: Each of these operators has a crc32, a hash join of its own, a tokenizer or a trained model, which DuckDB cannot
