@@ -62,6 +62,16 @@ def drop_table(df: DataFrame) -> None:
 
 # ---------------------------------------------------------------- batches of text
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; Spark's own default is 64 MiB for each side and task.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES, so that long texts don't add up; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices of about `limit` text bytes (a longer text makes a slice of its own)."""

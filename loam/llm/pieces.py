@@ -15,7 +15,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loam.llm.common import table, text_blocks, tokenizer_path
+from loam.llm.common import bounded_batches, table, text_blocks, tokenizer_path
 
 #: The whitespace marker; a plain space becomes one.
 MARK = "▁"
@@ -98,6 +98,7 @@ def round_trip(docs: DataFrame, model: str, digests: bool = False, key: str = "d
             cols += [pa.array([_sha(x[k]) if digests else x[k] for x in out], pa.string()) for k in (0, 2)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, DIGESTS if digests else SCHEMA)
 
 

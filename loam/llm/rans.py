@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 
 #: Coders a block, ids of one checkpoint interval, bits of the frequency scale, and the least state of a coder.
-LANES, INTERVAL, BITS, LOW = 32, 32768, 20, 1 << 31
+LANES, INTERVAL, BITS, LOW = 16, 8192, 20, 1 << 31
 MAGIC = 0x314E4152
 
 

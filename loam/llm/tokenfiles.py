@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loam.llm.bytebpe import ByteTable
-from loam.llm.common import drop_table, materialize, shared_dir, table, text_blocks, tokenizer_path
+from loam.llm.bytebpe import ByteEncoder
+from loam.llm.common import bounded_batches, drop_table, materialize, shared_dir, table, text_blocks, tokenizer_path
 from loam.llm.rans import Coder, scale_frequencies
 
 #: Ids of a block; a longer document has a block of its own.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 
 RAW = "part int, block int, before long, doc_ids array<long>, lengths array<long>, ids binary, counts array<long>"
 CODED = "part int, block int, start long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -35,7 +35,7 @@ def _raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) ->
         part = TaskContext.get().partitionId()
         encoder, block, before, n = None, 0, 0, 0
         keys, lengths, parts = [], [], []
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.list_(pa.int64()))])
         counts = None
 
@@ -44,22 +44,22 @@ def _raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) ->
 
         for cut in text_blocks(batches):
             if encoder is None:
-                encoder = ByteTable(tokenizer)
-                counts = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+                encoder = ByteEncoder(tokenizer)
+                counts = np.zeros(max(encoder.size, end_id + 1), np.int64)
             for key, text in zip(cut.column("doc_id").to_pylist(), cut.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                size = len(ids) // 4
+                ids = encoder.encode(text or "")
+                size = len(ids) + 1
                 if n and n + size > block_ids:
-                    flat = np.frombuffer(b"".join(parts), "<u4")
+                    flat = np.concatenate(parts)
                     counts += np.bincount(flat, minlength=len(counts))
                     yield row(flat.astype("<u2" if len(counts) <= 65536 else "<u4").tobytes(), None)
                     block, before, n, keys, lengths, parts = block + 1, before + n, 0, [], [], []
                 keys.append(key)
                 lengths.append(size)
-                parts.append(ids)
+                parts += [ids, end]
                 n += size
         if n:
-            flat = np.frombuffer(b"".join(parts), "<u4")
+            flat = np.concatenate(parts)
             counts += np.bincount(flat, minlength=len(counts))
             yield row(flat.astype("<u2" if len(counts) <= 65536 else "<u4").tobytes(), None)
             block, before, keys, lengths = block + 1, before + n, [], []
@@ -77,6 +77,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     texts, null keys come first; an empty table gives files without blocks. Other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     raw = materialize(_raw_blocks(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer, end_id, block_ids), "ids")
     tally = raw.where("counts is not null").select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
     counts = tally.toPandas().sort_values("id")["n"].to_numpy(np.int64)  # a row for each id of the vocabulary
@@ -108,6 +109,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     Blocks are decoded by themselves and checked against their checksums; ids_crc32 is over the ids as little-endian
     unsigned 32-bit integers.
     """
+    bounded_batches(spark)
     rows = spark.read.parquet(f"{path}/frequencies").orderBy("id").toPandas()  # a row for each id of the vocabulary
     freq = rows["freq"].to_numpy(np.int64)
 
