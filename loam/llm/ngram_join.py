@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loam.llm.common import drop_table, materialize, table, text_blocks
+from loam.llm.common import bounded_batches, drop_table, materialize, table, text_blocks
 from loam.llm.components import components
 from loam.llm.shingles import mix, shingle_sets
 
@@ -34,6 +34,8 @@ from loam.llm.shingles import mix, shingle_sets
 FILL, BEGIN = (3, 4), (128, 16)
 #: Sets on an index entry beyond which it counts as heavy; index entries of a bucket; sets of a verification block.
 HEAVY, BUCKET_ROWS, BLOCK = 32, 1_000_000, 1024
+#: Buckets of the clusters of sets without a guarantee, at least.
+CLUSTER_BUCKETS = 24
 #: Candidate sets up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds their texts.
 BROADCAST_IDS = 500_000
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -160,7 +162,7 @@ def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets
 
 
 def _meet(blobs: DataFrame, heavy: int, num: int, den: int) -> DataFrame:
-    """kind 0: two sets that share `n` light entries of the bucket; kind 1: a set on a heavy entry."""
+    """kind 0: two sets that share `n` light entries of the bucket; kind 1: a set on `n` of its heavy entries."""
     reach = int(np.ceil(np.log(den / num) / np.log(1.01))) + 1
 
     def run(t: pa.Table) -> pa.Table:
@@ -199,9 +201,9 @@ def _meet(blobs: DataFrame, heavy: int, num: int, den: int) -> DataFrame:
         fresh = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
         count = np.diff(np.append(fresh, len(a)))
         a, b = a[fresh], b[fresh]
-        dear = np.repeat(many > heavy, many)
-        kinds = np.concatenate((np.zeros(len(a), np.int32), np.ones(int(dear.sum()), np.int32)))
-        cols = [kinds, np.concatenate((a, entry[dear])).view(np.int64), np.concatenate((b, node[dear])).view(np.int64), np.concatenate((count, np.ones(int(dear.sum()), np.int64)))]
+        dear, times = np.unique(node[np.repeat(many > heavy, many)], return_counts=True)
+        kinds = np.repeat(np.array([0, 1], np.int32), (len(a), len(dear)))
+        cols = [kinds, np.concatenate((a, dear)).view(np.int64), np.concatenate((b, dear)).view(np.int64), np.concatenate((count, times))]
         return pa.table([pa.array(c) for c in cols], names=["kind", "x", "y", "n"])
 
     return blobs.groupBy("bucket").applyInArrow(run, "kind int, x long, y long, n long")
@@ -227,6 +229,52 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> DataFrame:
+    """rep, cluster: connected components of sets that share an index entry, whatever its weight.
+
+    Entries travel packed, and a bucket joins its sets by itself first, so that it gives one edge a set at most.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries, reps = [], []
+            for rep, s in zip(batch.column("rep").to_pylist(), batch.column("shingles"), strict=True):
+                own = np.concatenate(index_entries(np.frombuffer(s.as_buffer(), np.uint64), num, den, seed)[0])
+                entries.append(own)
+                reps.append(np.full(len(own), rep, np.int64))
+            entry, rep = np.concatenate(entries), np.concatenate(reps)
+            bucket = (entry % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            blobs = [entry[order[a:b]].tobytes() + rep[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def join(t: pa.Table) -> pa.Table:
+        raw = [b.as_buffer() for b in t.column("blob")]
+        entry = np.concatenate([np.frombuffer(b, np.uint64, b.size // 16) for b in raw])
+        rep = np.concatenate([np.frombuffer(b, np.int64, b.size // 16, b.size // 2) for b in raw])
+        order = np.lexsort((rep, entry))
+        entry, rep = entry[order], rep[order]
+        first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.zeros(0, np.int64)
+        hub = np.repeat(rep[first], np.diff(np.append(first, len(rep))))
+        edges = np.unique(np.stack((rep, hub), 1)[rep != hub], axis=0)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for x, y in edges.tolist():
+            x, y = top(x), top(y)
+            root[max(x, y)] = min(x, y)
+        pairs = [(x, top(x)) for x in root]
+        return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    return components(sets.select("rep", "shingles").mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(join, "a long, b long"))
+
+
 def _links_of_block(rows: list[tuple[int, bytes, bool]], others: list[tuple[int, bytes, bool]], num: int, den: int) -> list[tuple[int, int]]:
     """All similar pairs between two lists of sets, by products of their incidence matrices over shared shingles."""
     sets = [np.frombuffer(x[1], np.uint64) for x in rows + others]
@@ -286,6 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     each other. Repeated rows have the same set and are linked. Rows with a null key take part; a component of only
     such rows has a null id. An empty table gives none. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     for seed in range(8):
         nodes = materialize(_nodes(docs, width, num, den, seed), "nodes")
@@ -299,8 +348,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     buckets = max(64, -(-int(0.6 * told["n"]) // BUCKET_ROWS))
     met = materialize(_meet(_buckets(docs, width, num, den, seed, buckets), heavy, num, den), "met")
     spare.append(met)
-    heavy_rows = met.where("kind = 1").select(F.col("x").alias("entry"), F.col("y").alias("node"))
-    dear = heavy_rows.groupBy("node").agg(F.count(F.lit(1)).alias("dear"))
+    dear = met.where("kind = 1").groupBy(F.col("x").alias("node")).agg(F.sum("n").alias("dear"))
     info = materialize(classes.join(dear, "node", "left").select("node", "rep", "n", "level", "strength", F.coalesce("dear", F.lit(0)).alias("dear")), "info")
     spare.append(info)
 
@@ -316,21 +364,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     light = light.where(f"least(an, bn) * {den} >= greatest(an, bn) * {num}").where(f"shared >= {shared('a', most)} and shared >= {shared('b', most)}")
     light = light.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b"))
 
-    # Sets that heavy entries leave without a guarantee: clusters of those that share one.
-    bare = info.where("dear > 0").where(f"{shared('', f'n * {den - num} div {num}')} < 1").select("node", "rep")
-    on_heavy = materialize(heavy_rows.join(bare, "node").select("entry", "rep"), "heavy")
-    spare.append(on_heavy)
-    clustered = None
-    if on_heavy.limit(1).count():
-        hubs = on_heavy.groupBy("entry").agg(F.min("rep").alias("hub"))
-        clustered = components(on_heavy.join(hubs, "entry").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        spare.append(clustered)
-        clustered = clustered.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-        light = light.unionByName(clustered.where("rep <> cluster").select(F.col("cluster").alias("a"), F.col("rep").alias("b")))
     pairs = materialize(light.distinct(), "pairs")
-    spare.append(pairs)
+    # Sets that heavy entries leave without a guarantee.
+    bare = materialize(info.where("dear > 0").where(f"{shared('', f'n * {den - num} div {num}')} < 1").select("rep", "n"), "bare")
+    spare += [pairs, bare]
 
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(bare.select("rep")).distinct()
     wanted = materialize(wanted.where(F.col("rep") < NO_ID), "wanted")
     spare.append(wanted)
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -348,6 +387,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     # A doc_id that stands on several texts brings other sets along; the node tells whose set it is.
     sets = materialize(own.join(info.select("node", "rep"), "node").groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
     spare.append(sets)
+    bulk = bare.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    clustered = None
+    if bulk:
+        clustered = _clusters(sets.join(bare.select("rep"), "rep", "left_semi"), num, den, seed, max(CLUSTER_BUCKETS, -(-int(0.6 * bulk) // BUCKET_ROWS)))
+        spare.append(clustered)
+        clustered = clustered.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        pairs = pairs.unionByName(clustered.where("rep <> cluster").select(F.col("cluster").alias("a"), F.col("rep").alias("b"))).distinct()
     links = materialize(_verify(pairs, sets, num, den), "links")
     spare.append(links)
     found = components(links)
