@@ -414,5 +414,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NO_ID, F.col("component"))).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs with all their columns, but of each component only the row of the smallest doc_id.
+
+    Of several rows with that doc_id one stays. Rows without a doc_id can't be told apart by it and all stay.
+    """
+    found = near_duplicates(docs, **how)
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    again = found.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().where("count > 1")
+    if again.limit(1).count():
+        bare = out.where("doc_id is null")
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        out = out.where("doc_id is not null").withColumn("_nth", first).where("_nth = 1").drop("_nth").unionByName(bare)
+    return out
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
