@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 
 #: Coders a block, ids of one checkpoint interval, bits of the frequency scale, and the least state of a coder.
-LANES, INTERVAL, BITS, LOW = 16, 8192, 20, 1 << 31
+LANES, INTERVAL, BITS, LOW = 16, 4096, 20, 1 << 31
 MAGIC = 0x314E4152
 
 
@@ -63,14 +63,21 @@ class Coder:
         grid, used = grid.reshape(points, per, LANES), used.reshape(points, per, LANES)
         state = np.full((points, LANES), LOW, np.uint64)
         words, put = np.zeros((points, per, LANES), np.uint32), np.zeros((points, per, LANES), bool)
+        low, shift = np.uint64(0xFFFFFFFF), np.uint64(32)
+        whole = bool(used.all())
+        symbol = np.ascontiguousarray(grid.transpose(1, 0, 2))
+        freq, start, top = self.freq, self.start, self.top
         for t in range(min(per, rows) - 1, -1, -1):
-            s, on = grid[:, t], used[:, t]
-            f = np.where(on, self.freq[s], np.uint64(1))
-            out = on & (state >= np.where(on, self.top[s], np.uint64(1)))
-            words[:, t], put[:, t] = state & np.uint64(0xFFFFFFFF), out
-            state = np.where(out, state >> np.uint64(32), state)
-            q, r = state // f, state % f
-            state = np.where(on, (q << self.bits) + r + self.start[s], state)
+            s = symbol[t]
+            f = freq[s]
+            out = state >= top[s]
+            if not whole:
+                out &= used[:, t]
+            words[:, t], put[:, t] = state & low, out
+            before = np.where(out, state >> shift, state)
+            q = before // f if whole else before // np.maximum(f, np.uint64(1))
+            after = (q << self.bits) + (before - q * f) + start[s]
+            state = after if whole else np.where(used[:, t], after, before)
         stream = words[put]
         first = np.concatenate(([0], np.cumsum(put.reshape(points, -1).sum(1))[:-1])).astype("<u4")
         head = np.array([MAGIC, n, len(stream), zlib.crc32(np.asarray(ids).astype("<u4").tobytes()), points, INTERVAL], "<u4")
@@ -88,16 +95,21 @@ class Coder:
         out = np.zeros((points, per, LANES), np.uint32)
         left = n - np.arange(points) * interval
         mask, lane = np.uint64((1 << int(self.bits)) - 1), np.arange(LANES)
+        low, shift, whole = np.uint64(LOW), np.uint64(32), n == points * interval
         for t in range(min(per, rows)):
-            on = (t * LANES + lane)[None, :] < left[:, None]
             slot = state & mask
             s = self.slots[slot.astype(np.int64)]
             out[:, t] = s
-            state = np.where(on, self.freq[s] * (state >> self.bits) + slot - self.start[s], state)
-            need = on & (state < np.uint64(LOW))
-            at = first[:, None] + np.cumsum(need, 1) - 1
-            state = np.where(need, (state << np.uint64(32)) | stream[np.where(need, at, size)], state)
-            first += need.sum(1)
+            after = self.freq[s] * (state >> self.bits) + slot - self.start[s]
+            need = after < low
+            if not whole:
+                on = (t * LANES + lane)[None, :] < left[:, None]
+                after = np.where(on, after, state)
+                need &= on
+            ahead = np.cumsum(need, 1)
+            word = stream[np.where(need, first[:, None] + ahead - 1, size)]
+            state = np.where(need, (after << shift) | word, after)
+            first += ahead[:, -1]
         ids = out.reshape(-1)[:n]
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError("checksum of a block differs")

@@ -21,6 +21,8 @@ from loam.llm.rans import Coder, scale_frequencies
 
 #: Ids of a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 19
+#: Partitions whose counts are summed in one task at once.
+TALLY = 64
 
 RAW = "part int, block int, before long, doc_ids array<long>, lengths array<long>, ids binary, counts array<long>"
 CODED = "part int, block int, start long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -70,6 +72,20 @@ def _raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) ->
     return docs.repartitionByRange(F.col("doc_id"), apart).sortWithinPartitions("doc_id", apart).mapInArrow(run, RAW)
 
 
+def _tally(raw: DataFrame) -> np.ndarray:
+    """How often each id occurs: the partitions' counts are summed TALLY at a time, then id by id."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.asarray(c.values) for c in t.column("counts")) if t.num_rows else np.zeros(0, np.int64)
+        return pa.table([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["counts"])
+
+    each = raw.where("counts is not null").select("part", "counts")
+    groups = max(1, -(-each.count() // TALLY))
+    sums = each.groupBy(F.pmod("part", F.lit(groups)).alias("group")).applyInArrow(add, "counts array<long>")
+    total = sums.select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+    return total.toPandas().sort_values("id")["n"].to_numpy(np.int64)  # a row for each id of the vocabulary
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = BLOCK_IDS, key: str = "doc_id", text: str = "text") -> None:
     """Encodes every whole text, adds the end id, and writes all ids in ascending key order.
 
@@ -79,8 +95,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = docs.sparkSession
     bounded_batches(spark)
     raw = materialize(_raw_blocks(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer, end_id, block_ids), "ids")
-    tally = raw.where("counts is not null").select(F.posexplode("counts").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
-    counts = tally.toPandas().sort_values("id")["n"].to_numpy(np.int64)  # a row for each id of the vocabulary
+    counts = _tally(raw)
     freq = scale_frequencies(counts)
     wide = len(freq) > 65536
     spark.createDataFrame(pa.table({"id": pa.array(range(len(freq)), pa.int32()), "freq": pa.array(freq, pa.int64())})).coalesce(1).write.parquet(f"{path}/frequencies")
