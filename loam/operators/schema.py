@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from loam.functions.js import in_order, last_wins
 
@@ -58,7 +58,7 @@ def number_interfaces(content: str | None) -> str | None:
     return _DECLARED.sub(one, content)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def numbered(content: pd.Series) -> pd.Series:
     """The only text rule with a running count, which column functions can't keep."""
     return content.map(number_interfaces, na_action="ignore")
@@ -122,7 +122,7 @@ def property_schema(kind: str, doc: str | None, names: set[str] | None = None) -
     return out | ({"description": doc} if doc else {})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _member_json(kind: pd.Series, doc: pd.Series) -> pd.Series:
     import json
 
