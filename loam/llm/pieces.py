@@ -26,14 +26,15 @@ TABLE_CHARS = 16_000_000
 
 
 class ChunkTable:
-    """Distinct marked words of one task: a word's ids, as text, number and decoded text."""
+    """Distinct marked words of one task: the ids of each, and its decoded text where that is not the word itself."""
 
     def __init__(self, model: str, table_chars: int = TABLE_CHARS):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.apart = self._apart()
         self.mark_id, self.end_id = self.sp.piece_to_id(MARK), self.sp.eos_id()
         self.limit, self.chars = table_chars, 0
-        self.rows: dict[str, tuple[str, int, str]] = {}
+        self.rows: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def _apart(self) -> bool:
         """Whether words can be segmented apart: the library keeps all characters, and no piece crosses into a marker."""
@@ -41,37 +42,42 @@ class ChunkTable:
         pieces = map(self.sp.id_to_piece, range(self.sp.get_piece_size()))
         return self.sp.decode(self.sp.encode(probe)) == probe and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
 
-    def ids_of(self, word: str) -> list[int]:
-        """Ids of a marked word. The library puts a marker ahead of what it gets, so the word's own first one goes."""
-        return self.sp.encode(word[1:]) if len(word) > 1 else [self.mark_id]
-
-    def row(self, word: str) -> tuple[str, int, str]:
-        ids = self.ids_of(word)
-        # The marker that decode() drops at the start of a text stands for a space anywhere else.
-        return " ".join(map(str, ids)), len(ids), " " + self.sp.decode(ids) if ids else ""
+    def segment(self, words: list[str]) -> None:
+        """Adds marked words to the table. The library puts a marker ahead of what it gets, so a word's own first one
+        goes; the marker that it drops when it decodes stands for a space anywhere but at the start of a text."""
+        ids = self.sp.encode([w[1:] for w in words], num_threads=1)
+        ids = [i if len(w) > 1 else [self.mark_id] for w, i in zip(words, ids, strict=True)]
+        self.rows.update(zip(words, [" ".join(map(str, i)) for i in ids], strict=True))
+        said = self.sp.decode(ids, num_threads=1)
+        self.odd.update((w, f" {d}") for w, d in zip(words, said, strict=True) if d != w[1:].replace(MARK, " "))
 
     def words(self, text: str) -> list[str]:
         return _WORDS.findall(f" {text}") if text else []
 
     def fill(self, words: list[str]) -> None:
-        new = set(words).difference(self.rows)
-        self.chars += sum(map(len, new))
-        for word in new:
-            self.rows[word] = self.row(word)
+        if new := list(set(words).difference(self.rows)):
+            self.chars += sum(map(len, new))
+            self.segment(new)
 
-    def encode(self, text: str) -> tuple[str, int, str]:
-        """Ids with the end id as text, their number, and the text that they decode to."""
+    def encode_block(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """For each text its ids with the end id as text, their number, and the text that they decode to."""
         if not self.apart:
-            ids = [*self.sp.encode(text), self.end_id]
-            return " ".join(map(str, ids)), len(ids), self.sp.decode(ids)
-        words = self.words(text)
-        self.fill(words)
-        rows = [self.rows[w] for w in words]
-        out = " ".join([*(r[0] for r in rows), str(self.end_id)]), sum(r[1] for r in rows) + 1, "".join([r[2] for r in rows])[1:]
+            ids = [self.sp.encode(t) + [self.end_id] for t in texts]
+            return [(" ".join(map(str, i)), len(i), self.sp.decode(i)) for i in ids]
+        words = [self.words(t) for t in texts]
+        self.fill([w for own in words for w in own])
+        rows, odd, out, end = self.rows, self.odd, [], str(self.end_id)
+        for text, own in zip(texts, words, strict=True):
+            ids = " ".join([*map(rows.__getitem__, own), end])
+            said = text.replace(MARK, " ") if not odd or odd.keys().isdisjoint(own) else "".join(odd.get(w) or w.replace(MARK, " ") for w in own)[1:]
+            out.append((ids, ids.count(" ") + 1, said))
         if self.chars > self.limit:
-            self.rows, self.chars = {}, 0
+            self.rows, self.odd, self.chars = {}, {}, 0
         return out
 
+    def encode(self, text: str) -> tuple[str, int, str]:
+        return self.encode_block([text])[0]
+
 
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -93,7 +99,7 @@ def round_trip(docs: DataFrame, model: str, digests: bool = False, key: str = "d
         chunks = None
         for block in text_blocks(batches):
             chunks = chunks or ChunkTable(model)
-            out = [chunks.encode(t or "") for t in block.column("text").to_pylist()]
+            out = chunks.encode_block([t or "" for t in block.column("text").to_pylist()])
             cols = [block.column("doc_id"), pa.array([x[1] for x in out], pa.int64())]
             cols += [pa.array([_sha(x[k]) if digests else x[k] for x in out], pa.string()) for k in (0, 2)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
