@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loam.functions.js import or_else, text, trimmed
+from loam.functions.spread import spread
 
 #: Tries after the first, and seconds before each of them.
 RETRIES, WAIT = 3, 1.5
@@ -67,7 +68,7 @@ def with_retry(provider: Provider, texts: list[str], retries: int = RETRIES, wai
 def embedded(rows: DataFrame, provider: Provider | None = None, column: str = "text", out: str = "embedding", batch: int = 64, pause: float = 0.0, wait: float = WAIT) -> DataFrame:
     """rows with a vector of `column`; batches of texts go to the provider from the executors.
 
-    `pause` seconds pass before each call, in each task; limit the tasks (coalesce) to limit the rate. A null text
+    `pause` seconds pass before each call, in each task; with a pause one task after the other calls, so that is the rate. A null text
     counts as an empty one.
     """
     provider = provider or HashProvider()
@@ -81,7 +82,7 @@ def embedded(rows: DataFrame, provider: Provider | None = None, column: str = "t
                 vectors = with_retry(provider, [t or "" for t in part.column(column).to_pylist()], wait=wait)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*part.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return (rows.coalesce(1) if pause else spread(rows)).mapInArrow(run, schema)
 
 
 def index(chunks: DataFrame, components: DataFrame, provider: Provider | None = None, keep_text: bool = True, **how) -> DataFrame:

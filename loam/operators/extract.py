@@ -115,6 +115,28 @@ def plain_components(nodes: DataFrame) -> DataFrame:
     return _components(nodes, "FunctionExpression").select(F.lit("tree-sitter").alias("parser"), "component", "file")
 
 
+def front_ends(nodes: DataFrame) -> DataFrame:
+    """parser, component, propsInterface, file of all three front ends above; propsInterface is null for the last.
+
+    One aggregate of the nodes holds what all of them need; the sources are not parsed again for each.
+    """
+    is_one = (F.col("kind") == "FunctionDeclaration") | (F.col("kind") == "VariableDeclaration") & F.col("identifier") & F.col("init_kind").isin("ArrowFunction", "FunctionExpression")
+    head = F.when(F.col("kind") == "InterfaceDeclaration", F.col("name"))
+    facts = nodes.groupBy("file").agg(
+        F.max_by(F.when(is_one, F.col("name")), F.when(is_one & F.col("name").isNotNull(), F.col("node_id"))).alias("component"),
+        F.max_by(head, F.when(head.isNotNull(), F.col("node_id"))).alias("last"),
+        F.collect_set(head).alias("declared"),
+    )
+    table = facts.select(F.explode("declared").alias("name"), F.col("file").alias("declared_in")).groupBy("name").agg(F.max("declared_in").alias("declared_in"))
+    found = facts.where("component is not null").withColumn("want", F.concat("component", F.lit("Props"))).join(table, F.col("want") == F.col("name"), "left")
+    each = F.array(
+        F.struct(F.lit("babel").alias("parser"), F.coalesce("last", F.lit("")).alias("i")),
+        F.struct(F.lit("typescript").alias("parser"), F.coalesce("name", F.lit("")).alias("i")),
+        F.struct(F.lit("tree-sitter").alias("parser"), F.lit(None).cast("string").alias("i")),
+    )
+    return found.select(F.explode(each).alias("e"), "component", "file").select("e.parser", "component", F.col("e.i").alias("propsInterface"), "file")
+
+
 def documented_components(nodes: DataFrame) -> DataFrame:
     """parser, componentName, doc, file of every component function at the top of a file; doc is JSON of its name and props.
 

@@ -14,10 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loam.functions.spread import spread
+
 #: Queries of one pass over the chunks: these many rows and characters are sent to each task at most.
 BLOCK_QUERIES, BLOCK_CHARS = 2048, 4_000_000
 
 
+#: Weights of kinds of items (others count once), and what an item gains that the question names.
+WEIGHTS, NAMED = {"component": 1.1}, 0.2
+
+
 # ---------------------------------------------------------------- scalar scores
 
 
@@ -35,7 +41,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def boosted(score: Column, kind: Column, name: Column, query: Column) -> Column:
     """Components count 1.1 times; 0.2 more where the query names the item."""
-    return score * F.when(kind == "component", F.lit(1.1)).otherwise(F.lit(1.0)) + F.when(F.contains(F.lower(query), F.lower(name)), F.lit(0.2)).otherwise(F.lit(0.0))
+    return score * F.when(kind == "component", F.lit(WEIGHTS["component"])).otherwise(F.lit(1.0)) + F.when(F.contains(F.lower(query), F.lower(name)), F.lit(NAMED)).otherwise(F.lit(0.0))
 
 
 def keyword_score(query: Column, text: Column) -> Column:
@@ -54,14 +60,14 @@ def best(scored: DataFrame, k: int, by: list[str], score: str = "score", ties: t
 # ---------------------------------------------------------------- blocks of queries
 
 
-def _blocks(queries: DataFrame, key: str, value: str, chars: Column) -> Iterator[pa.Table]:
+def _blocks(queries: DataFrame, key: str, value: str, chars: Column, words: str | None = None) -> Iterator[pa.Table]:
     """Queries in blocks of bounded rows and characters, one on the driver at a time."""
-    sized = queries.select(F.col(key).alias("q"), F.col(value).alias("v"), chars.cast("long").alias("n"))
+    sized = queries.select(F.col(key).alias("q"), F.col(value).alias("v"), chars.cast("long").alias("n"), (F.lower(words) if words else F.lit("")).alias("w"))
     facts = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-facts["rows"] // BLOCK_QUERIES), -(-facts["chars"] // BLOCK_CHARS))
     for b in range(blocks):
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        held = part.select("q", "v").toArrow().sort_by("q").combine_chunks()
+        held = part.select("q", "v", "w").toArrow().sort_by("q").combine_chunks()
         if held.num_rows:
             yield held
 
@@ -127,23 +133,26 @@ def keyword_top(chunks: DataFrame, queries: DataFrame, k: int = 3, key: str = "c
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(chunk[col]), pa.array(score[row, col])], names=["query", "chunk", "score"])
 
         rows = chunks.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("chunk"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-        found.append(rows.mapInArrow(run, "query long, chunk long, score int"))
+        found.append(spread(rows).mapInArrow(run, "query long, chunk long, score int"))
     none = chunks.sparkSession.createDataFrame([], "query long, chunk long, score int")
     return best(_union(found, none), k, ["query"], ties=("chunk",))
 
 
-def vector_top(items: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """query, item, score, rank: the k items of the highest cosine for every query, scores rounded to `digits`.
+def vector_top(items: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", digits: int = 6, kind: str | None = None, name: str | None = None, question: str | None = None) -> DataFrame:
+    """query, item, score, rank: the k items of the highest score for every query, scores rounded to `digits`.
+
+    The score is the cosine; with the items' columns `kind` and `name` and the queries' column `question` it is boosted
+    as by `boosted`.
 
     Items without direction, of another length than the query's, or null have a null score and come last; ties go to
     the smaller id. Exact: every item is scored.
     """
     found = []
-    for block in _blocks(queries, key, vector, F.size(vector) * 8):
+    for block in _blocks(queries, key, vector, F.size(vector) * 8, question):
         vectors = [np.array(v if v is not None else [], np.float64) for v in block.column("v").to_pylist()]
-        ids = np.asarray(block.column("q"))
+        ids, said = np.asarray(block.column("q")), [w or "" for w in block.column("w").to_pylist()]
 
-        def run(batches: Iterator[pa.RecordBatch], vectors=vectors, ids=ids) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], vectors=vectors, ids=ids, said=said) -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(v) for v in vectors])
             for batch in batches:
                 if not batch.num_rows:
@@ -158,12 +167,19 @@ def vector_top(items: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
                         a, b = np.stack([vectors[i] for i in q]), np.stack([held[i] for i in c])
                         with np.errstate(all="ignore"):
                             s = (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None])
-                        score[np.ix_(q, c)] = np.where(np.isfinite(s), np.round(s, digits), -np.inf)
+                        score[np.ix_(q, c)] = np.where(np.isfinite(s), s, -np.inf)
+                if kind:
+                    score *= np.array([WEIGHTS.get(x, 1.0) for x in batch.column("kind").to_pylist()])[None]
+                if question:
+                    names = batch.column("name").to_pylist()
+                    at = {x: np.array([x in w for w in said]) * NAMED for x in set(names) - {None}}
+                    score += np.stack([at.get(x, np.zeros(len(said))) for x in names], 1)
+                score = np.where(np.isfinite(score), np.round(score, digits), -np.inf)
                 row, col = _top(score, item, k)
                 s = score[row, col]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(item[col]), pa.array(s, mask=np.isneginf(s))], names=["query", "item", "score"])
 
-        rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
+        rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"), (F.lower(name) if name else F.lit(None).cast("string")).alias("name"))
         found.append(rows.mapInArrow(run, "query long, item long, score double"))
     none = items.sparkSession.createDataFrame([], "query long, item long, score double")
     return best(_union(found, none), k, ["query"], ties=("item",))

@@ -93,12 +93,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""")
 def boosted_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[boost] The same with weights for kinds of items and for names that the question has. Queries are the stated side."""
-    items = read(spark, sf_dir, "embeddings")
-    asked = items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.concat(F.lit("show v"), "label", F.lit(" items")).alias("question"))
-    held = items.select("vec_id", F.col("embedding").alias("v"), F.when(F.col("label") % 2 == 0, "component").otherwise("chunk").alias("kind"), F.concat(F.lit("v"), "label").alias("name"))
-    scored = held.crossJoin(asked).withColumn("score", F.round(retrieval.boosted(retrieval.cosine(F.col("q"), F.col("v")), F.col("kind"), F.col("name"), F.col("question")), 6))
-    return retrieval.best(scored.select("query_id", "vec_id", "score"), 5, ["query_id"], ties=("vec_id",))
+    """[boost] The same with weights for kinds of items and for names that the question has."""
+    kind, name = F.when(F.col("label") % 2 == 0, "component").otherwise("chunk"), F.concat(F.lit("v"), "label")
+    items = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", kind.alias("kind"), name.alias("name"), F.concat(F.lit("show v"), "label", F.lit(" items")).alias("question"))
+    top = retrieval.vector_top(items, items.where("vec_id % 50 = 0"), 5, kind="kind", name="name", question="question")
+    return top.select(F.col("query").alias("query_id"), "rank", F.col("item").alias("vec_id"), "score")
 
 
 @query()
@@ -376,8 +375,7 @@ def component_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'typescript', 'Inner', '', 'src/components/C' || p_partkey || '.tsx' FROM part UNION ALL SELECT 'tree-sitter', 'Inner', NULL, 'src/components/C' || p_partkey || '.tsx' FROM part""")
 def front_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[three front ends] The last component of each file and its interface."""
-    nodes = ts_nodes(sources(spark, sf_dir))
-    rows = extract.interfaces_of_files(nodes).unionByName(extract.interfaces_by_name(nodes)).unionByName(extract.plain_components(nodes), allowMissingColumns=True)
+    rows = extract.front_ends(ts_nodes(sources(spark, sf_dir)))
     return rows.withColumnRenamed("propsInterface", "props_interface")
 
 

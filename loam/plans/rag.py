@@ -30,19 +30,17 @@ def build_index(spark: SparkSession, root: str, provider: embed.Provider | None
 
 
 def search(index: DataFrame, questions: DataFrame, provider: embed.Provider | None = None, k: int = 5) -> DataFrame:
-    """question_id, rank, score and the columns of the best k items of each question.
-
-    Questions are the stated side of the product with the items; each keeps k rows of each task's items at most.
-    """
-    asked = embed.embedded(questions.select("question_id", "question"), provider, "question", "asked")
-    rows = index.crossJoin(asked)
-    score = retrieval.boosted(retrieval.cosine(F.col("asked"), F.col("embedding")), F.col("item_type"), F.coalesce("name", "component"), F.col("question"))
-    return retrieval.best(rows.withColumn("score", score).drop("embedding", "asked"), k, ["question_id"], ties=("item_id",))
+    """question_id, rank, score and the columns of the best k items of each question."""
+    asked = embed.embedded(questions.select("question_id", "question"), provider, "question", "embedding")
+    asked = asked.select(F.col("question_id").alias("item_id"), "embedding", "question")
+    named = index.withColumn("_name", F.coalesce("name", "component"))
+    top = retrieval.vector_top(named, asked, k, "item_id", kind="item_type", name="_name", question="question")
+    return top.select(F.col("query").alias("question_id"), F.col("item").alias("item_id"), "rank", "score").join(index.drop("embedding"), "item_id")
 
 
 def ask(index: DataFrame, questions: DataFrame, provider: embed.Provider | None = None, k: int = 5) -> DataFrame:
     """question_id, question, code, context, prompt of every question."""
-    return answer.prompts(search(index, questions, provider, k).drop("question"), questions)
+    return answer.prompts(search(index, questions, provider, k), questions)
 
 
 def compare(spark: SparkSession, first: DataFrame, second: DataFrame, questions: DataFrame, names: tuple[str, str] = ("Function", "AST")) -> DataFrame:

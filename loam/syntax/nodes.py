@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loam.functions.spread import spread
 from loam.syntax.parser import SyntaxProblem, nodes_of
 
 SCHEMA = (
@@ -39,7 +40,7 @@ def node_rows(file: str, text: str | None) -> list[tuple]:
 
 
 def ts_nodes(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
-    """The syntax nodes of every file; Arrow batches go through the parser on the executors, no shuffle."""
+    """The syntax nodes of every file; Arrow batches go through the parser on the executors; only small inputs are dealt out anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [f.type for f in _ARROW]
@@ -53,7 +54,7 @@ def ts_nodes(files: DataFrame, path: str = "file_path", content: str = "content"
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=_ARROW)
 
-    return files.select(F.col(path).alias("file"), F.col(content).alias("content")).mapInArrow(run, SCHEMA)
+    return spread(files.select(F.col(path).alias("file"), F.col(content).alias("content"))).mapInArrow(run, SCHEMA)
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
