@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from loam.functions.js import in_order, last_wins
+from loam.syntax.nodes import ts_nodes
 
 MAP = "map<string,string>"
 
@@ -81,6 +82,15 @@ def cleaned(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn(content, F.when(repeats_interface(plain), repaired(numbered(plain), names)).otherwise(plain))
 
 
+def nodes_or_retry(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
+    """The node table of files; one that can't be parsed is tried again without its `extends` heads, and is left out
+    with its Error row if that fails too."""
+    first = ts_nodes(files, path, content)
+    failed = first.where("kind = 'Error'").select(F.col("file").alias(path))
+    again = ts_nodes(files.join(failed, path, "left_semi").withColumn(content, without_heads(F.col(content))), path, content)
+    return first.where("kind <> 'Error'").unionByName(again)
+
+
 # ---------------------------------------------------------------- schema documents
 
 #: Names of plain types.

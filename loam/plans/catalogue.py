@@ -359,6 +359,23 @@ def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- source files
 
 
+@query("""WITH c AS (SELECT 'C' || p_partkey AS c, p_type, p_size FROM part),
+    b AS (SELECT c, unnest([
+        {'o': 0, 't': 'overview', 'x': c || ' is a UI component composed of Inner that manages state.'},
+        {'o': 1, 't': 'props', 'x': c || ' accepts props: label (string), onPick, once, innerRef, items (array), sizes (array), bag (array), kind (string), flag (boolean), multi (string,number)'},
+        {'o': 2, 't': 'dependencies', 'x': c || ' depends on: IThing, Dep'}, {'o': 3, 't': 'composition', 'x': c || ' is composed of: Inner'},
+        {'o': 4, 't': 'render_flow', 'x': c || ' renders Dep, Inner, Foo.Bar'}, {'o': 5, 't': 'state', 'x': c || ' manages state: [s, setS] = useState<string>("' || p_type || '")'},
+        {'o': 6, 't': 'function_summary', 'x': 'helper is a helper logic function'}, {'o': 7, 't': 'subcomponent', 'x': 'Inner is a reusable UI subcomponent'},
+        {'o': 8, 't': 'example', 'x': '<Inner />'}, {'o': 9, 't': 'example', 'x': '<' || c || ' />'}]) AS r FROM c)
+    SELECT c AS component, r.o::INT AS ord, r.t AS type, r.x AS text FROM b""")
+def merged_rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[records with schemas, retrieval chunks] From sources and schema documents to chunks in one plan."""
+    records = extract.records(ts_nodes(sources(spark, sf_dir)))
+    chosen = schema.selected(schema.exploded_definitions(part_schemas(spark, sf_dir))).select("component", F.to_json(F.create_map("definition", "body")).alias("schema"))
+    merged = schema.with_schemas(records, chosen)
+    return chunks.rag_chunks(merged.withColumn("schema", F.from_json("schema", schema.MAP)))
+
+
 @query("""SELECT 'C' || p_partkey AS component, 'src/components/C' || p_partkey || '.tsx' AS file, 'IThing,Dep' AS dependencies, 'Dep,Inner,Foo.Bar' AS jsx_usage, 'Inner' AS internal_components,
     '[s, setS] = useState<string>("' || p_type || '")' AS state,
     'helper|const helper = (x: number): number => x + ' || p_size || ';#Inner|const Inner = () => <Dep v={`<${s}> ${helper(1)}`} />;' AS functions FROM part""")

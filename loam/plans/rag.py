@@ -14,7 +14,7 @@ def component_chunks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     found = files.scan(spark, root, "typescript")
     folders = files.component_folders(found)
     types = files.first_existing(found, folders, files.TYPES_CANDIDATES).where("content is not null")
-    documents = schema.schema_documents(ts_nodes(schema.cleaned(types)))
+    documents = schema.schema_documents(schema.nodes_or_retry(schema.cleaned(types)))
     named = types.select("component", F.col("file_path").alias("file")).join(documents, "file").select("component", "schema")
     parts = schema.schema_chunks(named).drop("ord", "place", "definition", "isSubType", "linksTo", "enum")
     code = files.first_existing(found, folders, files.CODE_CANDIDATES).where("content is not null")

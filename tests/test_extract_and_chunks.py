@@ -93,6 +93,12 @@ def test_cleaning(spark):
     assert spark.range(1).select(schema.without_heads(F.lit("interface A extends B<C>, D { x }"))).first()[0] == "interface A { x }"
 
 
+def test_retry_without_heads(spark):
+    files = spark.createDataFrame([("a.ts", "export interface A extends B<`> { x: string }"), ("b.ts", "export interface B extends C { y: A }"), ("c.ts", "const (")], "file_path string, content string")
+    got = sorted((r.file, r.kind, r.name) for r in schema.nodes_or_retry(files).collect())
+    assert got == [("a.ts", "InterfaceDeclaration", "A"), ("a.ts", "PropertySignature", "x"), ("b.ts", "InterfaceDeclaration", "B"), ("b.ts", "PropertySignature", "y"), ("c.ts", "Error", None)]
+
+
 def test_schemas_from_source(spark):
     text = 'export interface TProps extends Base, Omit<X, "y"> { /** Doc "q". */ data: Item[]; kind?: "a" | "b"; either: string | number; onGo: () => void; deep: { z: 1 } }\ninterface Item { id: string; children?: Item[] }'
     n = nodes(spark, [("T.types.ts", text)])
