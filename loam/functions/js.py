@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 #: White space that trimming removes at both ends of a template.
@@ -40,11 +43,12 @@ def replaced_once(c: Column, old: str, new: str) -> Column:
 
 
 def starts_with_any(c: Column, prefixes) -> Column:
-    return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(c, p))
+    """One chain of tests, which stays inside generated code; a lambda over a list would not."""
+    return reduce(or_, (F.startswith(c, F.lit(p)) for p in prefixes))
 
 
 def contains_any(c: Column, parts) -> Column:
-    return F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(c, p))
+    return reduce(or_, (F.contains(c, F.lit(p)) for p in parts))
 
 
 def joined(items: Column, separator: str) -> Column:

@@ -154,9 +154,7 @@ def vector_top(items: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
 
         def run(batches: Iterator[pa.RecordBatch], vectors=vectors, ids=ids, said=said) -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(v) for v in vectors])
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
                 item = np.asarray(batch.column("item"))
                 held = [np.array(v if v is not None else [], np.float64) for v in batch.column("v").to_pylist()]
                 size = np.array([len(v) for v in held])
