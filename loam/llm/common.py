@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 TOKENIZER_DIR = os.environ.get("LOAM_TOKENIZERS", "/opt/tokenizers")
 
 #: Text bytes that a Python worker takes apart at once.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

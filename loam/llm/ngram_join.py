@@ -33,7 +33,7 @@ from loam.llm.shingles import mix, shingle_sets
 #: Mean shingles of a segment at the top of a band on levels 0 and 1; bands (powers of two) where each may begin.
 FILL, BEGIN = (3, 4), (128, 16)
 #: Sets on an index entry beyond which it counts as heavy; index entries of a bucket; sets of a verification block.
-HEAVY, BUCKET_ROWS, BLOCK = 32, 1_000_000, 1024
+HEAVY, BUCKET_ROWS, BLOCK = 32, 600_000, 1024
 #: Buckets of the clusters of sets without a guarantee, at least.
 CLUSTER_BUCKETS = 24
 #: Candidate sets up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds their texts.
@@ -150,9 +150,9 @@ def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets
                     entries = index_entries(values[bounds[i] : bounds[i + 1]], num, den, seed)[0]
                     parts.append((entries, own, codes[i]))
                     held += sum(map(len, entries))
-            if len(done) > 1_000_000:
+            if len(done) > 200_000:
                 done.clear()
-            if held >= 1_500_000:
+            if held >= 1_000_000 or len(parts) >= 50_000:
                 yield flush()
                 parts, held = [], 0
         if parts:

@@ -22,7 +22,7 @@ MARK = "▁"
 _WORDS = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 #: Characters that a task keeps in its table of distinct words before it begins a new one.
-TABLE_CHARS = 16_000_000
+TABLE_CHARS = 6_000_000
 
 
 class ChunkTable:
