@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from loam.llm import ngram_join
 from loam.llm.ngram_join import near_duplicates, one_of_each
 from tests.llm.tables import empty_docs, odd_docs, words
 
@@ -71,6 +72,16 @@ def test_against_all_pairs(spark, heavy):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
 
+def test_small_blocks_and_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    rng = random.Random(11)
+    rows = list(enumerate(corpus(rng)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), heavy=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_exactly_at_the_threshold(spark):
     w = [f"t{i}" for i in range(200)]
     at = " ".join(w[:13])  # 9 shingles
