@@ -20,7 +20,7 @@ from loam.llm.shingles import _BYTE, _powers, mix, text_bytes, words_of
 from loam.llm.textstats import BINS, CLASSES, STATISTICS, binned, class_counts, repeats
 
 #: Labelled rows that a fit takes at most, passes, rate, and the share of words on content lines that keeps a text.
-SAMPLE_ROWS, EPOCHS, RATE, CONTENT_SHARE = 2000, 60, 0.3, 0.5
+SAMPLE_ROWS, EPOCHS, RATE, CONTENT_SHARE = 2000, 200, 0.3, 0.5
 #: Marks of a line beside the statistics: without words, seen before in its text, first line, last line.
 MARKS = 4
 FEATURES = STATISTICS * BINS + MARKS
