@@ -52,6 +52,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over now; else they stay until the driver happens to collect
+    its garbage, which is what tells Spark that nothing refers to them."""
+    spark._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes a table of materialize(); plans that still read it fail from then on."""
     if path := getattr(df, "_loam_path", None):

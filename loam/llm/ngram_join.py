@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loam.llm.common import bounded_batches, drop_table, materialize, table, text_blocks
+from loam.llm.common import bounded_batches, drop_table, materialize, release_shuffles, table, text_blocks
 from loam.llm.components import components
 from loam.llm.shingles import mix, shingle_sets
 
@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     spare = [classes]
     buckets = max(64, -(-int(0.6 * told["n"]) // BUCKET_ROWS))
     met = materialize(_meet(_buckets(docs, width, num, den, seed, buckets), heavy, num, den), "met")
-    spare.append(met)
+    release_shuffles(docs.sparkSession)
     dear = met.where("kind = 1").groupBy(F.col("x").alias("node")).agg(F.sum("n").alias("dear"))
     info = materialize(classes.join(dear, "node", "left").select("node", "rep", "n", "level", "strength", F.coalesce("dear", F.lit(0)).alias("dear")), "info")
     spare.append(info)
@@ -368,6 +368,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     # Sets that heavy entries leave without a guarantee.
     bare = materialize(info.where("dear > 0").where(f"{shared('', f'n * {den - num} div {num}')} < 1").select("rep", "n"), "bare")
     spare += [pairs, bare]
+    drop_table(met)
+    release_shuffles(docs.sparkSession)
 
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(bare.select("rep")).distinct()
     wanted = materialize(wanted.where(F.col("rep") < NO_ID), "wanted")
@@ -394,7 +396,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         spare.append(clustered)
         clustered = clustered.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
         pairs = pairs.unionByName(clustered.where("rep <> cluster").select(F.col("cluster").alias("a"), F.col("rep").alias("b"))).distinct()
+    release_shuffles(docs.sparkSession)
     links = materialize(_verify(pairs, sets, num, den), "links")
+    release_shuffles(docs.sparkSession)
     spare.append(links)
     found = components(links)
     spare.append(found)
