@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loam.llm.common import drop_table, materialize
 
+#: Edges (16 bytes each) that one task solves by itself; more are contracted in rounds until they are so few or done.
+LOCAL_EDGES = 400_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round. The least neighbour of a node is an aggregate joined back, so a hub's edges need not meet in a task."""
@@ -21,11 +27,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a partition's edges with the smallest node that its edges reach."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            root[max(x, y)] = min(x, y)
+    pairs = [(x, t) for x in root if (t := top(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, component for every node with an edge; the component is the smallest node that can be reached.
 
     Loops and edges with a null end are left out. The edge table never leaves the cluster; a round keeps at most as
-    many edges as it had, and the number of rounds grows with the logarithm of the longest path.
+    many edges as it had, and the number of rounds grows with the logarithm of the longest path. As soon as no more than
+    LOCAL_EDGES are left, by count, one task finishes them, which gives what further rounds would.
     """
     now = materialize(edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
@@ -34,6 +59,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if not seen["n"] or tuple(seen) == mark:
             break
         mark = tuple(seen)
+        if seen["n"] <= LOCAL_EDGES:
+            step = materialize(now.coalesce(1).mapInArrow(_solve, "a long, b long"), "edges")
+            drop_table(now)
+            now = step
+            break
         step = materialize(_star(_star(now, True), False), "edges")
         drop_table(now)
         now = step
