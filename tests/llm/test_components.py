@@ -1,9 +1,14 @@
 import random
 
+import pytest
+
+import loam.llm.components as module
 from loam.llm.components import components
 
 
-def test_against_union_find(spark):
+@pytest.mark.parametrize("local", [0, 100, 10**6])
+def test_against_union_find(spark, monkeypatch, local):
+    monkeypatch.setattr(module, "LOCAL_EDGES", local)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 5001 + i) for i in range(300)] + [(7, 7)]
     root = {}
