@@ -12,10 +12,10 @@ at three costs, and a set pays for the next only where the one before does not g
 Small bands begin at 1 or 2, where level 0 seldom suffices. Pairs that both need a level meet there; otherwise the
 cheaper one's guarantee holds. Groups of sets that share an index entry give pairs; entries shared by more than
 `heavy` sets are too dear and are left out of a set's guarantee where it can spare them. Sets that cannot spare them
-(they are mostly made of frequent entries, as in large groups of near copies) meet in clusters of those entries:
-first each with the cluster's smallest set, then every set outside the cluster's largest component with all others
-of the cluster, in blocks. So no partner is lost and no group is paired out. The number of shared entries that a
-similar pair must have at least drops most false pairs; the rest are verified on whole sets.
+(they are mostly made of frequent entries, as in large groups of near copies) meet in clusters of those entries: all
+sets of a cluster whose sizes allow it are compared, in blocks, and a block passes on numbers of links and a spanning
+forest. So no link is lost and no group is paired out. The number of shared entries that a similar pair must have at
+least drops most false pairs; the rest are verified on whole sets. Sets go by their 64-bit hash (node) throughout.
 """
 
 from __future__ import annotations
@@ -34,13 +34,13 @@ from loam.llm.shingles import mix, shingle_sets
 FILL, BEGIN = (3, 4), (128, 16)
 #: Sets on an index entry beyond which it counts as heavy; index entries of a bucket; sets of a verification block.
 HEAVY, BUCKET_ROWS, BLOCK = 32, 600_000, 1024
+#: Shingles of the sets of a verification block, about.
+BLOCK_SHINGLES = 1_000_000
 #: Buckets of the clusters of sets without a guarantee, at least.
 CLUSTER_BUCKETS = 24
 #: Candidate sets up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds their texts.
 BROADCAST_IDS = 500_000
 _SEED = np.uint64(0xA0761D6478BD642F)
-#: Ids of classes that have no doc_id begin here.
-NO_ID = 1 << 62
 
 
 def spread(size: int, num: int, den: int) -> int:
@@ -224,13 +224,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             ok = [_alike(x.as_buffer(), y.as_buffer(), num, den) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> DataFrame:
-    """rep, cluster: connected components of sets that share an index entry, whatever its weight.
+    """node, component: connected components of sets that share an index entry, whatever its weight.
 
     Entries travel packed, and a bucket joins its sets by itself first, so that it gives one edge a set at most.
     """
@@ -238,7 +238,7 @@ def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> D
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             entries, reps = [], []
-            for rep, s in zip(batch.column("rep").to_pylist(), batch.column("shingles"), strict=True):
+            for rep, s in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
                 own = np.concatenate(index_entries(np.frombuffer(s.as_buffer(), np.uint64), num, den, seed)[0])
                 entries.append(own)
                 reps.append(np.full(len(own), rep, np.int64))
@@ -272,18 +272,17 @@ def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> D
         pairs = [(x, top(x)) for x in root]
         return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
-    return components(sets.select("rep", "shingles").mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(join, "a long, b long"))
+    return components(sets.select("node", "shingles").mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(join, "a long, b long"))
 
 
-def _links_of_block(rows: list[tuple[int, bytes, bool]], others: list[tuple[int, bytes, bool]], num: int, den: int) -> list[tuple[int, int]]:
-    """All similar pairs between two lists of sets, by products of their incidence matrices over shared shingles."""
-    sets = [np.frombuffer(x[1], np.uint64) for x in rows + others]
+def _similar(sets: list[np.ndarray], k: int, num: int, den: int) -> np.ndarray:
+    """Which of the first k sets (rows) and of the others (columns; of the same ones if there are no others) are similar, by products of incidence matrices."""
+    o = k if k < len(sets) else 0
     flat = np.concatenate(sets)
     who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    terms, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
     size = np.array([len(s) for s in sets])
-    k = len(rows)
-    inter = np.zeros((k, len(others)), np.float32)
+    inter = np.zeros((k, len(sets) - o), np.float32)
     col = np.cumsum(count > 1) - 1
     live = count[at] > 1
     who, at = who[live], col[at[live]]
@@ -291,54 +290,81 @@ def _links_of_block(rows: list[tuple[int, bytes, bool]], others: list[tuple[int,
     who, at = who[order], at[order]
     for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
         a, b = np.searchsorted(at, (lo, lo + 4096))
-        m = np.zeros((len(sets), 4096), np.float32)
+        m = np.zeros((len(sets), min(4096, int(at[-1]) + 1 - lo)), np.float32)
         m[who[a:b], at[a:b] - lo] = 1
-        inter += m[:k] @ m[k:].T
-    union = size[:k, None] + size[None, k:] - inter
-    x, y = np.nonzero(den * inter >= num * union)
-    return [(rows[i][0], others[j][0]) for i, j in zip(x, y, strict=True) if rows[i][0] != others[j][0]]
+        inter += m[:k] @ m[o:].T
+    both = inter.astype(np.int64)
+    return den * both >= num * (size[:k, None] + size[None, o:] - both)
+
+
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a bipartite graph a row of its component; -1 for a column without an edge."""
+    rows, cols = np.full(hit.shape[0], -1), np.full(hit.shape[1], -1)
+    for i in range(len(rows)):
+        if rows[i] < 0:
+            rows[i] = i
+            new = np.array([i])
+            while len(new):
+                reached = np.flatnonzero(hit[new].any(0) & (cols < 0))
+                cols[reached] = i
+                new = np.flatnonzero(hit[:, reached].any(1) & (rows < 0))
+                rows[new] = i
+    return rows, cols
 
 
 def _cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between each set outside its cluster's largest component and all sets of the cluster, in blocks.
+    """node, hub, links: for each block the documents that a set is linked with there, and a set that its links lead to.
 
-    members: cluster, rep, label. A cluster is cut into blocks of about BLOCK sets; outside sets are cut likewise, and
-    each pair of blocks is a group of its own.
+    members: cluster, node, n, docs. Sets are banded by size so that similar ones are in one band or in two side by
+    side; a band of a cluster is cut into parts of about BLOCK sets and BLOCK_SHINGLES shingles, and each pair of parts
+    that can hold a link is a group of its own.
     """
-    sizes = members.groupBy("cluster", "label").count()
-    ranked = sizes.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), "label")))
-    main = ranked.where("_r = 1").select("cluster", F.col("label").alias("_main"))
-    totals = sizes.groupBy("cluster").agg(F.sum("count").alias("_all"), F.max("count").alias("_most")).where("_all > _most")
-    rows = members.join(totals, "cluster").join(main, "cluster").withColumn("outer", F.col("label") != F.col("_main"))
-    rows = rows.withColumn("_cols", F.ceil(F.col("_all") / BLOCK).cast("int")).withColumn("_rows", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int"))
-    hashed = F.xxhash64("rep")
-    as_col = rows.select("cluster", "rep", F.lit(False).alias("is_row"), F.pmod(hashed, "_cols").cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("r"))
-    as_row = rows.where("outer").select("cluster", "rep", F.lit(True).alias("is_row"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("c"), F.pmod(hashed, "_rows").cast("int").alias("r"))
-    dealt = as_col.unionByName(as_row).join(sets.select("rep", "shingles"), "rep")
+    step = max(float(np.log(den / num)), 0.01) * (1 + 1e-9)
+    rows = members.withColumn("band", F.floor(F.log("n") / step).cast("int"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    cells = rows.groupBy("cluster", "band").agg(parts.alias("_parts"), F.count(F.lit(1)).alias("_many"))
+    beside = lambda by, name: cells.select("cluster", (F.col("band") + by).alias("band"), F.col("_parts").alias(name))
+    rows = rows.join(cells, ["cluster", "band"]).join(beside(1, "_below"), ["cluster", "band"], "left").join(beside(-1, "_above"), ["cluster", "band"], "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "_parts").cast("int"))
+    groups = """concat(
+        if(_many > 1, transform(sequence(0, _parts - 1), q -> struct(band as lo, least(part, q) as i, band as hi, greatest(part, q) as j)), array()),
+        if(_above is null, array(), transform(sequence(0, _above - 1), q -> struct(band as lo, part as i, band + 1 as hi, q as j))),
+        if(_below is null, array(), transform(sequence(0, _below - 1), q -> struct(band - 1 as lo, q as i, band as hi, part as j))))"""
+    dealt = rows.withColumn("_g", F.explode(F.expr(groups))).select("cluster", "_g.*", "node", "docs", F.expr("band = _g.lo and part = _g.i").alias("is_row"))
+    dealt = dealt.join(sets.select("node", "shingles"), "node")
 
     def run(t: pa.Table) -> pa.Table:
-        rows, cols = [], []
-        for rep, s, is_row in zip(t.column("rep").to_pylist(), t.column("shingles").to_pylist(), t.column("is_row").to_pylist(), strict=True):
-            (rows if is_row else cols).append((rep, s, is_row))
-        found = _links_of_block(rows, cols, num, den) if rows and cols else []
-        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return dealt.groupBy("cluster", "c", "r").applyInArrow(run, "a long, b long")
+        is_row = np.array(t.column("is_row").to_pylist(), bool)
+        order = np.argsort(~is_row, kind="stable")
+        k = int(is_row.sum())
+        blobs = [b.as_buffer() for chunk in t.column("shingles").chunks for b in chunk]
+        node, docs = (np.array(t.column(c).to_pylist(), np.int64)[order] for c in ("node", "docs"))
+        alone = t.column("lo")[0] == t.column("hi")[0] and t.column("i")[0] == t.column("j")[0]
+        if not k or not alone and k == len(node):
+            node = node[:0]
+            hub, links = node, node
+        else:
+            hit = _similar([np.frombuffer(blobs[x], np.uint64) for x in order], k, num, den)
+            up, down = _forest(hit)  # in a part with itself each set is linked with itself
+            if alone:
+                hub, links = node[up], hit @ docs - docs
+            else:
+                hub, links = node[np.concatenate((up, down))], np.concatenate((hit @ docs[k:], docs[:k] @ hit))
+            some = links > 0
+            node, hub, links = node[some], hub[some], links[some]
+        return pa.table([pa.array(node), pa.array(hub), pa.array(links, pa.int64())], names=["node", "hub", "links"])
 
+    return dealt.groupBy("cluster", "lo", "i", "hi", "j").applyInArrow(run, "node long, hub long, links long")
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heavy: int = HEAVY, key: str = "doc_id", text: str = "text", cleanup: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that can be reached by links, itself included).
 
-    Sets of `width`-word shingles are linked at a Jaccard similarity of num/den or more; links are exact up to 64-bit
-    hashes of shingles. Null texts and texts without words have the empty set and are linked with nothing, not even
-    each other. Repeated rows have the same set and are linked. Rows with a null key take part; a component of only
-    such rows has a null id. An empty table gives none. Other columns are not read.
-    """
+def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heavy: int = HEAVY, key: str = "doc_id", text: str = "text", cleanup: bool = True) -> tuple[DataFrame, int]:
+    """The columns of near_duplicates with node (null for the empty set) and root (a component's least node) beside
+    them, and the seed of the nodes."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     for seed in range(8):
         nodes = materialize(_nodes(docs, width, num, den, seed), "nodes")
-        classes = nodes.where("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.expr("pmod(first(node), 1152921504606846976L)")).alias("rep"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("strength").alias("strength"), (F.min("check") != F.max("check")).alias("clash"))
+        classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("strength").alias("strength"), (F.min("check") != F.max("check")).alias("clash"))
         classes = materialize(classes, "classes")
         told = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("clash"), F.lit(False)).alias("clash")).first()
         if not told["clash"]:  # two sets with one 64-bit hash, told apart by another: hash anew
@@ -349,7 +375,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     met = materialize(_meet(_buckets(docs, width, num, den, seed, buckets), heavy, num, den), "met")
     release_shuffles(docs.sparkSession)
     dear = met.where("kind = 1").groupBy(F.col("x").alias("node")).agg(F.sum("n").alias("dear"))
-    info = materialize(classes.join(dear, "node", "left").select("node", "rep", "n", "level", "strength", F.coalesce("dear", F.lit(0)).alias("dear")), "info")
+    info = materialize(classes.join(dear, "node", "left").select("node", "doc_id", "docs", "n", "level", "strength", F.coalesce("dear", F.lit(0)).alias("dear")), "info")
     spare.append(info)
 
     def shared(p: str, total: str) -> str:
@@ -362,21 +388,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     light = met.where("kind = 0").groupBy(F.col("x").alias("anode"), F.col("y").alias("bnode")).agg(F.sum("n").alias("shared"))
     light = light.join(side("a"), "anode").join(side("b"), "bnode")
     light = light.where(f"least(an, bn) * {den} >= greatest(an, bn) * {num}").where(f"shared >= {shared('a', most)} and shared >= {shared('b', most)}")
-    light = light.select(F.least("arep", "brep").alias("a"), F.greatest("arep", "brep").alias("b"))
-
-    pairs = materialize(light.distinct(), "pairs")
+    pairs = materialize(light.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), "pairs")
     # Sets that heavy entries leave without a guarantee.
-    bare = materialize(info.where("dear > 0").where(f"{shared('', f'n * {den - num} div {num}')} < 1").select("rep", "n"), "bare")
+    bare = materialize(info.where("dear > 0").where(f"{shared('', f'n * {den - num} div {num}')} < 1").select("node", "n", "docs"), "bare")
     spare += [pairs, bare]
     drop_table(met)
     release_shuffles(docs.sparkSession)
 
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(bare.select("rep")).distinct()
-    wanted = materialize(wanted.where(F.col("rep") < NO_ID), "wanted")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(bare.select("node")).distinct()
+    wanted = materialize(wanted.join(info.select("node", "doc_id"), "node"), "wanted")
     spare.append(wanted)
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    named = docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi")
-    if nodes.where("doc_id is null and n > 0").limit(1).count():
+    ids = wanted.where("doc_id is not null").select("doc_id").distinct()
+    named = docs.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    if wanted.where("doc_id is null").limit(1).count():
         named = named.unionByName(docs.where("doc_id is null"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,35 +411,56 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     own = named.mapInArrow(take, "node long, shingles binary")
     # A doc_id that stands on several texts brings other sets along; the node tells whose set it is.
-    sets = materialize(own.join(info.select("node", "rep"), "node").groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = materialize(own.join(wanted.select("node"), "node").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     spare.append(sets)
     bulk = bare.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    clustered = None
+    more = None
     if bulk:
-        clustered = _clusters(sets.join(bare.select("rep"), "rep", "left_semi"), num, den, seed, max(CLUSTER_BUCKETS, -(-int(0.6 * bulk) // BUCKET_ROWS)))
+        clustered = _clusters(sets.join(bare.select("node"), "node", "left_semi"), num, den, seed, max(CLUSTER_BUCKETS, -(-int(0.6 * bulk) // BUCKET_ROWS)))
         spare.append(clustered)
-        clustered = clustered.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-        pairs = pairs.unionByName(clustered.where("rep <> cluster").select(F.col("cluster").alias("a"), F.col("rep").alias("b"))).distinct()
+        release_shuffles(docs.sparkSession)
+        more = materialize(_cluster_links(clustered.withColumnRenamed("component", "cluster").join(bare, "node"), sets, num, den), "links")
+        spare.append(more)
+        # Pairs of one cluster have met there.
+        of = lambda p: clustered.select(F.col("node").alias(p), F.col("component").alias(f"_{p}"))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not (_a <=> _b) or _a is null").select("a", "b")
     release_shuffles(docs.sparkSession)
     links = materialize(_verify(pairs, sets, num, den), "links")
     release_shuffles(docs.sparkSession)
     spare.append(links)
-    found = components(links)
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    told = both.join(info.select(F.col("node").alias("other"), F.col("docs").alias("links")), "other").select("node", "links")
+    edges = links
+    if more is not None:
+        told = told.unionByName(more.select("node", "links"))
+        edges = edges.unionByName(more.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    found = components(edges)
     spare.append(found)
-    if clustered is not None:
-        labelled = clustered.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("label"))
-        more = materialize(_cluster_links(labelled, sets, num, den), "links")
-        spare.append(more)
-        if more.limit(1).count():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-            spare.append(found)
-    label = info.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    label = materialize(label.where(F.col("component").isNotNull()), "label")
+    label = info.join(found.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    label = label.join(told.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    label = label.select("node", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    label = materialize(label, "label")
+    least = materialize(label.groupBy("root").agg(F.count(F.lit(1)).alias("_sets"), F.min("doc_id").alias("least")).where("_sets > 1").select("root", "least"), "least")
     if cleanup:
         for t in spare:
             drop_table(t)
+    # A component of one set has that set's doc_id; only the others are looked up.
+    label = label.join(least, "root", "left").select("node", "root", "n_links", F.coalesce("least", "doc_id").alias("component_id"))
     out = nodes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(label, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NO_ID, F.col("component"))).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "root")
+    return out, seed
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that can be reached by links, itself included), n_links.
+
+    Sets of `width`-word shingles are linked at a Jaccard similarity of num/den or more; links are exact up to 64-bit
+    hashes of shingles. n_links is the number of other rows that a row is linked with. Null texts and texts without
+    words have the empty set and are linked with nothing, not even each other. Repeated rows have the same set and are
+    linked. Rows with a null key take part; a component of only such rows has a null id. Rows of one key with different
+    texts are told apart by their sets. An empty table gives none. Other columns are not read. `how`: as of _linked.
+    """
+    return _linked(docs, **how)[0].drop("node", "root")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

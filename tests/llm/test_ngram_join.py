@@ -100,3 +100,21 @@ def test_one_of_each(spark):
 
 def test_empty(spark):
     assert near_duplicates(empty_docs(spark)).collect() == [] and one_of_each(empty_docs(spark)).collect() == []
+
+
+def links(rows):
+    """Sorted (doc_id, number of other rows that are similar) by comparing all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    return sorted(((d, sum(1 for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 80 * len(a | b))) for i, (d, a) in enumerate(zip((d for d, _ in rows), sets, strict=True))), key=str)
+
+
+@pytest.mark.parametrize(("heavy", "block", "size"), [(2, 1024, 10**6), (2, 8, 500), (32, 1024, 10**6)])
+def test_number_of_links(spark, monkeypatch, heavy, block, size):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", size)
+    rng = random.Random(17)
+    texts = corpus(rng)
+    docs = odd_docs(spark, zip(rng.sample(range(100, 10**6), len(texts)), texts, strict=True))
+    got = near_duplicates(docs, heavy=heavy).collect()
+    want = links([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == want and max(n for _, n in want) > 32
