@@ -67,13 +67,11 @@ def resolve(base: Column, link: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: URLs in their normal form that a redirect or canonical link of a page makes equivalent."""
+    """src, dst: URLs in their normal form that any redirect or canonical link of a page makes equivalent."""
     head = F.coalesce(F.col("html"), F.lit(""))
-    found = F.array(
-        F.regexp_extract(F.regexp_extract(head, _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract(head, _REFRESH, 0), _TARGET, 1),
-        F.concat(F.regexp_extract(head, _LOCATION, 1), F.regexp_extract(head, _LOCATION, 2)),
-    )
+    every = lambda c, pattern, group: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    of_tags = lambda tags, pattern: F.transform(every(head, tags, 0), lambda tag: F.regexp_extract(tag, pattern, 1))
+    found = F.concat(of_tags(_CANONICAL, _HREF), of_tags(_REFRESH, _TARGET), every(head, _LOCATION, 1), every(head, _LOCATION, 2))
     # A text that none of these words stand in has no link; that is cheaper to see than the patterns are to run.
     low = lower_ascii(head)
     some = low.contains("canonical") | low.contains("refresh") | low.contains("location")

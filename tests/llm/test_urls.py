@@ -64,3 +64,18 @@ def test_aliases_against_a_search(spark):
 
 def test_empty(spark):
     assert judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_all_links_of_a_page(spark):
+    blocked = "http://x.net/fr/1"
+    pages = [
+        "<script>if(m){location.href='http://m.org/a'}else{location.href='http://x.net/fr/1'}</script>",
+        "<script>location = 'Paris'; location.replace('http://x.net/fr/1')</script>",
+        '<link rel="canonical" href="http://m.org/b"><link rel="canonical" href="http://x.net/fr/1">',
+        '<link rel="canonical"><link rel="canonical" href="http://x.net/fr/1">',
+        '<meta http-equiv="refresh" content="5"><meta http-equiv="refresh" content="0;url=http://m.org/c"><meta http-equiv=refresh content="0;url=http://x.net/fr/1">',
+    ]
+    rows = [(i, f"http://p{i}.org/", html) for i, html in enumerate(pages)] + [(9, "http://p9.org/", "<p>none</p>"), (10, None, pages[0])]
+    rows += [(20, "http://m.org/a", None), (21, "http://m.org/b", None), (22, "http://m.org/c", None), (30, blocked, None)]
+    got = {r.page_id: (r.verdict, r.by) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys([0, 1, 2, 3, 4, 20, 21, 22], ("block", "alias")), 9: ("allow", "default"), 10: ("allow", "default"), 30: ("block", "rule")}
