@@ -126,13 +126,21 @@ def base_spans(text: str, assign: bool = True, hexes: bool = True) -> list[Span]
     return sorted(out)
 
 
+def _covered(a: int, b: int, known: list[Span]) -> bool:
+    """Whether sorted spans cover all of a..b."""
+    for s, _, e in known:
+        if s <= a < e:
+            a = e
+    return a >= b
+
+
 def guess_spans(text: str, known: list[Span], least: float = LEAST_COST) -> list[Span]:
-    """Values in credential context that are dear to guess and don't touch a base span."""
+    """Whole values in credential context that are dear to guess and not covered by base spans."""
     out = []
     for m in _CREDENTIAL.finditer(text):
         a, b = m.span(1)
         b -= len(m[1]) - len(m[1].rstrip(".!?:)]}|"))
-        if b - a >= LEAST_LENGTH and not any(s < b and a < e for s, _, e in known) and guess_cost(text[a:b]) >= least:
+        if b - a >= LEAST_LENGTH and not _covered(a, b, known) and guess_cost(text[a:b]) >= least:
             out.append((a, 3, b))
     return out
 

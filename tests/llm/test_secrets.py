@@ -50,3 +50,11 @@ def test_redaction(spark):
     rows = [(1, "pwd: x9$Kq!2vLp and token = 0b7a44cc12fe98aa77!", 9), (2, "clean", 5), (3, None, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
     assert got == {1: (f"pwd: {MASK} and {MASK}!", len(f"pwd: {MASK} and {MASK}!")), 2: ("clean", 5), 3: (None, None)}
+
+
+def test_values_that_base_spans_cover_in_part(spark):
+    rows = [(1, "password=Winter2024Kx!v9Qz#Lm7$ end", 0), (2, "pwd: Zq!7#0123456789abcdef$Wx9 end", 0), (3, "token = 0b7a44cc12fe98aa77 end", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.spans, r.n_assign, r.n_hex) for r in scan(docs).collect()}
+    assert got == {1: ("assign:0:21,guess:9:31", 1, 0), 2: ("guess:5:30,hex:10:26", 0, 1), 3: ("assign:0:26,hex:8:26", 1, 1)}
+    assert {r.doc_id: r.text for r in redact(docs).collect()} == {1: f"{MASK} end", 2: f"pwd: {MASK} end", 3: f"{MASK} end"}
