@@ -23,9 +23,14 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CREDENTIAL = re.compile(r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private)[_-]?key)["']?\x20{0,8}(?::=|=>|[:=])\x20{0,8}(?:bearer\x20+)?["']?([^\s"'<>,;]+)""")
+_CREDENTIAL = re.compile(
+    r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private)[_-]?key)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+["']?"""
+    r"""(?:(?:basic|bearer|token|digest|negotiate|api-?key)[ \t]++)?["']?([^\s"'<>,;]+)"""
+)
+#: Characters of the longest credential word with its separator, or more.
+_WORD_LENGTH = 16
 #: What RE2 looks for before Python's patterns run: superset of all texts with a match.
-_MAYBE_ASSIGN = r"(?i)(pass|pwd|secret|token|credential|auth|bearer|key)[a-z_-]*[\"']? *[:=]"
+_MAYBE_ASSIGN = r"(?i)(pass|pwd|secret|token|credential|auth|bearer|key)[a-z_-]*[\"']?[ \t]*[:=]"
 _MAYBE_HEX = "[0-9a-f]{16}"
 
 #: log10 of the guesses from which a value counts as a secret, and the least length of a value.
@@ -135,11 +140,21 @@ def _covered(a: int, b: int, known: list[Span]) -> bool:
 
 
 def guess_spans(text: str, known: list[Span], least: float = LEAST_COST) -> list[Span]:
-    """Whole values in credential context that are dear to guess and not covered by base spans."""
-    out = []
-    for m in _CREDENTIAL.finditer(text):
-        a, b = m.span(1)
-        b -= len(m[1]) - len(m[1].rstrip(".!?:)]}|"))
+    """Whole values in credential context that are dear to guess and not covered by base spans.
+
+    A value that ends in a credential word may have one behind it: the search goes on before that word. Values inside
+    another are not scored by themselves, and a credential word in front of its own value is no value.
+    """
+    out, at, done = [], 0, 0
+    while m := _CREDENTIAL.search(text, at):
+        a, end = m.span(1)
+        at = max(a, end - _WORD_LENGTH)
+        if end <= done:
+            continue
+        done = end
+        if end - a <= _WORD_LENGTH and (own := _CREDENTIAL.match(text, a)) and own.start(1) >= end:
+            continue
+        b = end - len(m[1]) + len(m[1].rstrip(".!?:)]}|"))
         if b - a >= LEAST_LENGTH and not _covered(a, b, known) and guess_cost(text[a:b]) >= least:
             out.append((a, 3, b))
     return out
