@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loam.llm.common import bounded_batches, drop_table, materialize, release_shuffles, table, text_blocks
 from loam.llm.components import components
@@ -466,16 +467,33 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs with all their columns, but of each component only the row of the smallest doc_id.
 
-    Of several rows with that doc_id one stays. Rows without a doc_id can't be told apart by it and all stay.
+    Of several rows of a component with that doc_id one stays; texts of one doc_id in different components all stay.
+    Rows without a doc_id can't be told apart by it and all stay, and so do rows with the empty set.
     """
-    found = near_duplicates(docs, **how)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    again = found.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().where("count > 1")
-    if again.limit(1).count():
-        bare = out.where("doc_id is null")
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        out = out.where("doc_id is not null").withColumn("_nth", first).where("_nth = 1").drop("_nth").unionByName(bare)
+    found, seed = _linked(docs, **how)
+    key = docs["doc_id"].cast("long")
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(gone.unionByName(again.select(F.col("_again").alias("_gone"))).distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key == gone["_gone"], "left_anti")
+    if again.limit(1).count():  # rows of a repeated doc_id are told apart by their sets
+        width = how.get("width", 5)
+        at = docs.columns.index("text")
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in text_blocks(batches):
+                values, bounds = shingle_sets(block.column(at), width)
+                node = pa.array(identities(values, bounds, seed)[0].view(np.int64), mask=np.diff(bounds) == 0)
+                yield pa.RecordBatch.from_arrays([*block.columns, node], names=[*block.schema.names, "_node"])
+
+        rows = docs.join(again, key == again["_again"], "left_semi")
+        schema = StructType([*docs.schema.fields, StructField("_node", LongType())])
+        kept = found.where("n_shingles > 0").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_set"), F.col("root").alias("_root"), F.col("component_id").alias("_least")).distinct()
+        rows = rows.mapInArrow(tell, schema)
+        rows = rows.join(kept, (rows["doc_id"].cast("long") == kept["_doc"]) & (rows["_node"] == kept["_set"]), "left").where("_root is null or _least = _doc")
+        first = F.row_number().over(Window.partitionBy("_doc", "_root").orderBy(F.xxhash64("text"), "text"))
+        sole = rows.where("_root is not null").withColumn("_nth", first).where("_nth = 1")
+        out = out.unionByName(sole.select(*docs.columns)).unionByName(rows.where("_root is null").select(*docs.columns))
     return out
 
 

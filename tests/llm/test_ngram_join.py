@@ -118,3 +118,15 @@ def test_number_of_links(spark, monkeypatch, heavy, block, size):
     got = near_duplicates(docs, heavy=heavy).collect()
     want = links([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == want and max(n for _, n in want) > 32
+
+
+def test_one_key_on_different_texts(spark):
+    rng = random.Random(3)
+    x, y = words(rng, 60, 3000), words(rng, 60, 3000)
+    near = y + " tail"
+    rows = [(5, x), (5, y), (9, near), (5, y), (6, None), (6, ""), (6, "a b"), (6, "a b"), (7, x + " tail"), (None, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()), key=str) == brute(rows)
+    assert sorted(((r.doc_id, r.n_links) for r in near_duplicates(docs).collect()), key=str) == links(rows)
+    got = sorted(((r.doc_id, r.text) for r in one_of_each(docs).collect()), key=str)
+    assert got == sorted([(5, x), (5, y), (6, None), (6, ""), (6, "a b"), (None, y)], key=str)
