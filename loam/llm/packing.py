@@ -15,17 +15,18 @@ from loam.llm.common import bounded_batches, materialize, table, text_blocks, to
 BUCKETS, BUDGET, EXACT_BITS = 16, 65536, 12
 
 
-def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS, totals: np.ndarray | None = None) -> list[int]:
     """Upper bounds of at most `buckets` buckets, ascending, with the least total of counts * (bound - length).
 
-    lengths: distinct, ascending. Layer by layer, f[k][j] = min over i < j of f[k-1][i] + padding of lengths i+1..j;
+    lengths: distinct, ascending; where an item stands for several lengths, the greatest of them, and `totals` has the
+    sums of their lengths, so that padding is exact. Layer by layer, f[k][j] = min over i < j of f[k-1][i] + padding of lengths i+1..j;
     the best i never goes back as j goes up, so each layer is solved by halves.
     """
     n = len(lengths)
     if not n:
         return []
     count = np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
-    total = np.concatenate(([0], np.cumsum(counts * lengths))).astype(np.float64)
+    total = np.concatenate(([0], np.cumsum(counts * lengths if totals is None else totals))).astype(np.float64)
     size = lengths.astype(np.float64)
     f = np.concatenate(([0.0], size * count[1:] - total[1:]))
     came = []
@@ -77,13 +78,14 @@ def token_lengths(docs: DataFrame, tokenizer: str, end_ids: int = 1) -> DataFram
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_tokens, batch, place, padding of every row of (doc_id, n_tokens).
 
-    The global histogram of lengths gives the bounds. A row goes to the first bucket that holds it; a batch has
+    The global histogram of lengths gives the bounds: lengths that occur, with the least padding of all cuts between its
+    bins (single lengths below 2**EXACT_BITS). A row goes to the first bucket that holds it; a batch has
     budget // bucket_tokens rows of its bucket (one, if the bound is over the budget), all full but the last. Rows of
     equal length share a bucket; rows with equal keys each take a place, null keys too; an empty table gives none.
     """
     # At most 2**(EXACT_BITS - 1) lengths for each power of two.
-    told = lengths.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("length")
-    bounds = best_bounds(told["length"].to_numpy(np.int64), told["n"].to_numpy(np.int64), buckets)
+    told = lengths.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("most")).toPandas().sort_values("length")
+    bounds = best_bounds(*(told[c].to_numpy(np.int64) for c in ("most", "n")), buckets, told["total"].to_numpy(np.int64))
     bucket, top = F.lit(0), F.lit(bounds[0] if bounds else 1)
     for k in range(len(bounds) - 1):
         over = F.col("n_tokens") > bounds[k]

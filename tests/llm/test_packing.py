@@ -56,3 +56,13 @@ def test_rounding_is_up_and_bounded(spark):
 
     rows = spark.range(1, 300000, 7).select(F.col("id"), rounded(F.col("id")).alias("r")).collect()
     assert all(r.id <= r.r <= r.id * 1.001 + 1 for r in rows) and all(r.r == r.id for r in rows if r.id < 4096)
+
+
+def test_long_lengths_are_counted_exactly(spark):
+    lengths = [5001] * 3 + [8193, 8195, 8199, 9001] + [100003] * 2
+    rows = pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), 3).collect()
+    assert sorted({r.bucket_tokens for r in rows}) == [5001, 9001, 100003]
+    assert sum(r.padding for r in rows) == 808 + 806 + 802
+    assert padding([10, 20], [3, 1], best_bounds(np.array([10, 20]), np.array([3, 1]), 1, np.array([27, 20]))) == 30
+    one = pack(spark.createDataFrame([(1, 8193), (2, 8194), (3, 8201)], "doc_id long, n_tokens long"), 1).collect()
+    assert sum(r.padding for r in one) == 8 + 7
