@@ -1,22 +1,28 @@
 """Secret scans: patterns of keys and assignments, and a guess-cost model for values in credential context.
 
-A value that follows a credential word and a separator is cut into words, dates, repeats, keyboard walks and
-brute-force spans so that the sum of their guess costs (log10 of guesses) is least; a value that is still dear is a
-secret, whatever characters it has.
+A value that follows a credential word and a separator is cut into words, dates, repeats, walks and brute-force spans so
+that the sum of their guess costs (log10 of guesses) is least; a value that is still dear is a secret, whatever
+characters it has. Words come from a fixed list of passwords, from the vocabulary of a public tokenizer, whose ids rank
+them, and from the running text of the corpus itself.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loam.llm.common import bounded_batches, table, text_blocks
+from loam.llm.common import bounded_batches, table, text_blocks, tokenizer_path
 
 #: Kinds in their order; `guess` is the method's own.
 KINDS = ("assign", "access", "hex", "guess")
@@ -36,6 +42,8 @@ _MAYBE_HEX = "[0-9a-f]{16}"
 #: log10 of the guesses from which a value counts as a secret, and the least length of a value.
 LEAST_COST, LEAST_LENGTH = 10.0, 8
 
+# ---------------------------------------------------------------- words
+
 #: Frequent passwords and words of passwords, the commonest first.
 WORDS = """password qwerty admin welcome login letmein monkey dragon master iloveyou sunshine princess football baseball
 shadow superman michael jordan secret hello charlie trustno whatever freedom hunter summer winter spring autumn
@@ -45,76 +53,169 @@ service account online mobile office money love baby angel lucky happy star tige
 battery staple black white green blue yellow purple silver golden january february march april june july august
 september october november december monday tuesday friday sunday the and you your this that from with none null true
 false string value token key""".split()
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: Words that the corpus gives at most, how often one stands there at least, and letters of a word of either vocabulary.
+CORPUS_WORDS, LEAST_COUNT, LETTERS = 20_000, 3, (4, 24)
+#: The most that a word costs: a value of four words or fewer counts as text, not as a secret.
+WORD_COST = 2.4
+#: Words in running text, between two others: what stands behind a colon or an equals sign is no word of a vocabulary.
+_RUNNING = rf"(?<=\p{{L}} )\p{{Ll}}{{{LETTERS[0]},{LETTERS[1]}}}(?= \p{{L}})"
+
+
+def vocabulary(path: str) -> list[str]:
+    """Words of a byte-level tokenizer file that begin with a space, lower-cased, in the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        ranks = json.load(f)["model"]["vocab"]
+    words = ((i, t[1:].lower()) for t, i in ranks.items() if t[:1] == "\u0120" and t[1:].isascii() and t[1:].isalpha())
+    return list(dict.fromkeys(w for _, w in sorted(words) if LETTERS[0] <= len(w) <= LETTERS[1]))
+
+
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_COUNT) -> list[str]:
+    """The most frequent words of running text in all documents, the commonest first; at most `most`, so the list is bounded."""
+    every = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_RUNNING), F.lit(0))).alias("word"))
+    top = every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
+    return [r["word"] for r in top.collect()]
+
+
+class Lexicon:
+    """Costs of words: log10 of the rank in the list where it is commonest, at most WORD_COST."""
+
+    def __init__(self, *lists: list[str]):
+        self.costs: dict[str, float] = {}
+        for words in lists:
+            for rank, w in enumerate(words, 1):
+                cost = min(math.log10(rank + 1), WORD_COST)
+                if cost < self.costs.get(w, math.inf):
+                    self.costs[w] = cost
+        self._finder = None
+
+    def __getstate__(self) -> dict:
+        return {"costs": self.costs, "_finder": None}  # the automaton is built where it is used
+
+    def found(self, text: str) -> list[tuple[int, int, float]]:
+        """end, begin, cost of every word that stands in a text, by end; one reading of the text."""
+        if self._finder is None:
+            self._finder = ahocorasick.Automaton()
+            for w, cost in self.costs.items():
+                self._finder.add_word(w, (len(w), cost))
+            self._finder.make_automaton()
+        return [(end + 1, end + 1 - n, cost) for end, (n, cost) in self._finder.iter(text)] if self.costs else []
+
+
+@functools.lru_cache(4)
+def common_words(path: str | None = None) -> Lexicon:
+    """The lexicon of the fixed list and of a tokenizer's vocabulary."""
+    return Lexicon(WORDS, vocabulary(path or tokenizer_path("byte_bpe_50k.json")))
+
+
+def lexicon(docs: DataFrame, path: str | None = None) -> Lexicon:
+    """The lexicon of the fixed list, a tokenizer's vocabulary, and the running text of all documents."""
+    return Lexicon(WORDS, vocabulary(path or tokenizer_path("byte_bpe_50k.json")), corpus_words(docs))
+
+
+# ---------------------------------------------------------------- guess costs
+
 #: Characters that are written for letters.
 _LETTER = str.maketrans("@43105$7!", "aaeiossti")
 #: Rows of a keyboard; a walk goes to a key beside, above or below, or up and down the alphabet.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_PLACE = {c: (r, x + 0.5 * (r > 1) + 0.5 * (r > 0)) for r, row in enumerate(ROWS) for x, c in enumerate(row)}
-_DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d")
-_REPEAT = re.compile(r"(.{1,16}?)\1+", re.S)
-
-
-def _brute(c: str, before: str = "") -> float:
-    """Cost of one character: its alphabet, or what letters of a language leave open where small letters go on."""
-    if before.islower() and c.islower():
-        return 0.7
-    return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
-
+_PLACE = np.full((128, 2), -9.0)
+for _r, _row in enumerate(ROWS):
+    for _x, _c in enumerate(_row):
+        _PLACE[ord(_c)] = _r, _x + 0.5 * (_r > 1) + 0.5 * (_r > 0)
+_DATE = re.compile(r"(?=((?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\3(?:19|20)?\d\d|(?:19|20)\d\d))")
+#: Characters of the longest part that a repeat is made of.
+LONGEST_PART = 16
+#: Where a walk begins, a step that goes on as the one before or turns, a change of case, letters written over, the year alone and a whole date.
+START, STRAIGHT, TURN, CASE, OVER, YEAR, DATE = 1.7, 0.1, 0.6, 0.3, 0.5, 2.1, 4.5
+
+
+def _steps(code: np.ndarray) -> np.ndarray:
+    """What a walk pays for going from each character to the next; inf where it can't."""
+    out = np.full(max(len(code) - 1, 0), np.inf)
+    if len(code) < 2:
+        return out
+    known = code < 128
+    place = _PLACE[np.where(known, code, 0)]
+    ok = known & (place[:, 0] >= 0)
+    move = np.diff(place, axis=0)
+    near = ok[1:] & ok[:-1] & (np.abs(move) <= 1).all(1) & (move != 0).any(1)
+    up = np.diff(code)
+    run = (np.abs(up) == 1) & ((code[1:] < 128) & (code[:-1] < 128))
+    same = np.zeros(len(out), bool)
+    same[1:] = (move[1:] == move[:-1]).all(1)
+    out[near] = np.where(same[near], STRAIGHT, TURN)
+    alike = np.zeros(len(out), bool)
+    alike[1:] = up[1:] == up[:-1]
+    out[run] = np.minimum(out[run], np.where(alike[run], STRAIGHT, TURN))
+    return out
 
-def _next(a: str, b: str) -> bool:
-    if a in _PLACE and b in _PLACE:
-        (r, x), (s, y) = _PLACE[a], _PLACE[b]
-        return a != b and abs(r - s) <= 1 and abs(x - y) <= 1
-    return abs(ord(a) - ord(b)) == 1
 
+def _repeats(code: np.ndarray, before: np.ndarray) -> list[tuple[int, int, float]]:
+    """end, begin, cost of repeats of parts of up to LONGEST_PART characters.
 
-def _walks(low: str) -> list[int]:
-    """For each position, where the longest walk from it ends: along keys or by one direction in the alphabet."""
-    n = len(low)
-    keys, up, down = ([0] * n for _ in range(3))
-    for i in range(n - 1, -1, -1):
-        step = ord(low[i + 1]) - ord(low[i]) if i + 1 < n and low[i].isalnum() else 0
-        keys[i] = keys[i + 1] if i + 1 < n and _next(low[i], low[i + 1]) else i + 1
-        up[i] = up[i + 1] if step == 1 else i + 1
-        down[i] = down[i + 1] if step == -1 else i + 1
-    return [max(a, b, c) for a, b, c in zip(keys, up, down, strict=True)]
+    A run of a period is as long as its characters equal those one period on; a repeat begins in the run's first period
+    and takes as many whole parts as fit. So there are a few for each run, and all of them are found in linear time.
+    """
+    out = []
+    for p in range(1, min(LONGEST_PART, len(code) // 2) + 1):
+        same = np.concatenate(([False], code[p:] == code[:-p], [False]))
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            end = b + p  # the run holds a..end - 1
+            for i in range(a, min(a + p, end - 2 * p + 1)):
+                times = (end - i) // p
+                if times * p >= 3:
+                    out.append((i + times * p, i, float(before[i + p] - before[i]) + math.log10(times)))
+    return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Lexicon | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value.
 
-    best[j] = min over segments i..j of best[i] + cost: a dictionary word (its rank, doubled for capitals, tripled
-    for written-over letters), a date, a repeat (cost of the part, times how often), a walk (start, length), or one
-    character by brute force. Words have bounded length, the others go on as far as they can or less.
+    best[j] = min over segments i..j of best[i] + cost: a word (its rank, more for capitals and for letters written
+    over), a date, a repeat (cost of the part, times how often), a walk of three keys or more (where it begins, and each
+    step), or one character by brute force. Time and memory are linear in the value, whatever it holds.
     """
     n = len(value)
-    low = value.lower() if len(value.lower()) == n else value
+    if not n:
+        return 0.0
+    words = words or common_words()
+    low = value.lower()
+    if len(low) != n:
+        low = "".join(c if len(d := c.lower()) != 1 else d for c in value)
     plain = low.translate(_LETTER)
-    walk = _walks(low)
-    best = [0.0] + [math.inf] * n
-
-    def reach(i: int, j: int, cost: float) -> None:
-        if best[i] + cost < best[j]:
-            best[j] = best[i] + cost
-
-    for i in range(n):
-        reach(i, i + 1, _brute(value[i], value[i - 1] if i else ""))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(plain[i:j]):
-                reach(i, j, math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0) + (0.5 if plain[i:j] != low[i:j] else 0))
-        if walk[i] - i >= 3:
-            for j in range(i + 3, min(walk[i], i + 64) + 1):
-                reach(i, j, 1.7 + math.log10(j - i) + 0.3 * (value[i:j] != low[i:j]))
-            reach(i, walk[i], 1.7 + math.log10(walk[i] - i) + 0.3)
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            reach(i, m.end(), 2.1 if m.end() - i == 4 else 4.5)
-        if m := _REPEAT.match(value, i):
-            part = m[1]
-            if m.end() - i >= 3:
-                cost = sum(map(_brute, part)) if len(part) < 3 else min(sum(map(_brute, part)), math.log10(_RANK.get(part.lower().translate(_LETTER), 1e30) + 1))
-                reach(i, m.end(), cost + math.log10((m.end() - i) // len(part)))
+    code, small, read = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (value, low, plain))
+    capital, written = (np.concatenate(([0], np.cumsum(x))).tolist() for x in (code != small, small != read))
+    digit, letter = (code >= 48) & (code <= 57), (small >= 97) & (small <= 122)
+    brute = np.where(digit, 1.0, np.where(letter, math.log10(26), np.where(code < 128, math.log10(33), 2.0)))
+    step = _steps(small)
+    turned = (code != small)[1:] != (code != small)[:-1]
+    step = (step + CASE * turned).tolist()
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for end, begin, cost in words.found(plain):
+        cost += (CASE if capital[end] > capital[begin] else 0) + (OVER if written[end] > written[begin] else 0)
+        ends.setdefault(end, []).append((begin, cost))
+    for end, begin, cost in _repeats(code, np.concatenate(([0], np.cumsum(brute)))):
+        ends.setdefault(end, []).append((begin, cost))
+    if digit.any():
+        for m in _DATE.finditer(value):
+            ends.setdefault(m.end(1), []).append((m.start(1), YEAR if m.end(1) - m.start(1) == 4 else DATE))
+    best, inf, brute = [0.0] * (n + 1), math.inf, brute.tolist()
+    one = two = more = inf  # the cheapest walk of one, of two, and of more characters that ends here
+    for j in range(1, n + 1):
+        at = j - 1
+        go = step[at - 1] if at else inf
+        more = (two if two < more else more) + go
+        two = one + go
+        one = best[at] + START
+        cost = best[at] + brute[at]
+        if more < cost:
+            cost = more
+        if j in ends:
+            for begin, c in ends[j]:
+                if best[begin] + c < cost:
+                    cost = best[begin] + c
+        best[j] = cost
     return best[n]
 
 
@@ -131,21 +232,26 @@ def base_spans(text: str, assign: bool = True, hexes: bool = True) -> list[Span]
     return sorted(out)
 
 
-def _covered(a: int, b: int, known: list[Span]) -> bool:
-    """Whether sorted spans cover all of a..b."""
-    for s, _, e in known:
-        if s <= a < e:
-            a = e
-    return a >= b
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Begins and ends of what sorted spans cover together."""
+    begins, ends = [], []
+    for s, _, e in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
+    return begins, ends
 
 
-def guess_spans(text: str, known: list[Span], least: float = LEAST_COST) -> list[Span]:
+def guess_spans(text: str, known: list[Span], words: Lexicon | None = None, least: float = LEAST_COST) -> list[Span]:
     """Whole values in credential context that are dear to guess and not covered by base spans.
 
     A value that ends in a credential word may have one behind it: the search goes on before that word. Values inside
     another are not scored by themselves, and a credential word in front of its own value is no value.
     """
     out, at, done = [], 0, 0
+    begins, ends = _merged(known)
     while m := _CREDENTIAL.search(text, at):
         a, end = m.span(1)
         at = max(a, end - _WORD_LENGTH)
@@ -155,12 +261,14 @@ def guess_spans(text: str, known: list[Span], least: float = LEAST_COST) -> list
         if end - a <= _WORD_LENGTH and (own := _CREDENTIAL.match(text, a)) and own.start(1) >= end:
             continue
         b = end - len(m[1]) + len(m[1].rstrip(".!?:)]}|"))
-        if b - a >= LEAST_LENGTH and not _covered(a, b, known) and guess_cost(text[a:b]) >= least:
+        k = bisect_right(begins, a) - 1
+        covered = k >= 0 and ends[k] >= b
+        if b - a >= LEAST_LENGTH and not covered and guess_cost(text[a:b], words) >= least:
             out.append((a, 3, b))
     return out
 
 
-def _spans_of(block: pa.RecordBatch) -> Iterator[tuple[str, list[Span], list[Span]]]:
+def _spans_of(block: pa.RecordBatch, words: Lexicon) -> Iterator[tuple[str, list[Span], list[Span]]]:
     texts = block.column("text")
     assign = pc.fill_null(pc.match_substring_regex(texts, _MAYBE_ASSIGN), False).to_pylist()
     hexes = pc.fill_null(pc.match_substring_regex(texts, _MAYBE_HEX), False).to_pylist()
@@ -171,7 +279,7 @@ def _spans_of(block: pa.RecordBatch) -> Iterator[tuple[str, list[Span], list[Spa
             continue
         text = texts[i].as_py()
         base = base_spans(text, assign[i], hexes[i])
-        yield text, base, guess_spans(text, base) if assign[i] else []
+        yield text, base, guess_spans(text, base, words) if assign[i] else []
 
 
 def _joined(spans: list[Span]) -> str:
@@ -181,19 +289,20 @@ def _joined(spans: list[Span]) -> str:
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every whole text.
+def scan(docs: DataFrame, words: Lexicon | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every whole text. words: else the lexicon of docs.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, with a comma between; base_sha256
     is over the base kinds alone. A null text has no spans. Repeated rows each give a row, an empty table none; other
     columns are not read.
     """
     bounded_batches(docs.sparkSession)
+    words = words or lexicon(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             rows = []
-            for _, base, more in _spans_of(block):
+            for _, base, more in _spans_of(block, words):
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest() if base else _EMPTY, _joined(sorted(base + more))))
             cols = [block.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5))]
@@ -206,19 +315,20 @@ def scan(docs: DataFrame) -> DataFrame:
 MASK = "[secret]"
 
 
-def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
+def redact(docs: DataFrame, mask: str = MASK, words: Lexicon | None = None) -> DataFrame:
     """The same rows and columns with every span of a secret replaced; overlapping spans become one.
 
     Where a text changes and there is a column n_chars, it is counted anew. Texts without spans, null ones too, stay as
     they are.
     """
     bounded_batches(docs.sparkSession)
+    words = words or lexicon(docs)
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             changed: dict[int, str] = {}
-            for i, (text, base, more) in enumerate(_spans_of(block)):
+            for i, (text, base, more) in enumerate(_spans_of(block, words)):
                 if spans := sorted(base + more):
                     parts, done = [], 0
                     for k, (a, _, b) in enumerate(spans):

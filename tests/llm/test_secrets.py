@@ -1,8 +1,15 @@
 import hashlib
+import math
 import random
 import re
+import string
+import time
 
-from loam.llm.secrets import KINDS, MASK, guess_cost, redact, scan
+import numpy as np
+import pytest
+
+from loam.llm import secrets
+from loam.llm.secrets import KINDS, LEAST_COST, MASK, common_words, guess_cost, redact, scan
 from tests.llm.tables import empty_docs, odd_docs
 
 WORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -39,6 +46,85 @@ def test_cheap_and_dear_values():
     assert guess_cost("q" * 50000 + "zx8") < 30
 
 
+def test_dictionary_words_and_random_letters():
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    words = [w for w in common_words().costs if len(w) >= 4]
+    assert sum(guess_cost(letters(12)) >= LEAST_COST for _ in range(300)) >= 294
+    assert all(guess_cost("".join(rng.choice(words) for _ in range(4))) < LEAST_COST for _ in range(300))
+    assert guess_cost("qzxvkwpjhymw") >= 10 and guess_cost("correcthorsebatterystaple") < 10
+
+
+@pytest.mark.parametrize("value", ["a" * 10**6, "ab" * 500_000, "password2019" * 83_333, "qwertyuiop" * 100_000, "x9$Kq!2vLp" * 100_000, "12341234" * 125_000])
+def test_long_values_take_linear_time(value):
+    common_words().found("")
+    began = time.process_time()
+    guess_cost(value)
+    assert time.process_time() - began < 10  # some 3 s on an idle core
+
+
+def slow_cost(value):
+    """The same segments, found one by one."""
+    low, n = value.lower(), len(value)
+    plain = low.translate(secrets._LETTER)
+    steps = secrets._steps(np.array([ord(c) for c in low]))
+    each = [1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33) for c in value]
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        best[j] = best[j - 1] + each[j - 1]
+        for i in range(j):
+            part, cost = value[i:j], math.inf
+            if plain[i:j] in common_words().costs:
+                cost = common_words().costs[plain[i:j]] + 0.3 * (part != low[i:j]) + 0.5 * (plain[i:j] != low[i:j])
+            if j - i >= 3:
+                walk = 1.7 + sum(steps[k] + 0.3 * (value[k].isupper() != value[k + 1].isupper()) for k in range(i, j - 1))
+                cost = min(cost, walk)
+            if j - i == 4 and re.fullmatch("(19|20)[0-9][0-9]", part):
+                cost = min(cost, 2.1)
+            for p in range(1, 17):
+                whole = (j - i) % p == 0 and (j - i) >= max(3, 2 * p) and part == part[:p] * ((j - i) // p)
+                begins = whole and not (i >= p and value[i - p : i] == part[:p])
+                ends = whole and value[j : j + p] != part[:p]
+                if whole and begins and ends:
+                    cost = min(cost, sum(each[i : i + p]) + math.log10((j - i) // p))
+            best[j] = min(best[j], best[i] + cost)
+    return best[n]
+
+
+def test_against_segments_one_by_one():
+    rng = random.Random(8)
+    parts = ["pass", "word", "P@ss", "qwe", "asd", "abc", "2019", "aaa", "abab", "x9", "K", "!", "token", "Hunter", "321", "zz"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))
+        assert abs(guess_cost(value) - slow_cost(value)) < 1e-9, value
+
+
+def test_planted_secrets_are_found_and_words_are_not(spark):
+    rng = random.Random(21)
+    kinds = [string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "!$%&*#@?^~"]
+    common = [w for w in common_words().costs if len(w) >= 5]
+    prose = " ".join(rng.choice(common) for _ in range(300))
+    rows, want = [], {}
+    for i in range(400):
+        head = f"{prose[: rng.randrange(50, 800)]} {rng.choice(['pwd', 'passphrase', 'Credentials', 'Authorization', 'private_key'])}{rng.choice([': ', ' = ', ':', ' := '])}"
+        value = "".join(rng.choice(kinds[i % 3]) for _ in range(rng.randrange(11, 20))) if i % 2 else "".join(rng.choice(common) for _ in range(rng.randrange(1, 4)))
+        rows.append((i, f"{head}{value} and {prose[:100]}"))
+        want[i] = f"guess:{len(head)}:{len(head) + len(value)}" if i % 2 else ""
+    got = {r.doc_id: r.spans for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want[i] in got[i] for i in want if i % 2) >= 0.95 * 200
+    assert all("guess" not in got[i] for i in want if not i % 2)
+
+
+def test_words_of_the_corpus(spark):
+    rows = [(i, "the ththonedbly ingoner was here and the ththonedbly went. pwd: zqxwvkjqpzkf and more") for i in range(4)] + [(9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.corpus_words(docs)
+    assert words[0] == "ththonedbly" and "ingoner" in words and "zqxwvkjqpzkf" not in words
+    assert secrets.corpus_words(docs, most=1) == ["ththonedbly"] and secrets.corpus_words(empty_docs(spark)) == []
+    assert guess_cost("ththonedblyingoner", secrets.Lexicon(words)) < 5 and guess_cost("ththonedblyingoner") > 10
+    assert all("guess" in r.spans for r in scan(docs).where("doc_id < 4").collect())
+
+
 def test_values_in_context(spark):
     rows = [(1, "pwd: x9$Kq!2vLp and more"), (2, "pwd: qwertyuiop"), (3, "the token thonanter was read"), (4, "Private-Key => 'vJ7!mQ2@xZ9', ok"), (5, "token = 0b7a44cc12fe98aa77"), (6, "x9$Kq!2vLp alone")]
     got = {r.doc_id: r.spans for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
