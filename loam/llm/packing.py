@@ -11,38 +11,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loam.llm.bytebpe import ByteEncoder
 from loam.llm.common import bounded_batches, materialize, table, text_blocks, tokenizer_path, with_slots
 
-#: Buckets, tokens of a batch with its padding, and the length from which lengths are rounded up to EXACT_BITS bits.
-BUCKETS, BUDGET, EXACT_BITS = 16, 65536, 12
+#: Buckets, tokens of a batch with its padding, and the binary digits of a length; those of longer ones are rounded up.
+BUCKETS, BUDGET, EXACT_BITS = 16, 65536, 20
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS, totals: np.ndarray | None = None) -> list[int]:
     """Upper bounds of at most `buckets` buckets, ascending, with the least total of counts * (bound - length).
 
     lengths: distinct, ascending; where an item stands for several lengths, the greatest of them, and `totals` has the
-    sums of their lengths, so that padding is exact. Layer by layer, f[k][j] = min over i < j of f[k-1][i] + padding of lengths i+1..j;
-    the best i never goes back as j goes up, so each layer is solved by halves.
+    sums of their lengths, so that padding is exact. Layer by layer, f[k][j] = min over i < j of f[k-1][i] + padding of lengths i+1..j.
+    That padding is size[j] * (count[j] - count[i]) - (total[j] - total[i]), so each i is a line in size[j], with slopes
+    that fall as i goes up: the lower envelope of the lines gives a layer in linear time.
     """
     n = len(lengths)
     if not n:
         return []
-    count = np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
-    total = np.concatenate(([0], np.cumsum(counts * lengths if totals is None else totals))).astype(np.float64)
-    size = lengths.astype(np.float64)
-    f = np.concatenate(([0.0], size * count[1:] - total[1:]))
+    count = np.concatenate(([0], np.cumsum(counts))).tolist()
+    total = np.concatenate(([0], np.cumsum(counts * lengths if totals is None else totals))).tolist()
+    size = [0, *lengths.tolist()]
+    f = [0, *(size[j] * count[j] - total[j] for j in range(1, n + 1))]
     came = []
     for _ in range(1, min(buckets, n)):
-        g, at = f.copy(), np.zeros(n + 1, np.int64)
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            cost = f[i] + size[j - 1] * (count[j] - count[i]) - (total[j] - total[i])
-            x = int(cost.argmin())
-            g[j], at[j] = cost[x], i[x]
-            todo += [(lo, j - 1, a, int(i[x])), (j + 1, hi, int(i[x]), b)]
+        g, at = f.copy(), [0] * (n + 1)
+        hull: list[int] = []  # lines that are lowest somewhere, by falling slope
+        first = 0
+        for j in range(1, n + 1):
+            i = j - 1
+            b = f[i] + total[i]
+            while len(hull) - first >= 2:  # the last line is nowhere below both its neighbours
+                p, q = hull[-2], hull[-1]
+                bp, bq = f[p] + total[p], f[q] + total[q]
+                if (b - bp) * (count[q] - count[p]) <= (bq - bp) * (count[i] - count[p]):
+                    hull.pop()
+                else:
+                    break
+            hull.append(i)
+            x = size[j]
+            while len(hull) - first >= 2 and f[hull[first + 1]] + total[hull[first + 1]] - x * count[hull[first + 1]] <= f[hull[first]] + total[hull[first]] - x * count[hull[first]]:
+                first += 1
+            i = hull[first]
+            g[j], at[j] = f[i] + total[i] - x * count[i] + x * count[j] - total[j], i
         came.append(at)
         f = g
     out, j = [], n
@@ -56,7 +64,8 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS,
 
 
 def rounded(length: Column, bits: int = EXACT_BITS) -> Column:
-    """Lengths under 2**bits as they are, longer ones rounded up to `bits` binary digits: the histogram stays bounded."""
+    """Lengths under 2**bits as they are, longer ones rounded up to `bits` binary digits: the histogram stays bounded by
+    the lengths that occur and by 2**bits for each doubling of the longest."""
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(length.cast("double"))) - (bits - 1), F.lit(0)))
     return (F.ceil(length / step) * step).cast("long")
 
@@ -90,12 +99,13 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     for k in range(len(bounds) - 1):
         over = F.col("n_tokens") > bounds[k]
         bucket, top = F.when(over, k + 1).otherwise(bucket), F.when(over, bounds[k + 1]).otherwise(top)
-    rows = with_slots(lengths.withColumn("bucket", bucket.cast("int")).withColumn("bucket_tokens", top.cast("long")), "bucket", [F.col("doc_id"), F.col("n_tokens")])
+    rows = with_slots(lengths.withColumn("bucket", bucket.cast("int")).withColumn("bucket_tokens", top.cast("long")), "bucket", [F.col("doc_id"), F.col("n_tokens")], rows=int(told["n"].sum()))
     room = F.greatest(F.floor(F.lit(budget) / F.col("bucket_tokens")), F.lit(1)).cast("long")
     return rows.select("doc_id", "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("slot") / room).cast("long").alias("batch"), (F.col("slot") % room).cast("long").alias("place"), (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """`pack` over the lengths of all documents in ids of a tokenizer; null and empty texts have their end id alone."""
     return pack(materialize(token_lengths(docs, tokenizer), "lengths"), buckets, budget)
 
 

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loam.llm.common import tokenizer_path
 from loam.llm.packing import best_bounds, pack, pack_documents, rounded
@@ -52,9 +53,7 @@ def test_odd_rows(spark):
 
 
 def test_rounding_is_up_and_bounded(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.range(1, 300000, 7).select(F.col("id"), rounded(F.col("id")).alias("r")).collect()
+    rows = spark.range(1, 300000, 7).select(F.col("id"), rounded(F.col("id"), 12).alias("r")).collect()
     assert all(r.id <= r.r <= r.id * 1.001 + 1 for r in rows) and all(r.r == r.id for r in rows if r.id < 4096)
 
 
@@ -64,5 +63,6 @@ def test_long_lengths_are_counted_exactly(spark):
     assert sorted({r.bucket_tokens for r in rows}) == [5001, 9001, 100003]
     assert sum(r.padding for r in rows) == 808 + 806 + 802
     assert padding([10, 20], [3, 1], best_bounds(np.array([10, 20]), np.array([3, 1]), 1, np.array([27, 20]))) == 30
+    assert spark.range(1 << 20).where(rounded(F.col("id")) != F.col("id")).count() == 0
     one = pack(spark.createDataFrame([(1, 8193), (2, 8194), (3, 8201)], "doc_id long, n_tokens long"), 1).collect()
     assert sum(r.padding for r in one) == 8 + 7
