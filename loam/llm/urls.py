@@ -33,9 +33,10 @@ def path_of(url: Column) -> Column:
 
 
 def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest rule that fits, and its verdict; both null where none fits. Rules of one length: the first."""
+    """The longest rule that fits, and its verdict; both null where none fits. Of rules of one length an allow goes
+    before a block."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for say, text in sorted(rules, key=lambda r: len(r[1])):  # a longer rule is asked first
+    for say, text in sorted(rules, key=lambda r: (len(r[1]), r[0] == "allow")):  # the last of them is asked first
         of, _, rest = text.partition("/")
         fits = ((host == of) | F.endswith(host, F.lit(f".{of}"))) & F.startswith(path, F.lit(f"/{rest}"))
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, say).otherwise(verdict)

@@ -79,3 +79,20 @@ def test_all_links_of_a_page(spark):
     rows += [(20, "http://m.org/a", None), (21, "http://m.org/b", None), (22, "http://m.org/c", None), (30, blocked, None)]
     got = {r.page_id: (r.verdict, r.by) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**dict.fromkeys([0, 1, 2, 3, 4, 20, 21, 22], ("block", "alias")), 9: ("allow", "default"), 10: ("allow", "default"), 30: ("block", "rule")}
+
+
+def test_rules_of_one_length(spark):
+    docs = spark.createDataFrame([(1, "http://a.com/x/1", None)], "page_id long, url string, html string")
+    for rules in ((("allow", "a.com/x/"), ("block", "a.com/x/")), (("block", "a.com/x/"), ("allow", "a.com/x/"))):
+        assert [r.verdict for r in judge(docs, rules).collect()] == ["allow"]
+
+
+def test_many_aliases_and_long_pages(spark):
+    """A chain of 3000 redirects to a blocked URL, a hub of 3000 pages with one canonical URL, and a very long page."""
+    rows = [(i, f"http://c{i}.org/", f'<meta http-equiv="refresh" content="0;url=http://c{i + 1}.org/">') for i in range(3000)]
+    rows += [(3000, "http://c3000.org/", '<link rel="canonical" href="http://x.net/fr/1">')]
+    rows += [(10000 + i, f"http://h{i}.org/", '<link rel="canonical" href="http://hub.org/">') for i in range(3000)]
+    rows += [(20000, "http://long.org/", "<p>" + "redirect location canonical " * 100_000 + '<link rel="canonical" href="http://x.net/es/1">')]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in judge(docs).collect()}
+    assert all(got[i] == "block" for i in range(3001)) and all(got[10000 + i] == "allow" for i in range(3000)) and got[20000] == "block"
