@@ -1,9 +1,11 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Every vector goes to its nearest pivot. A group's summary is its pivot, size and radius; by Cauchy-Schwarz a query q
-scores q.p + |q| r at most in a group. Each query is solved in its best group first, which gives its k-th score; it
-then goes only to groups that can hold a score as high. Large groups are cut into blocks by a hash of the id, and
-queries, the smaller side, are what is replicated.
+Queries and data go to their nearest pivot each. The summary of a group is its pivot, size and radius. A query group
+(pivot p, radius r) and a data group (pivot s, radius t) score p.s + |p| t + |s| r + r t at most by Cauchy-Schwarz, and a
+single query q in a data group q.s + |q| t. Each query group is solved in the data group of its own pivot first, which
+gives every query a k-th score and the group its least one; a data group is then replicated only to those query groups
+whose bound with it reaches that, and a query goes only where its own bound reaches its own. Data groups are cut into
+blocks by a hash of the id, query groups into packs of bounded size, so no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loam.llm.common import bounded_batches, drop_table, materialize, table
 
-#: Vectors for each pivot, the least and most pivots, vectors of a block, queries that meet a block at once.
-PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS, BLOCK, QUERIES = 2000, 8, 256, 4096, 8192
+#: Vectors for each pivot, the least and most pivots (groups beyond that are cut into more blocks), vectors of a block,
+#: queries of a pack, which is what meets a block at once.
+PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS, BLOCK, QUERIES = 2000, 8, 1024, 4096, 8192
 GRID = 256
 
 
@@ -77,6 +80,18 @@ def _solve(t: pa.Table, q: pa.Table, k: int, width: int) -> pa.Table:
     return pa.table([pa.array(np.concatenate([o[c] for o in out])).cast(pa.int64()) for c in range(3)], names=names)
 
 
+def _packs(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first pack of each query group and the number of its packs: a large group has several, small ones share one."""
+    parts = np.maximum(1, -(-many // QUERIES))
+    first, at, room = np.zeros(len(many), np.int64), -1, 0
+    for g, n in enumerate(many.tolist()):
+        if parts[g] > 1 or n > room or at < 0:
+            first[g], at, room = at + 1, at + int(parts[g]), 0 if parts[g] > 1 else QUERIES - n
+        else:
+            first[g], room = at, room - n
+    return first, parts
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int = 5, grid: int = GRID) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the highest integer inner product for each query, ties to smaller
     ids; fewer where there are fewer. vectors and queries: vec_id, embedding.
@@ -87,76 +102,94 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = 5, grid: int = GRI
     """
     bounded_batches(vectors.sparkSession)
     held = materialize(quantized(vectors, grid), "vectors")
+    asked = materialize(quantized(queries, grid).select(F.col("vec_id").alias("query_id"), "vec"), "queries")
     facts = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0)).alias("w")).first()
-    n, width = facts["n"], facts["w"] // 8
+    n, width = facts["n"], max(facts["w"], asked.agg(F.coalesce(F.max(F.octet_length("vec")), F.lit(0))).first()[0]) // 8
     pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // PER_PIVOT))
     # At most MOST_PIVOTS rows.
     picked = held.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(pivots).toArrow()
     p = np.unique(_matrix(picked.column("vec").combine_chunks(), width), axis=0) if picked.num_rows else np.zeros((1, width))
 
-    def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None])
-        g = d.argmin(1)
-        return g.astype(np.int32), np.sqrt(((x - p[g]) ** 2).sum(1))
-
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                g, r = nearest(_matrix(batch.column("vec"), width))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g), pa.array(r)], names=["vec_id", "vec", "cell", "r"])
+                x = _matrix(batch.column("vec"), width)
+                cell = np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None]).argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(((x - p[cell]) ** 2).sum(1)))], names=[*batch.schema.names, "cell", "r"])
+
+    def summary(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Size and radius of each group; a row for each pivot comes to the driver."""
+        got = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).toPandas()
+        size, radius = np.zeros(len(p), np.int64), np.zeros(len(p))
+        size[got["cell"]], radius[got["cell"]] = got["n"], got["r"]
+        return size, radius
 
     cells = held.mapInArrow(assign, "vec_id long, vec binary, cell int, r double")
-    summary = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).toPandas()  # a row for each pivot
-    size, radius = np.zeros(len(p), np.int64), np.zeros(len(p))
-    size[summary["cell"]], radius[summary["cell"]] = summary["n"], summary["r"]
+    asking = asked.mapInArrow(assign, "query_id long, vec binary, cell int, r double")
+    (size, radius), (many, reach) = summary(cells), summary(asking)
     blocks = np.maximum(1, -(-size // BLOCK))
-    asked = quantized(queries, grid)
-    chunks = max(1, -(-queries.count() // QUERIES))
-
-    def bounds(x: np.ndarray) -> np.ndarray:
-        """The most that each query can score in each group; -inf for empty groups."""
-        norm = np.sqrt((x * x).sum(1))[:, None]
-        most = x @ p.T + norm * radius[None]
-        return np.where(size[None] > 0, most + 1 + 1e-9 * np.abs(most), -np.inf)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Without `least`: the group of the highest bound. With it: the others that can hold as high a score."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            most = bounds(_matrix(batch.column("vec"), width))
-            home = most.argmax(1)
-            if "least" in batch.schema.names:
-                go = most >= np.asarray(batch.column("least").fill_null(-np.inf), np.float64)[:, None]
-                go &= most > -np.inf
-                go[np.arange(len(home)), home] = False
-                row, cell = np.nonzero(go)
-            else:
-                row, cell = np.arange(len(home)), home
-            times = blocks[cell]
-            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("vec").take(at), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], names=["query_id", "vec", "cell", "block"])
-
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
-    many = F.array(*(F.lit(int(b)) for b in blocks))
-    data = cells.select("vec_id", "vec", "cell", F.pmod(F.xxhash64("vec_id"), many[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    key = ["cell", "block", "chunk"]
-
-    def solve(routed: DataFrame) -> DataFrame:
-        dealt = routed.mapInArrow(route, "query_id long, vec binary, cell int, block int").withColumn("chunk", chunk("query_id"))
-        return data.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(lambda t, q: _solve(t, q, k, width), "query_id long, vec_id long, score long")
-
-    asked = materialize(asked.select(F.col("vec_id").alias("query_id"), "vec"), "queries")
-    near = materialize(solve(asked), "near")
+    first, parts = _packs(many)
+    norm = np.sqrt((p * p).sum(1))
+    most = p @ p.T + norm[:, None] * radius[None] + reach[:, None] * norm[None] + reach[:, None] * radius[None]
+    most = np.where((many[:, None] > 0) & (size[None] > 0), most + 1 + 1e-9 * np.abs(most), -np.inf)  # query group, data group
+
+    def route(own: bool):
+        """Rows of queries for the blocks that they meet: those of their own group, or of the others that can hold as high a
+        score as `least`."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, home = _matrix(batch.column("vec"), width), np.asarray(batch.column("cell"))
+                if own:
+                    row, cell = np.arange(len(home)), home
+                    row, cell = row[size[cell] > 0], cell[size[cell] > 0]
+                else:
+                    bound = x @ p.T + np.sqrt((x * x).sum(1))[:, None] * radius[None]
+                    go = (bound + 1 + 1e-9 * np.abs(bound) >= np.asarray(batch.column("least").fill_null(-np.inf), np.float64)[:, None]) & (size[None] > 0)
+                    go[np.arange(len(home)), home] = False
+                    row, cell = np.nonzero(go)
+                times = blocks[cell]
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                cols = [batch.column(c).take(pa.array(row)) for c in ("query_id", "vec", "pack")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], names=["query_id", "vec", "pack", "cell", "block"])
+
+        return run
+
+    def by_cell(values: np.ndarray, at: Column) -> Column:
+        return F.array(*(F.lit(int(v)) for v in values))[at]
+
+    data = cells.select("vec_id", "vec", "cell", F.pmod(F.xxhash64("vec_id"), by_cell(blocks, F.col("cell"))).cast("int").alias("block"))
+    asking = asking.withColumn("pack", (by_cell(first, F.col("cell")) + F.pmod(F.xxhash64("query_id"), by_cell(parts, F.col("cell")))).cast("int"))
+    key = ["cell", "block", "pack"]
+
+    def solve(routed: DataFrame, pairs: np.ndarray, at_home: bool) -> DataFrame:
+        """pairs: which query groups (rows) need which data groups; the data go to the packs of those alone."""
+        needs = [sorted({int(x) for g in np.flatnonzero(pairs[:, c]) for x in range(first[g], first[g] + parts[g])}) for c in range(len(p))]
+        # A row for each pivot, with its packs.
+        packs = vectors.sparkSession.createDataFrame([(c, own_packs) for c, own_packs in enumerate(needs) if own_packs], "cell int, packs array<int>")
+        dealt = routed.mapInArrow(route(at_home), "query_id long, vec binary, pack int, cell int, block int")
+        spread = data.join(F.broadcast(packs), "cell").select("vec_id", "vec", "cell", "block", F.explode("packs").alias("pack"))
+        return spread.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(lambda t, q: _solve(t, q, k, width), "query_id long, vec_id long, score long")
+
+    near = materialize(solve(asking, np.eye(len(p), dtype=bool) & (most > -np.inf), True), "near")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(f"rank = {k}").select("query_id", F.col("score").cast("double").alias("least"))
-    rest = solve(asked.join(kth, "query_id", "left").select("query_id", "vec", "least"))
-    found = materialize(near.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}"), "best")
-    for t in (held, asked, near):
+    top = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
+    kth = top(near).where(f"rank = {k}").select("query_id", F.col("score").cast("double").alias("least"))
+    asking = materialize(asking.join(kth, "query_id", "left"), "asking")
+    told = asking.groupBy("cell").agg(F.min(F.coalesce("least", F.lit(float("-inf")))).alias("least")).toPandas()  # a row for each pivot
+    least = np.full(len(p), -np.inf)
+    least[told["cell"]] = told["least"]
+    pairs = (most >= least[:, None]) & (most > -np.inf) & ~np.eye(len(p), dtype=bool)
+    found = materialize(top(near.unionByName(solve(asking, pairs, False))).where(f"rank <= {k}"), "best")
+    for t in (held, asked, near, asking):
         drop_table(t)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    #: Pairs of a query group and a data group that isn't its own, and those of them that had to meet.
+    out.group_pairs = int((most > -np.inf).sum() - (np.diag(most) > -np.inf).sum()), int(pairs.sum())
+    return out
 
 
 def op10_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

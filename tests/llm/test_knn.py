@@ -36,3 +36,15 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in knn.knn_join(df, df.where("vec_id % 50 = 0")).collect()] == [(0, 1, 1, 256 * 512)]
     none = df.where("vec_id > 9")
     assert knn.knn_join(none, none).collect() == [] and knn.knn_join(df, none).collect() == []
+
+
+def test_far_groups_are_not_replicated(spark, monkeypatch):
+    """Tight clusters far apart: most pairs of groups are ruled out, and the result is that of all pairs."""
+    monkeypatch.setattr(knn, "PER_PIVOT", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.eye(16)[i % 16] * 40 + rng.normal(size=16) * 0.1).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.knn_join(df, df.where("vec_id % 50 = 0"))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
+    pairs, met = got.group_pairs
+    assert met < 0.5 * pairs
