@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -31,17 +32,27 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, as the session or its context has it.
+
+    Where it is unset, a local session, as in tests, gets a folder of this machine; any other fails, since each executor
+    would write to a disk of its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/loam"
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+#: Tables of materialize() that nobody has removed yet, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the lineage ends there, and it survives lost executors."""
     spark = df.sparkSession
@@ -49,6 +60,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loam_path = path
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
@@ -58,12 +70,28 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes a table of materialize(); plans that still read it fail from then on."""
     if path := getattr(df, "_loam_path", None):
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+        if path in (held := _TABLES.get(df.sparkSession.sparkContext.applicationId, [])):
+            held.remove(path)
+
+
+def remove_tables(spark: SparkSession) -> int:
+    """Removes every intermediate table that this application's operators have left in the shared folder; their number.
+
+    The result of an operator is lazy and may read some, so they can only go when the caller has written the result.
+    """
+    held = _TABLES.pop(spark.sparkContext.applicationId, [])
+    for path in held:
+        _delete(spark, path)
+    return len(held)
 
 
 # ---------------------------------------------------------------- batches of text
@@ -98,17 +126,18 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 
 # ---------------------------------------------------------------- gapless slots
 
-#: Sub-groups that each group is cut into for numbering; offsets have groups * SLOT_PARTS rows at most.
-SLOT_PARTS = 64
+#: Sub-groups that each group is cut into for numbering, at least, and rows of one, about, if one group holds them all.
+SLOT_PARTS, SLOT_ROWS = 64, 500_000
 
 
-def with_slots(df: DataFrame, group: str, order: list[Column], out: str = "slot", parts: int = SLOT_PARTS) -> DataFrame:
+def with_slots(df: DataFrame, group: str, order: list[Column], out: str = "slot", rows: int = 0) -> DataFrame:
     """Numbers the rows of each group 0, 1, 2, ... without a task that holds a whole group.
 
-    A group is cut into `parts` pieces by a hash of the order columns; rows are numbered inside a piece, and each
-    piece begins where the ones before it end. The offsets are an aggregate of (group, piece): its size depends on
-    the number of groups only. `order` must tell rows apart up to rows that are equal in every selected column.
+    A group is cut into pieces by a hash of the order columns, the more the more `rows` there are in all; rows are
+    numbered inside a piece, and each piece begins where the ones before it end. The offsets are an aggregate of (group,
+    piece). `order` must tell rows apart up to rows that are equal in every selected column.
     """
+    parts = max(SLOT_PARTS, -(-rows // SLOT_ROWS))
     piece = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
     rows = df.withColumn("_piece", piece)
     counts = rows.groupBy(group, "_piece").agg(F.count(F.lit(1)).alias("_n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loam.llm.common import table, with_slots
+from loam.llm.common import materialize, table, with_slots
 
 #: Fixed values of the published generator: its multiplier, 2^64, 2^33 and 2^31.
 MULTIPLIER, WORD, HIGH, RANGE = "2862933555777941757", "18446744073709551616", "8589934592", "2147483648"
@@ -33,7 +33,7 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     The law is `key`: the key and the number of shards alone decide, and one more shard takes rows only into
-    itself. Slots number the rows of a shard from 0 without gaps. Null texts have size 16 and the crc32 of an empty
+    itself; equal texts of different keys are not kept together. Slots number the rows of a shard from 0 without gaps. Null texts have size 16 and the crc32 of an empty
     text; a null key counts as key 0; repeated rows each take a slot; an empty table gives an empty result; other
     columns are not carried along, whatever their names.
     """
@@ -43,7 +43,9 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     rows = rows.withColumn("_at", jump_shards("doc_id", shards)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("_at.b").alias("shard"), F.col("_at.g").alias("grown_shard"))
-    out = with_slots(rows, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    # Written once (some 40 bytes a row): counts and numbers both read it, and the walk is taken once a row.
+    rows = materialize(rows, "shards")
+    out = with_slots(rows, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], rows=rows.count())
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
