@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.llm.common import bounded_batches, table, text_blocks
-from loam.llm.quality_fm import held_out
+from loam.llm.sample import SAMPLE_BYTES, labelled_keys, labelled_texts
 from loam.llm.shingles import _BYTE, _powers, mix, text_bytes, words_of
 from loam.llm.textstats import BINS, CLASSES, STATISTICS, binned, class_counts, repeats
 
@@ -164,18 +164,40 @@ def fit(lines: Lines, labels: np.ndarray, epochs: int = EPOCHS) -> Chain:
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """Fits on the lines of at most `sample_rows` labelled texts, those with the least hash of their key.
+def spliced(lines: Lines, labels: np.ndarray) -> tuple[Lines, np.ndarray]:
+    """Lines and their labels for a fit: every text with its own label, and texts of both labels spliced.
 
-    A text of good quality has content lines, one of bad quality boilerplate; blank lines go with their text. Rows
-    that the classifier holds out are left out here too. Without labelled rows every line counts as content.
+    A label of a text says nothing of where its lines change, so pairs of a good and a bad text, in the given order, are
+    set one behind the other, by turns bad in front, bad behind, and bad in the middle of a good one. The label changes
+    where the texts meet; the marks of first and last lines are those of the whole.
+    """
+    size = np.diff(lines.bounds)
+    texts = [np.arange(a, b) for a, b in zip(lines.bounds[:-1], lines.bounds[1:], strict=True)]
+    good, bad = ([t for t, y in zip(texts, labels, strict=True) if y == want and len(t)] for want in (CONTENT, BOILERPLATE))
+    parts = [(t,) for t in texts]
+    for k, (g, b) in enumerate(zip(good, bad, strict=False)):
+        half = len(g) // 2
+        parts.append(((b, g), (g, b), (g[:half], b, g[half:]))[k % 3 if half else k % 2])
+    own = np.repeat(labels, size)
+    rows = np.concatenate([x for p in parts for x in p]) if parts else np.zeros(0, np.int64)
+    bounds = np.concatenate(([0], np.cumsum([sum(map(len, p)) for p in parts]))).astype(np.int64)
+    marks = lines.marks[rows].copy()
+    marks[:, 2:] = 0
+    marks[bounds[:-1], 2] = 1
+    marks[bounds[1:] - 1, 3] = 1
+    return Lines(bounds, lines.words[rows], lines.ids[rows], marks, np.zeros(0)), own[rows]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+    """Fits on the lines of at most `sample_rows` labelled texts of `sample_bytes` bytes together, half of each label at
+    most, those with the least hash of their key, and on splices of them.
+
+    A text of good quality has content lines, one of bad quality boilerplate; blank lines go with their text; where
+    labels change inside a text is learned from the splices. Of several rows of a key one counts. Rows that the classifier
+    holds out are left out here too. Without labelled rows every line counts as content.
     """
     bounded_batches(docs.sparkSession)
-    told = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("label"))
-    good = told.where("label = 1").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows // 2)
-    bad = told.where("label = 0").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows // 2)
-    # At most `sample_rows` rows of 12 bytes.
-    rows = docs.select("doc_id", "text").join(F.broadcast(good.unionByName(bad)), F.col("doc_id").cast("long") == F.col("_id"))
+    rows = labelled_texts(docs, labelled_keys(labels, sample_rows, True), sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
@@ -185,14 +207,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             flat = pa.ListArray.from_arrays(pa.array(x.bounds * packed.shape[1], pa.int32()), pa.array(packed.ravel()))
             yield pa.RecordBatch.from_arrays([block.column("_id"), block.column("label"), flat, pa.ListArray.from_arrays(cut, pa.array(x.words))], names=["id", "label", "features", "words"])
 
-    got = rows.select(F.col("_id"), "label", "text").mapInArrow(run, "id long, label int, features array<short>, words array<long>").toArrow().sort_by("id").combine_chunks()
+    got = rows.select("_id", "label", "text").mapInArrow(run, "id long, label int, features array<short>, words array<long>").toArrow().sort_by("id").combine_chunks()
     if not got.num_rows:
         return fit(Lines(np.zeros(1, np.int64), *[np.zeros(0)] * 4), np.zeros(0, np.int64))
     packed = np.concatenate([np.asarray(c.flatten()) for c in got.column("features").chunks]).reshape(-1, STATISTICS + MARKS).astype(np.int64)
     words = np.concatenate([np.asarray(c.flatten()) for c in got.column("words").chunks])
     size = np.concatenate([np.asarray(c.value_lengths()) for c in got.column("words").chunks])
     lines = Lines(np.concatenate(([0], np.cumsum(size))), words, packed[:, :STATISTICS], packed[:, STATISTICS:], np.zeros(0))
-    return fit(lines, np.repeat(np.where(np.asarray(got.column("label")) == 1, CONTENT, BOILERPLATE), size))
+    return fit(*spliced(lines, np.where(np.asarray(got.column("label")) == 1, CONTENT, BOILERPLATE)))
 
 
 def _repeat_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -260,7 +282,11 @@ def judge(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE, w
 
 
 def keep_content(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -> DataFrame:
-    """The rows of docs that are kept, with all their columns, whatever those are."""
+    """The rows of docs that are kept, with all their columns, whatever those are.
+
+    Null and empty texts have no words and go; equal texts stay or go together; long ones are read whole; an empty table
+    gives an empty one.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

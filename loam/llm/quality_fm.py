@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loam.llm.common import bounded_batches, table, text_blocks
+from loam.llm.sample import SAMPLE_BYTES, held_out, labelled_keys, labelled_texts
 from loam.llm.shingles import text_bytes, words_of
 from loam.llm.textstats import BINS, COUNTS, STATISTICS, binned, class_counts, repeats
 
@@ -92,11 +93,6 @@ def fit(ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, labels: np.ndar
     return m
 
 
-def held_out(key: str = "doc_id") -> Column:
-    """Rows that no fit may learn from: crc32 of the key as text leaves 1 when divided by 3. Null keys are not."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
 def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
     """The columns that a score is made of; n_chars is counted where the table has none."""
     bounded_batches(docs.sparkSession)
@@ -104,23 +100,23 @@ def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(given, F.length("text"), F.lit(0)).cast("long").alias("n_chars"), *more)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fits on at most `sample_rows` labelled rows, those with the least hash of their key; held-out rows are left out.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Machine:
+    """Fits on at most `sample_rows` labelled texts of `sample_bytes` bytes together; held-out rows are left out.
 
-    Where a key has several labels the highest counts. Without labelled rows every score is 0.5.
+    What comes to the driver is bounded by both: a word has two bytes at least and gives one feature of eight at most.
+    Those with the least hash of their key are taken; of several rows of a key one counts, and of several labels the
+    highest. Without labelled rows every score is 0.5.
     """
-    told = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("label"))
-    picked = told.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    # At most `sample_rows` rows of 12 bytes.
-    rows = _inputs(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "n_chars", "label")
+    bounded_batches(docs.sparkSession)
+    rows = labelled_texts(docs, labelled_keys(labels, sample_rows), sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             ids, values, bounds = features(block.column("text"), np.asarray(block.column("n_chars")))
             cut = pa.array(bounds, pa.int32())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("label"), pa.ListArray.from_arrays(cut, pa.array(ids)), pa.ListArray.from_arrays(cut, pa.array(values))], names=["doc_id", "label", "ids", "x"])
+            yield pa.RecordBatch.from_arrays([block.column("_id"), block.column("label"), pa.ListArray.from_arrays(cut, pa.array(ids)), pa.ListArray.from_arrays(cut, pa.array(values))], names=["doc_id", "label", "ids", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, ids array<int>, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    got = rows.select("_id", "label", "text", "n_chars").mapInArrow(run, "doc_id long, label int, ids array<int>, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0))
     ids = np.concatenate([np.asarray(c.flatten()) for c in got.column("ids").chunks])
@@ -145,7 +141,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs that the machine predicts to be good, with all their columns, whatever those are."""
+    """The rows of docs that the machine predicts to be good, with all their columns, whatever those are.
+
+    Null and empty texts are scored by their statistics; n_chars is counted where it is null or no column. Equal texts
+    with equal n_chars stay or go together, long ones are read whole, and an empty table gives an empty one.
+    """
     bounded_batches(docs.sparkSession)
     with_size = "n_chars" in docs.columns
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from loam.llm import line_crf as crf
+from loam.llm.sample import held_out
 from tests.llm.tables import empty_docs, odd_docs
 
 SF = "/root/testdata/sf0.01"
@@ -51,7 +52,26 @@ def test_viterbi_is_the_best_of_all_sequences():
 
 def test_held_out_texts(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    rows = crf.op6_crf_line_rules(spark, SF).join(labels, "doc_id").where(crf.held_out()).collect()
+    rows = crf.op6_crf_line_rules(spark, SF).join(labels, "doc_id").where(held_out()).collect()
     assert len(rows) > 50 and docs.count() == crf.op6_crf_line_rules(spark, SF).count()
     right = [r.kept == bool(r.quality) for r in rows if not r.base_failed]
     assert np.mean(right) > 0.97
+
+
+def test_mixed_texts(spark):
+    """Held-out texts of both qualities, spliced: lines are labelled by their own text, and the share tells how much."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    chain = crf.train(docs, labels)
+    held = docs.join(labels, "doc_id").where(held_out()).where("length(text) > 400").orderBy("doc_id").select("text", "quality").collect()
+    good, bad = ([r.text for r in held if r.quality == q] for q in (1, 0))
+    right, mixed, n = 0, 0, 0
+    for k, (g, b) in enumerate(zip(good, bad, strict=False)):
+        first, second = (g, b) if k % 2 else (b, g)
+        want = [k % 2 == 0] * (first.count("\n") + 1) + [k % 2 == 1] * (second.count("\n") + 1)
+        got = chain.decode(crf.lines_of(pa.array([f"{first}\n{second}"])))
+        right += sum(bool(x) == y for x, y in zip(got, want, strict=True))
+        n += len(want)
+        mixed += len(set(got.tolist())) == 2
+    pairs = min(len(good), len(bad))
+    print("line accuracy", right / n, "mixed", mixed, "of", pairs)
+    assert pairs > 10 and right / n > 0.95 and mixed >= 0.9 * pairs

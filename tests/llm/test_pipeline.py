@@ -21,9 +21,11 @@ def test_stages_and_run(spark):
     left = {i: t for i, t in texts.items() if i in good and i in content}
     left = {d: left[d] for d, _, c in brute(list(left.items())) if d == c}
 
+    words = secrets.lexicon(docs.where(docs.doc_id.isin(list(left))))
+
     def masked(text):
         base = secrets.base_spans(text)
-        spans = sorted(base + secrets.guess_spans(text, base))
+        spans = sorted(base + secrets.guess_spans(text, base, words))
         out, done = "", 0
         for a, _, b in spans:
             out += text[done:a] + secrets.MASK if a >= done else ""

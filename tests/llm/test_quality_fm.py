@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from loam.llm import quality_fm as fm
+from loam.llm import quality_fm as fm, sample
 from tests.llm.tables import empty_docs, odd_docs
 
 SF = "/root/testdata/sf0.01"
@@ -49,3 +49,18 @@ def test_odd_rows(spark):
     assert fm.score(empty_docs(spark), m).collect() == []
     none = fm.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {round(r.score, 2) for r in fm.score(docs, none).collect()} == {0.5}
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(i % 20, f"text {i % 900} " * (1 + i % 7), 1) for i in range(20_000)]  # a thousand rows a key, some equal
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(0, 0)], "doc_id long, quality int")
+    keys = sample.labelled_keys(labels, 3)
+    got = sample.labelled_texts(docs, keys).collect()
+    assert len(got) == keys.count() == 3 and len({r["_id"] for r in got}) == 3
+    again = sample.labelled_texts(docs.repartition(7), keys).collect()
+    assert sorted(got) == sorted(again)
+    small = sample.labelled_texts(docs, keys, 60).collect()
+    assert sum(len(r.text.encode()) for r in small) <= 60 and len(small) < 3
+    assert sample.labelled_texts(empty_docs(spark), keys).collect() == []
+    assert fm.train(docs, labels, 3).w0 == fm.train(docs.repartition(7), labels, 3).w0
