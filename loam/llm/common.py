@@ -124,6 +124,27 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             lo = hi
 
 
+# ---------------------------------------------------------------- joins with hot keys
+
+#: Rows of a key from which it counts as hot, and the pieces that it is cut into.
+HOT_ROWS, HOT_PIECES = 200, 64
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], many: str, apart: Column) -> DataFrame:
+    """rows left-joined with a table of one row a key that says in `many` how many rows the key has.
+
+    A hot key's rows are dealt to HOT_PIECES pieces by a hash of `apart`, and its row in `keyed` is repeated for each of
+    them, which is a third of the rows at most; the others join as they are. So no key meets in one task.
+    """
+    hot = keyed.where(F.col(many) > HOT_ROWS)
+    if not hot.limit(1).count():
+        return rows.join(keyed, keys, "left")
+    hot = hot.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(HOT_PIECES - 1))))
+    dealt = rows.withColumn("_piece", F.pmod(F.xxhash64(apart), F.lit(HOT_PIECES)).cast("int")).join(hot, [*keys, "_piece"], "left").drop("_piece")
+    rest = dealt.where(F.col(many).isNull()).select(*rows.columns).join(keyed.where(F.col(many) <= HOT_ROWS), keys, "left")
+    return dealt.where(F.col(many).isNotNull()).unionByName(rest)
+
+
 # ---------------------------------------------------------------- gapless slots
 
 #: Sub-groups that each group is cut into for numbering, at least, and rows of one, about, if one group holds them all.

@@ -1,21 +1,24 @@
 """Exact Jaccard join of word-shingle sets by a universe-partition pigeonhole.
 
 Two sets of a and b shingles with similarity t differ in H = (1 - t) / (1 + t) * (a + b) shingles at most. By size
-band, a hash deals the universe of shingles into segments; a set's part in a segment is its subset. Each differing
-shingle spoils one segment, so a set with more than H subsets shares one with every similar set. Subsets are indexed
-at three costs, and a set pays for the next only where the one before does not guarantee all its partners:
-
-  0  the hash of each subset (guarantees as many differences as there are subsets, less one),
-  1  each subset and its one-deletion neighbourhood (a subset of two or more shingles withstands one difference),
-  2  each shingle by itself.
-
-Small bands begin at 1 or 2, where level 0 seldom suffices. Pairs that both need a level meet there; otherwise the
-cheaper one's guarantee holds. Groups of sets that share an index entry give pairs; entries shared by more than
-`heavy` sets are too dear and are left out of a set's guarantee where it can spare them. Sets that cannot spare them
-(they are mostly made of frequent entries, as in large groups of near copies) meet in clusters of those entries: all
-sets of a cluster whose sizes allow it are compared, in blocks, and a block passes on numbers of links and a spanning
-forest. So no link is lost and no group is paired out. The number of shared entries that a similar pair must have at
-least drops most false pairs; the rest are verified on whole sets. Sets go by their 64-bit hash (node) throughout.
+band, a hash deals the universe of shingles into segments; a set's part in a segment is its subset. Give each segment i
+a number v_i of 0, 1 or 2 with a sum over H: then a similar set differs in fewer than v_i shingles in some segment. With
+v = 1 it has the same subset; with v = 2 its subset, one-deletion neighbourhoods included, meets this one's.
+
+The index holds every subset of every set, in small bands with its one-deletion neighbourhood. How long its lists are is
+measured first. Then each set allocates: it takes units of v where the lists are shortest until their sum is over H, a
+few more where that is nearly free, and looks up those lists alone; so one lookup pair is a candidate only if it shares
+as many units as the sum is over H. Subsets that nobody else has cost nothing and give no pairs.
+
+  level 0  subsets alone (large bands; each withstands no difference),
+  level 1  subsets and one-deletion neighbourhoods (a subset of two or more shingles can be given v = 2),
+  level 2  each shingle by itself (the smallest bands, and sets whose subsets are too few on the levels before).
+
+Lists of more than `heavy` sets are not looked up. Sets that can't reach the sum without them (mostly in large groups of
+near copies) meet in clusters: all sets of a cluster whose sizes allow it are compared, in blocks, and a block passes on
+numbers of links and a spanning forest. So no link is lost and no group is paired out. No task holds a long list: a
+batch that has over `heavy` sets on an entry sends a mark to the entry's place and deals the sets elsewhere. Candidates
+are verified on whole sets. Sets go by their 64-bit hash (node) throughout.
 """
 
 from __future__ import annotations
@@ -27,70 +30,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from loam.llm.common import bounded_batches, drop_table, materialize, release_shuffles, table, text_blocks
+from loam.llm.common import bounded_batches, drop_table, join_keyed, materialize, release_shuffles, table, text_blocks
 from loam.llm.components import components
 from loam.llm.shingles import mix, shingle_sets
 
 #: Mean shingles of a segment at the top of a band on levels 0 and 1; bands (powers of two) where each may begin.
 FILL, BEGIN = (3, 4), (128, 16)
-#: Sets on an index entry beyond which it counts as heavy; index entries of a bucket; sets of a verification block.
-HEAVY, BUCKET_ROWS, BLOCK = 32, 600_000, 1024
-#: Shingles of the sets of a verification block, about.
-BLOCK_SHINGLES = 1_000_000
+#: Sets on an index entry beyond which it is not looked up; the length of lists that are looked up beyond need.
+HEAVY, CHEAP = 32, 3
+#: Index entries of a bucket and of a batch, sets of a verification block, and shingles of its sets, about.
+BUCKET_ROWS, BATCH_ROWS, BLOCK, BLOCK_SHINGLES = 600_000, 1_000_000, 1024, 1_000_000
 #: Buckets of the clusters of sets without a guarantee, at least.
 CLUSTER_BUCKETS = 24
 #: Candidate sets up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds their texts.
 BROADCAST_IDS = 500_000
 _SEED = np.uint64(0xA0761D6478BD642F)
 
+# Code of an entry: on a heavy list, a mark instead of a set, kind, scheme (band and level), and segment.
+_HEAVY, _MARK, _SEGMENT = np.uint32(1 << 31), np.uint32(1 << 30), (1 << 21) - 1
+#: Kinds of entries: a subset that can be given v = 1 at most; one that can be given 2; one of its deletions.
+_ONE, _TWO, _LESS = 0, 1, 2
+#: Cost of a heavy list.
+_DEAR = 1 << 20
+
+Scheme = tuple[int, int, np.ndarray | None, np.ndarray | None, np.ndarray | None]
+
 
 def spread(size: int, num: int, den: int) -> int:
     """Most shingles in which a set of this size and a similar one (similarity num/den or more) can differ."""
     return size * (den - num) // num
 
 
-def index_entries(s: np.ndarray, num: int, den: int, seed: int) -> tuple[list[np.ndarray], int, int]:
-    """Index entries of one sorted set (an array for each scheme), and the guarantee: level and strength.
-
-    Level -1 stands for a set that takes more than one level somewhere: it has no guarantee of its own.
-    """
+def schemes(s: np.ndarray, num: int, den: int) -> list[Scheme]:
+    """How one sorted set is indexed: scheme code (band * 4 + level), units of v that it can give, and for levels 0 and 1
+    where each subset begins, its size, and its segment. For each band the last scheme has units enough, the ones before
+    it have not: sets that stop there find this one by their own allocation."""
     size = len(s)
     need = spread(size, num, den) + 1
     band = size.bit_length() - 1
     # A smaller set of the band below may be similar: its scheme is used too.
     bands = (band, band - 1) if band and size * num < (1 << band) * den else (band,)
-    out, level_of, strength = [], 0, 1 << 30
+    out: list[Scheme] = []
     for k in bands:
-        level = 0 if 1 << k >= BEGIN[0] else 1 if 1 << k >= BEGIN[1] else 2
-        begin = level
-        while True:
-            tag = mix(np.array([(seed << 16) + (k << 2) + level], np.uint64))[0] ^ _SEED
-            token = mix(s ^ tag)
+        for level in range(0 if 1 << k >= BEGIN[0] else 1 if 1 << k >= BEGIN[1] else 2, 3):
             if level == 2:
-                out.append(token)
-                got = size
+                out.append((k * 4 + 2, size, None, None, None))
                 break
             segment = ((s >> np.uint64(32)) * np.uint64(max(1, (2 << k) // FILL[level]))) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
             many = np.diff(np.append(first, size))
-            subset = np.add.reduceat(token, first)
-            out.append(mix(subset ^ segment[first] ^ tag))
-            if level == 0:
-                got = len(first)
-            else:
-                some = np.repeat(many >= 2, many)
-                out.append(mix((np.repeat(subset, many) - token)[some] ^ segment[some] ^ tag))
-                got = int(np.minimum(many, 2).sum())
-            if got >= need:
+            units = len(first) if level == 0 else int(np.minimum(many, 2).sum())
+            if level == 1 and len(first) > _SEGMENT:
+                continue
+            out.append((k * 4 + level, units, first, many, segment))
+            if units >= need:
                 break
-            level += 1
-        if level != begin:
-            level_of, strength = -1, 0
-        elif level_of >= 0:
-            # Entries that a similar pair shares at least, before heavy ones are taken off: (strength - H) or half of it.
-            strength = min(strength, got)
-            level_of = max(level_of, level if level == 1 else 0)
-    return out, level_of, strength
+    return out
+
+
+def final_units(found: list[Scheme], need: int) -> list[int]:
+    """scheme, units, ... of the schemes by which a set allocates."""
+    return [x for code, units, *_ in found if units >= need for x in (code, units)]
+
+
+def index_entries(s: np.ndarray, found: list[Scheme], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index entries of one sorted set and their codes."""
+    keys, codes = [], []
+    for code, _, first, many, segment in found:
+        tag = mix(np.array([(seed << 16) + code], np.uint64))[0] ^ _SEED
+        token, scheme = mix(s ^ tag), code << 21
+        if first is None:
+            keys.append(token)
+            codes.append(np.full(len(s), scheme, np.uint32))
+            continue
+        subset = np.add.reduceat(token, first)
+        keys.append(mix(subset ^ segment[first] ^ tag))
+        if code % 4 == 0:
+            codes.append(np.full(len(first), scheme, np.uint32))
+            continue
+        at = np.arange(len(first))
+        codes.append((scheme | np.where(many > 1, _TWO << 28, _ONE) | at).astype(np.uint32))
+        some = np.repeat(many > 1, many)
+        keys.append(mix((np.repeat(subset, many) - token)[some] ^ segment[some] ^ tag))
+        codes.append((scheme | (_LESS << 28) | np.repeat(at, many)[some]).astype(np.uint32))
+    return np.concatenate(keys), np.concatenate(codes)
 
 
 def identities(values: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,39 +130,85 @@ def size_code(n: np.ndarray) -> np.ndarray:
     return np.round(np.log(np.maximum(n, 1)) / np.log(1.01)).astype(np.uint16)
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and its length."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(x)))
+
+
+def _packed(group: np.ndarray, groups: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Rows by group: each group that has some, and its columns' bytes one after the other."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(groups + 1)) if groups < len(group) else None
+    if cuts is None:
+        at, many = _runs(group[order])
+        spans = [(int(group[order[a]]), a, a + n) for a, n in zip(at, many, strict=True)]
+    else:
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    columns = [c[order] for c in columns]
+    return [k for k, _, _ in spans], [b"".join(c[a:b].tobytes() for c in columns) for _, a, b in spans]
+
+
+def _opened(blobs: list, *kinds: str) -> list[np.ndarray]:
+    """The columns of packed rows."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for blob in blobs:
+        raw = blob.as_buffer()
+        n, at = raw.size // width, 0
+        for column, kind in zip(out, kinds, strict=True):
+            column.append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(c) for c in out]
+
+
+def _bucket_of(entry: np.ndarray, buckets: int) -> np.ndarray:
+    return (((entry >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def _nodes(docs: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             values, bounds = shingle_sets(block.column("text"), width)
             node, check = identities(values, bounds, seed)
             n = np.diff(bounds)
-            told = [index_entries(values[a:b], num, den, seed)[1:] if b > a else (0, 0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            cols = [block.column("doc_id"), pa.array(n), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array([x[0] for x in told], pa.int32()), pa.array([x[1] for x in told], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "check", "level", "strength"])
+            told = [final_units(schemes(values[a:b], num, den), spread(b - a, num, den) + 1) if b > a else [] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            cols = [block.column("doc_id"), pa.array(n), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(told, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "check", "units"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, level int, strength int")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, units array<int>")
 
 
-def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets: int) -> DataFrame:
-    """Index entries as packed blobs, one row for a bucket and a flush of a task: entries, nodes and size codes."""
+def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets: int, heavy: int) -> DataFrame:
+    """Index entries as packed blobs, one row for a bucket and a batch of a task: entries, nodes, codes and size codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         done: set[int] = set()
         parts: list[tuple] = []
-        held = 0
+        held = flushes = 0
 
         def flush() -> pa.RecordBatch:
-            entry = np.concatenate([e for p in parts for e in p[0]])
-            many = np.array([sum(map(len, p[0])) for p in parts])
-            node = np.repeat(np.array([p[1] for p in parts], np.uint64), many)
-            code = np.repeat(np.array([p[2] for p in parts], np.uint16), many)
-            bucket = (((entry >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entry, node, code = entry[order], node[order], code[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            blobs = [entry[a:b].tobytes() + node[a:b].tobytes() + code[a:b].tobytes() for _, a, b in rows]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            many = [len(p[0]) for p in parts]
+            entry, code = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            node, size = np.repeat(np.array([p[2] for p in parts], np.uint64), many), np.repeat(np.array([p[3] for p in parts], np.uint16), many)
+            order = np.argsort(entry, kind="stable")
+            entry, code, node, size = entry[order], code[order], node[order], size[order]
+            home = _bucket_of(entry, buckets)
+            at, count = _runs(entry)
+            if (dear := count > heavy).any():
+                # Sets on an entry that is heavy for certain: a mark goes to its bucket, they go to one of this batch.
+                marks = entry[at[dear]]
+                own = np.repeat(dear, count)
+                salt = mix(np.array([(TaskContext.get().partitionId() << 24) + flushes], np.uint64))[0]
+                home[own] = _bucket_of(mix(entry[own] ^ salt), buckets)
+                code[own] |= _HEAVY
+                home, entry = np.concatenate((home, _bucket_of(marks, buckets))), np.concatenate((entry, marks))
+                code = np.concatenate((code, np.full(len(marks), _HEAVY | _MARK)))
+                node, size = np.concatenate((node, np.zeros(len(marks), np.uint64))), np.concatenate((size, np.zeros(len(marks), np.uint16)))
+            to, blobs = _packed(home, buckets, entry, node, code, size)
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for block in text_blocks(batches):
             values, bounds = shingle_sets(block.column("text"), width)
@@ -148,66 +217,160 @@ def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets
             for i in np.flatnonzero(np.diff(bounds)):
                 if (own := int(node[i])) not in done:  # equal sets of a task are indexed once
                     done.add(own)
-                    entries = index_entries(values[bounds[i] : bounds[i + 1]], num, den, seed)[0]
-                    parts.append((entries, own, codes[i]))
-                    held += sum(map(len, entries))
+                    one = values[bounds[i] : bounds[i + 1]]
+                    keys, code = index_entries(one, schemes(one, num, den), seed)
+                    parts.append((keys, code, own, codes[i]))
+                    held += len(keys)
             if len(done) > 200_000:
                 done.clear()
-            if held >= 1_000_000 or len(parts) >= 50_000:
+            if held >= BATCH_ROWS or len(parts) >= 50_000:
                 yield flush()
-                parts, held = [], 0
+                parts, held, flushes = [], 0, flushes + 1
         if parts:
             yield flush()
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-def _meet(blobs: DataFrame, heavy: int, num: int, den: int) -> DataFrame:
-    """kind 0: two sets that share `n` light entries of the bucket; kind 1: a set on `n` of its heavy entries."""
-    reach = int(np.ceil(np.log(den / num) / np.log(1.01))) + 1
+def _measure(blobs: DataFrame, heavy: int, node_buckets: int) -> DataFrame:
+    """kind 0: the lists of a bucket that several sets share and that are not heavy (entry, node, code, size code); kind 1: by
+    bucket of nodes, what each list costs each of its sets (node, entry, code, sets that v = 1 meets, sets that v = 2
+    meets besides)."""
 
     def run(t: pa.Table) -> pa.Table:
-        raw = [b.as_buffer() for b in t.column("blob")]
-        sizes = [b.size // 18 for b in raw]
-        entry = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(raw, sizes, strict=True)])
-        node = np.concatenate([np.frombuffer(b, np.uint64, n, 8 * n) for b, n in zip(raw, sizes, strict=True)])
-        code = np.concatenate([np.frombuffer(b, np.uint16, n, 16 * n) for b, n in zip(raw, sizes, strict=True)])
+        entry, node, code, size = _opened([b for c in t.column("blob").chunks for b in c], "<u8", "<u8", "<u4", "<u2")
         order = np.argsort(entry, kind="stable")
-        entry = entry[order]
-        new = np.concatenate(([True], entry[1:] != entry[:-1]))
-        many = np.diff(np.append(np.flatnonzero(new), len(entry)))
-        shared = np.repeat(many > 1, many)
-        entry, order = entry[shared], order[shared]
-        node, code = node[order], code[order]
-        again = np.lexsort((node, entry))
-        entry, node, code = entry[again], node[again], code[again]
-        keep = np.ones(len(entry), bool)
-        keep[1:] = (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])  # equal sets of several tasks
-        entry, node, code = entry[keep], node[keep], code[keep]
-        at = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.zeros(0, np.int64)
-        many = np.diff(np.append(at, len(entry)))
-        left, right = [], []
-        for c in range(2, min(heavy, int(many.max(initial=0))) + 1):
-            own = at[many == c]
-            if len(own):
-                i, j = np.triu_indices(c, 1)
-                x, y = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-                near = np.abs(code[x].astype(np.int32) - code[y]) <= reach
-                left.append(node[x[near]])
-                right.append(node[y[near]])
-        a = np.concatenate(left) if left else np.zeros(0, np.uint64)
-        b = np.concatenate(right) if right else np.zeros(0, np.uint64)
-        o = np.lexsort((b, a))
-        a, b = a[o], b[o]
-        fresh = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
-        count = np.diff(np.append(fresh, len(a)))
-        a, b = a[fresh], b[fresh]
-        dear, times = np.unique(node[np.repeat(many > heavy, many)], return_counts=True)
-        kinds = np.repeat(np.array([0, 1], np.int32), (len(a), len(dear)))
-        cols = [kinds, np.concatenate((a, dear)).view(np.int64), np.concatenate((b, dear)).view(np.int64), np.concatenate((count, times))]
-        return pa.table([pa.array(c) for c in cols], names=["kind", "x", "y", "n"])
-
-    return blobs.groupBy("bucket").applyInArrow(run, "kind int, x long, y long, n long")
+        at, many = _runs(entry[order])
+        if len(at):  # what one set alone has costs nothing
+            order = order[np.repeat((many > 1) | (np.bitwise_or.reduceat(code[order], at) >= _HEAVY), many)]
+        order = order[np.lexsort((node[order], entry[order]))]
+        entry, node, code, size = entry[order], node[order], code[order], size[order]
+        at, many = _runs(entry)
+        flag = np.repeat(np.bitwise_or.reduceat(code, at) >= _HEAVY, many) if len(at) else np.zeros(0, bool)
+        keep = (code & _MARK) == 0
+        keep[1:] &= (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])  # equal sets of several tasks
+        entry, node, code, size, flag = entry[keep], node[keep], code[keep] & ~_HEAVY, size[keep], flag[keep]
+        kind = (code >> np.uint32(28)) & np.uint32(3)
+        at, many = _runs(entry)
+        whole = np.add.reduceat((kind != _LESS).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        dear = np.repeat(many > heavy, many) | flag
+        whole, less = np.repeat(whole, many), np.repeat(many - whole, many)
+        one = np.where(dear, _DEAR, whole - (kind != _LESS))
+        two = np.where(dear, _DEAR, np.where(kind == _TWO, less, 0))
+        told = (one > 0) | (two > 0)
+        to, out = _packed((node[told].view(np.int64) % node_buckets).astype(np.int64), node_buckets, node[told], entry[told], code[told], one[told].astype(np.uint32), two[told].astype(np.uint32))
+        live = ~dear & (np.repeat(many, many) > 1) & (whole > 0)
+        kinds, at, out = [1] * len(to) + [0], [*to, t.column("bucket")[0].as_py()], [*out, b"".join(c[live].tobytes() for c in (entry, node, code, size))]
+        return pa.table([pa.array(kinds, pa.int32()), pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["kind", "bucket", "blob"])
+
+    return blobs.groupBy("bucket").applyInArrow(run, "kind int, bucket int, blob binary")
+
+
+def allocate(node: np.ndarray, code: np.ndarray, one: np.ndarray, two: np.ndarray, facts: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Which lists each set looks up, from what they cost it.
+
+    facts: group (place of the set times 128, and scheme), units and need of every allocation, by group; node: place of
+    the set of each record. Gives for each record 0, or what it looks up (1: subsets, 2: subsets and deletions, from a
+    subset; 3: subsets, from a deletion), for each allocation how many units a similar set shares at least, and whether it
+    would need a heavy list.
+    """
+    scheme = (code >> np.uint32(21)).astype(np.int64) & 127
+    kind, segment = (code >> np.uint32(28)) & np.uint32(3), code.astype(np.int64) & _SEGMENT
+    group = np.searchsorted(facts["group"], node * 128 + scheme)
+    own = (group < len(facts["group"])) & (facts["group"][np.minimum(group, len(facts["group"]) - 1)] == node * 128 + scheme)  # other schemes are there to be found
+    groups, need = len(facts["group"]), facts["need"]
+    plain, paired = np.flatnonzero(own & (kind == _ONE)), np.flatnonzero(own & (kind != _ONE))
+    # A subset that can be given 2: its first unit costs its own list, its second the lists of deletions.
+    pair, place = np.unique(group[paired] << 21 | segment[paired], return_inverse=True)
+    first, second = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+    subset = kind[paired] == _TWO
+    np.add.at(first, place[subset], one[paired][subset])
+    np.add.at(second, place, np.where(subset, two[paired], one[paired]))
+    owner = pair >> 21
+    free = facts["units"] - np.bincount(group[plain], minlength=groups) - 2 * np.bincount(owner, minlength=groups)
+    more = need - free
+    by = np.concatenate((group[plain], owner, owner))
+    cost = np.concatenate((one[plain], first, np.maximum(first, second)))  # the second unit is never taken before the first
+    unit = np.repeat(np.array([0, 0, 1]), (len(plain), len(pair), len(pair)))
+    order = np.lexsort((unit, cost, by))
+    at, many = _runs(by[order])
+    rank = np.empty(len(by), np.int64)
+    rank[order] = np.arange(len(by)) - np.repeat(at, many)
+    must = rank < more[by]
+    dense = np.bincount(by[must & (cost >= _DEAR)], minlength=groups) > 0
+    take = (must | (cost <= CHEAP)) & (more[by] > 0) & ~dense[by]
+    least = free + np.bincount(by[take], minlength=groups) - (need - 1)
+    mode = np.zeros(len(node), np.int64)
+    mode[plain[take[: len(plain)]]] = 1
+    v = take[len(plain) : len(plain) + len(pair)].astype(np.int64) + take[len(plain) + len(pair) :]
+    mode[paired] = np.where(subset, v[place], np.where(v[place] == 2, 3, 0))
+    return mode, least, dense, more > 0
+
+
+def _allocate(costs: DataFrame, facts: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """kind 0: by bucket, lists that sets look up (entry, node, scheme, mode, size code); kind 1: how many units a similar set
+    shares at least (node, scheme, units); kind 2: nodes that need heavy lists."""
+
+    def run(told: pa.Table, known: pa.Table) -> pa.Table:
+        names = ["kind", "bucket", "blob"]
+        none = pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.binary())], names=names)
+        if not told.num_rows:
+            return none
+        node, entry, code, one, two = _opened([b for c in told.column("blob").chunks for b in c], "<i8", "<u8", "<u4", "<u4", "<u4")
+        known = known.sort_by("node").combine_chunks()
+        nodes, size = np.asarray(known.column("node")), np.asarray(known.column("n"))
+        units = known.column("units").combine_chunks()
+        flat, pairs = np.asarray(units.flatten()).astype(np.int64).reshape(-1, 2), np.asarray(units.value_lengths()) // 2
+        place = np.repeat(np.arange(len(nodes)), pairs)
+        group = place * 128 + flat[:, 0]
+        order = np.argsort(group)
+        facts = {"group": group[order], "units": flat[order, 1], "need": np.array([spread(int(x), num, den) + 1 for x in size], np.int64)[place[order]]}
+        at = np.searchsorted(nodes, node)
+        mode, least, dense, asks = allocate(at, code, one.astype(np.int64), two.astype(np.int64), facts)
+        some = mode > 0
+        to, blobs = _packed(_bucket_of(entry[some], buckets), buckets, entry[some], node[some], ((code[some] >> np.uint32(21)) & np.uint32(127)).astype(np.uint8), mode[some].astype(np.uint8), size_code(size[at[some]]))
+        own, bare = asks & ~dense, np.unique(facts["group"][dense] >> 7)
+        least = b"".join(c.tobytes() for c in (nodes[facts["group"][own] >> 7], (facts["group"][own] & 127).astype(np.uint8), least[own].astype(np.int32)))
+        return pa.table([pa.array([0] * len(to) + [1, 2], pa.int32()), pa.array([*to, 0, 0], pa.int32()), pa.array([*blobs, least, nodes[bare].tobytes()], pa.binary())], names=names)
+
+    return costs.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, "kind int, bucket int, blob binary")
+
+
+def _look_up(lists: DataFrame, asked: DataFrame, num: int, den: int) -> DataFrame:
+    """x, y, scheme, n: set y shares n units with the lists of the bucket that set x looks up; sizes allow similarity."""
+    reach = int(np.ceil(np.log(den / num) / np.log(1.01))) + 1
+
+    def run(held: pa.Table, looked: pa.Table) -> pa.Table:
+        entry, node, code, size = _opened([b for c in held.column("blob").chunks for b in c], "<u8", "<i8", "<u4", "<u2")
+        key, own, scheme, mode, near = _opened([b for c in looked.column("blob").chunks for b in c], "<u8", "<i8", "<u1", "<u1", "<u2")
+        lo, hi = np.searchsorted(entry, key), np.searchsorted(entry, key, side="right")
+        out = []
+        for a in range(0, len(key), 100_000):
+            many = (hi - lo)[a : a + 100_000]
+            who = np.repeat(np.arange(a, a + len(many)), many)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[a : a + 100_000], many)
+            less = (code[at] >> np.uint32(28)) & np.uint32(3) == _LESS
+            share = np.where(less, (mode[who] == 2).astype(np.int64), np.where(mode[who] == 2, 2, 1))
+            keep = (share > 0) & (node[at] != own[who]) & (np.abs(size[at].astype(np.int32) - near[who]) <= reach)
+            out.append((own[who[keep]], node[at[keep]], scheme[who[keep]], share[keep]))
+        x, y, k, n = (np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(4))
+        order = np.lexsort((k, y, x))
+        x, y, k, n = x[order], y[order], k[order], n[order]
+        at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1])))) if len(x) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n, at) if len(at) else n
+        return pa.table([pa.array(x[at]), pa.array(y[at]), pa.array(k[at].astype(np.int32)), pa.array(n.astype(np.int64))], names=["x", "y", "scheme", "n"])
+
+    return lists.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, "x long, y long, scheme int, n long")
+
+
+def _rows_of(blobs: DataFrame, names: list[str], *kinds: str) -> DataFrame:
+    """Packed rows as rows; all columns become longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in _opened(list(batch.column("blob")), *kinds)], names=names)
+
+    return blobs.select("blob").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _alike(a: bytes, b: bytes, num: int, den: int) -> bool:
@@ -233,32 +396,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> DataFrame:
     """node, component: connected components of sets that share an index entry, whatever its weight.
 
-    Entries travel packed, and a bucket joins its sets by itself first, so that it gives one edge a set at most.
+    A batch joins its own sets by itself and gives an edge a set; only one set for each of its entries goes on, packed,
+    to the entry's bucket. So what meets there of the most frequent entry are as many sets as there are batches.
     """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entries, reps = [], []
-            for rep, s in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
-                own = np.concatenate(index_entries(np.frombuffer(s.as_buffer(), np.uint64), num, den, seed)[0])
-                entries.append(own)
-                reps.append(np.full(len(own), rep, np.int64))
-            entry, rep = np.concatenate(entries), np.concatenate(reps)
-            bucket = (entry % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            blobs = [entry[order[a:b]].tobytes() + rep[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-    def join(t: pa.Table) -> pa.Table:
-        raw = [b.as_buffer() for b in t.column("blob")]
-        entry = np.concatenate([np.frombuffer(b, np.uint64, b.size // 16) for b in raw])
-        rep = np.concatenate([np.frombuffer(b, np.int64, b.size // 16, b.size // 2) for b in raw])
-        order = np.lexsort((rep, entry))
-        entry, rep = entry[order], rep[order]
-        first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.zeros(0, np.int64)
-        hub = np.repeat(rep[first], np.diff(np.append(first, len(rep))))
-        edges = np.unique(np.stack((rep, hub), 1)[rep != hub], axis=0)
+    def joined(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -267,13 +409,42 @@ def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> D
                 x = up
             return x
 
-        for x, y in edges.tolist():
+        for x, y in np.unique(np.stack((a, b), 1)[a != b], axis=0).tolist():
             x, y = top(x), top(y)
-            root[max(x, y)] = min(x, y)
-        pairs = [(x, top(x)) for x in root]
-        return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        return {x: top(x) for x in root}
+
+    def hubs(entry: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+        """The distinct entries, the first set of each, and the sets' roots when sets of one entry are joined."""
+        order = np.lexsort((rep, entry))
+        at, many = _runs(entry[order])
+        return entry[order][at], rep[order][at], joined(rep[order], np.repeat(rep[order][at], many))
 
-    return components(sets.select("node", "shingles").mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(join, "a long, b long"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "bucket", "blob"]
+        for batch in batches:
+            own = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")]
+            if not own:
+                continue
+            own = [index_entries(s, schemes(s, num, den), seed)[0] for s in own]
+            entry, first, root = hubs(np.concatenate(own), np.repeat(np.array(batch.column("node").to_pylist(), np.int64), [len(o) for o in own]))
+            if root:
+                ends = np.array(list(root.items()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.int32()), pa.nulls(len(ends), pa.binary())], names=names)
+            first = np.array([root.get(x, x) for x in first.tolist()], np.int64)
+            to, blobs = _packed((entry % np.uint64(buckets)).astype(np.int64), buckets, entry, first)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(to), pa.int64()), pa.nulls(len(to), pa.int64()), pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+    def join(t: pa.Table) -> pa.Table:
+        root = hubs(*_opened([b for c in t.column("blob").chunks for b in c], "<u8", "<i8"))[2]
+        return pa.table([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], names=["a", "b"])
+
+    dealt = materialize(sets.select("node", "shingles").mapInArrow(deal, "a long, b long, bucket int, blob binary"), "dealt")
+    edges = dealt.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(join, "a long, b long").unionByName(dealt.where("bucket is null").select("a", "b"))
+    out = components(edges)
+    drop_table(dealt)
+    return out
 
 
 def _similar(sets: list[np.ndarray], k: int, num: int, den: int) -> np.ndarray:
@@ -325,7 +496,8 @@ def _cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> D
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     cells = rows.groupBy("cluster", "band").agg(parts.alias("_parts"), F.count(F.lit(1)).alias("_many"))
     beside = lambda by, name: cells.select("cluster", (F.col("band") + by).alias("band"), F.col("_parts").alias(name))
-    rows = rows.join(cells, ["cluster", "band"]).join(beside(1, "_below"), ["cluster", "band"], "left").join(beside(-1, "_above"), ["cluster", "band"], "left")
+    cells = materialize(cells.join(beside(1, "_below"), ["cluster", "band"], "left").join(beside(-1, "_above"), ["cluster", "band"], "left"), "cells")
+    rows = join_keyed(rows, cells, ["cluster", "band"], "_many", F.col("node"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "_parts").cast("int"))
     groups = """concat(
         if(_many > 1, transform(sequence(0, _parts - 1), q -> struct(band as lo, least(part, q) as i, band as hi, greatest(part, q) as j)), array()),
@@ -358,42 +530,35 @@ def _cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> D
     return dealt.groupBy("cluster", "lo", "i", "hi", "j").applyInArrow(run, "node long, hub long, links long")
 
 
-def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heavy: int = HEAVY, key: str = "doc_id", text: str = "text", cleanup: bool = True) -> tuple[DataFrame, int]:
+def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heavy: int | None = HEAVY, key: str = "doc_id", text: str = "text", cleanup: bool = True) -> tuple[DataFrame, int]:
     """The columns of near_duplicates with node (null for the empty set) and root (a component's least node) beside
-    them, and the seed of the nodes."""
+    them, and the seed of the nodes. heavy: None for no limit."""
     bounded_batches(docs.sparkSession)
+    heavy = heavy or 1 << 40
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     for seed in range(8):
         nodes = materialize(_nodes(docs, width, num, den, seed), "nodes")
-        classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("strength").alias("strength"), (F.min("check") != F.max("check")).alias("clash"))
+        classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("units").alias("units"), (F.min("check") != F.max("check")).alias("clash"))
         classes = materialize(classes, "classes")
         told = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("clash"), F.lit(False)).alias("clash")).first()
         if not told["clash"]:  # two sets with one 64-bit hash, told apart by another: hash anew
             break
         drop_table(nodes), drop_table(classes)
-    spare = [classes]
+    info = classes.select("node", "doc_id", "docs", "n")
     buckets = max(64, -(-int(0.6 * told["n"]) // BUCKET_ROWS))
-    met = materialize(_meet(_buckets(docs, width, num, den, seed, buckets), heavy, num, den), "met")
+    met = materialize(_measure(_buckets(docs, width, num, den, seed, buckets, heavy), heavy, buckets), "met")
     release_shuffles(docs.sparkSession)
-    dear = met.where("kind = 1").groupBy(F.col("x").alias("node")).agg(F.sum("n").alias("dear"))
-    info = materialize(classes.join(dear, "node", "left").select("node", "doc_id", "docs", "n", "level", "strength", F.coalesce("dear", F.lit(0)).alias("dear")), "info")
-    spare.append(info)
-
-    def shared(p: str, total: str) -> str:
-        """Light entries that a similar pair shares at least, by one set's guarantee; its heavy ones are taken off."""
-        left = f"({p}strength - ({total}))"
-        return f"(case {p}level when 0 then {left} when 1 then ceil({left} / 2) else 0 end - {p}dear)"
-
-    side = lambda p: info.select(*(F.col(c).alias(f"{p}{c}") for c in info.columns))
-    most = f"(an + bn) * {den - num} div {den + num}"
-    light = met.where("kind = 0").groupBy(F.col("x").alias("anode"), F.col("y").alias("bnode")).agg(F.sum("n").alias("shared"))
-    light = light.join(side("a"), "anode").join(side("b"), "bnode")
-    light = light.where(f"least(an, bn) * {den} >= greatest(an, bn) * {num}").where(f"shared >= {shared('a', most)} and shared >= {shared('b', most)}")
-    pairs = materialize(light.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), "pairs")
-    # Sets that heavy entries leave without a guarantee.
-    bare = materialize(info.where("dear > 0").where(f"{shared('', f'n * {den - num} div {num}')} < 1").select("node", "n", "docs"), "bare")
-    spare += [pairs, bare]
+    facts = classes.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "n", "units")
+    chosen = materialize(_allocate(met.where("kind = 1").select("bucket", "blob"), facts, num, den, buckets), "chosen")
+    found = _look_up(met.where("kind = 0").select("bucket", "blob"), chosen.where("kind = 0").select("bucket", "blob"), num, den)
+    enough = _rows_of(chosen.where("kind = 1"), ["x", "scheme", "least"], "<i8", "<u1", "<i4")
+    found = found.groupBy("x", "y", "scheme").agg(F.sum("n").alias("n")).join(enough, ["x", "scheme"]).where("n >= least")
+    pairs = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    # Sets that need heavy lists.
+    bare = materialize(_rows_of(chosen.where("kind = 2"), ["node"], "<i8").distinct().join(info, "node").select("node", "n", "docs"), "bare")
+    spare = [classes, pairs, bare]
     drop_table(met)
+    drop_table(chosen)
     release_shuffles(docs.sparkSession)
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(bare.select("node")).distinct()
@@ -439,15 +604,15 @@ def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heav
     spare.append(found)
     label = info.join(found.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = label.join(told.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    label = label.select("node", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    label = label.select("node", "root", "doc_id", "docs", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     label = materialize(label, "label")
     least = materialize(label.groupBy("root").agg(F.count(F.lit(1)).alias("_sets"), F.min("doc_id").alias("least")).where("_sets > 1").select("root", "least"), "least")
     if cleanup:
         for t in spare:
             drop_table(t)
     # A component of one set has that set's doc_id; only the others are looked up.
-    label = label.join(least, "root", "left").select("node", "root", "n_links", F.coalesce("least", "doc_id").alias("component_id"))
-    out = nodes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(label, "node", "left")
+    label = materialize(label.join(least, "root", "left").select("node", "root", "n_links", "docs", F.coalesce("least", "doc_id").alias("component_id")), "labels")
+    out = join_keyed(nodes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), label, ["node"], "docs", F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "root")
     return out, seed
 

@@ -1,8 +1,10 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 
-from loam.llm import ngram_join
+from loam.llm import common, ngram_join
 from loam.llm.ngram_join import near_duplicates, one_of_each
 from tests.llm.tables import empty_docs, odd_docs, words
 
@@ -61,9 +63,9 @@ def corpus(rng):
     return rows
 
 
-@pytest.mark.parametrize("heavy", [2, 8, 32])
+@pytest.mark.parametrize("heavy", [2, 8, 32, None])
 def test_against_all_pairs(spark, heavy):
-    rng = random.Random(heavy)
+    rng = random.Random(heavy or 99)
     texts = corpus(rng)
     ids = rng.sample(range(10**6), len(texts))
     docs = odd_docs(spark, zip(ids, texts, strict=True))
@@ -130,3 +132,43 @@ def test_one_key_on_different_texts(spark):
     assert sorted(((r.doc_id, r.n_links) for r in near_duplicates(docs).collect()), key=str) == links(rows)
     got = sorted(((r.doc_id, r.text) for r in one_of_each(docs).collect()), key=str)
     assert got == sorted([(5, x), (5, y), (6, None), (6, ""), (6, "a b"), (None, y)], key=str)
+
+
+def test_allocation_reaches_the_sum_at_least_cost():
+    """Against all allocations: the same cost, a sum over the spread, no second unit without the first."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, need = int(rng.integers(2, 7)), int(rng.integers(1, 6))
+        two = rng.random(n) < 0.5
+        own, more = rng.integers(0, 9, n) * 5, rng.integers(0, 9, n) * 5
+        units = int(n + two.sum() + rng.integers(0, 2))
+        if units < need:
+            continue
+        scheme = 20 << 21
+        code = [scheme | (1 << 28 | i if two[i] else 0) for i in range(n)] + [scheme | 2 << 28 | i for i in range(n) if two[i]]
+        one = [*own, *(more[i] // 2 for i in range(n) if two[i])]
+        extra = [*(more[i] - more[i] // 2 if two[i] else 0 for i in range(n)), *(0 for i in range(n) if two[i])]
+        facts = {"group": np.array([20]), "units": np.array([units]), "need": np.array([need])}
+        mode, least, dense, asks = ngram_join.allocate(np.zeros(len(code), np.int64), np.array(code, np.uint32), np.array(one), np.array(extra), facts)
+        free = units - n - int(two.sum())
+        assert asks[0] == (need > free) and not dense[0]
+        v = [int(min(mode[i], 2)) if two[i] else int(mode[i] > 0) for i in range(n)]
+        assert all(mode[n + k] == (3 if v[i] == 2 else 0) for k, i in enumerate(np.flatnonzero(two)))
+        if not asks[0]:
+            assert not any(v)
+            continue
+        assert free + sum(v) >= need and least[0] == free + sum(v) - need + 1
+        # The dearest unit that is taken is as cheap as it can be.
+        worth = lambda v: max((max(own[i], more[i]) if x == 2 else own[i] for i, x in enumerate(v) if x), default=0)  # noqa: B023, E731
+        every = itertools.product(*(range(3 if t else 2) for t in two))
+        assert max(worth(v), ngram_join.CHEAP) <= max(min(worth(w) for w in every if free + sum(w) >= need), ngram_join.CHEAP)
+
+
+def test_batches_with_heavy_entries_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BATCH_ROWS", 300)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(23)
+    rows = list(enumerate(corpus(rng)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), heavy=4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == links(rows)
