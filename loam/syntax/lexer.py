@@ -84,7 +84,7 @@ class Lexer:
                 i = self._template(i)
             elif c == "/" and self._expects_value():
                 i = self._regex(i)
-            elif c == "<" and self.jsx and self._expects_value() and (m := re.compile(r"<(?:>|[A-Za-z_$])").match(text, i)) and not re.compile(r"<\s*\w+\s*(?:,|extends\b)").match(text, i):
+            elif c == "<" and self.jsx and self._expects_value() and (m := re.compile(r"<(?:>|[A-Za-z_$\u0080-\U0010ffff])").match(text, i)) and not re.compile(r"<\s*\w+\s*(?:,|extends\b)").match(text, i):
                 i = self._element(i)
             elif (m := _NUMBER.match(text, i)) and (c.isdigit() or c == "." and i + 1 < n and text[i + 1].isdigit()):
                 self._add("number", i, m.end())

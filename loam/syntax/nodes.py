@@ -12,20 +12,20 @@ from loam.syntax.parser import SyntaxProblem, nodes_of
 
 SCHEMA = (
     "file string, node_id int, parent_id int, kind string, name string, pos int, start int, end int, text string, init_kind string, callee string, "
-    "identifier boolean, statement string, owner string, type string, optional boolean, top boolean, extends array<string>, doc string, error string"
+    "identifier boolean, statement string, owner string, type string, optional boolean, top boolean, extends array<string>, doc string, imported string, module string, error string"
 )
 FIELDS = tuple(f.split()[0] for f in SCHEMA.split(", "))
 
 
 def node_rows(file: str, text: str | None) -> list[tuple]:
-    """Rows of one file in pre-order, node ids from 1, parent 0 at the top; a text that can't be parsed gives one row
-    of kind Error with the reason."""
+    """Rows of one file in pre-order: SourceFile (id 0, without text) and the nodes below it, with ids from 1; a text that
+    can't be parsed gives one row of kind Error with the reason. So every file has a row, empty and null ones too."""
     text = text or ""
     try:
         nodes = nodes_of(text, not file.endswith((".ts", ".js", ".mts", ".cts")))
     except (SyntaxProblem, IndexError, RecursionError) as e:
-        return [(file, 0, None, "Error", None, 0, 0, 0, None, *[None] * 10, f"{type(e).__name__}: {e}")]
-    out, stack = [], []
+        return [(file, 0, None, "Error", None, 0, 0, 0, None, *[None] * 12, f"{type(e).__name__}: {e}")]
+    out, stack = [(file, 0, None, "SourceFile", None, 0, 0, len(text), None, *[None] * 12, None)], []
     for k, n in enumerate(nodes, 1):
         while stack and stack[-1][1] < n.end:
             stack.pop()
@@ -33,7 +33,7 @@ def node_rows(file: str, text: str | None) -> list[tuple]:
         statement = text[slice(*x["statement"])] if "statement" in x and x["statement"][1] is not None else None
         out.append((
             file, k, stack[-1][0] if stack else 0, n.kind, n.name, n.pos, n.start, n.end, text[n.start : n.end], x.get("init_kind"), x.get("callee"),
-            x.get("identifier"), statement, x.get("owner"), x.get("type"), x.get("optional"), x.get("top"), x.get("extends"), x.get("doc"), None,
+            x.get("identifier"), statement, x.get("owner"), x.get("type"), x.get("optional"), x.get("top"), x.get("extends"), x.get("doc"), x.get("imported"), x.get("module"), None,
         ))
         stack.append((k, n.end))
     return out

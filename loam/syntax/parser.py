@@ -181,6 +181,16 @@ class Parser:
         while i < end:
             i = max(i + 1, self._expression(i, end, False, False))
 
+    def _element(self, i: int, end: int) -> None:
+        """What stands in a JSX element: expressions in braces, and other elements."""
+        while i < end:
+            t = self.t[i]
+            if t.kind == "open":
+                (self._element if t.text == "<" else self._values)(i + 1, t.pair)
+                i = t.pair + 1
+            else:
+                i += 1
+
     def _object(self, i: int, end: int) -> None:
         """Members of an object literal or class between i and end."""
         while i < end:
@@ -238,6 +248,8 @@ class Parser:
             elif t.kind == "open":
                 if t.text == "{" and fresh:
                     self._object(i + 1, t.pair)
+                elif t.text == "<":
+                    self._element(i + 1, t.pair)
                 else:
                     self._values(i + 1, t.pair)
                 i = t.pair + 1
@@ -319,6 +331,7 @@ class Parser:
         return i
 
     def _import(self, i: int, end: int) -> int:
+        mark = len(self.nodes)
         while i < end:
             t = self.t[i]
             if t.kind == "open" and t.text == "{":
@@ -335,6 +348,8 @@ class Parser:
                     k = stop + 1
                 i = t.pair + 1
             elif t.kind == "string":
+                for n in self.nodes[mark:]:
+                    n.extra["module"] = t.text[1:-1]
                 i += 1
                 return i + 1 if i < end and self._is(i, ";") else i
             elif t.text == ";":
@@ -362,7 +377,32 @@ class Parser:
         self._members(i + 1, close, name)
         return close + 1
 
+    def _enum(self, i: int, end: int, first: int, level: int) -> int:
+        """An enumeration; its type is the union of its members' values, numbers going on from the one before."""
+        name = self.t[i].text if i < end and self.t[i].kind == "word" else None
+        while i < end and not (self.t[i].kind == "open" and self.t[i].text == "{"):
+            i += 1
+        if i >= end:
+            return i
+        close, values, number = self.t[i].pair, [], 0
+        k = i + 1
+        while k < close:
+            k += 1
+            if k < close and self._is(k, "="):
+                a = k + 1
+                k = self._expression(a, close, True, False)
+                said = self.text[self.t[a].start : self._end_of(k)] if k > a else "any"
+                number = int(said) + 1 if re.fullmatch(r"-?\d+", said) else number
+                values.append(said)
+            else:
+                values.append(str(number))
+                number += 1
+            k += k < close and self._is(k, ",")
+        self._add("EnumDeclaration", name, first, close + 1, type=" | ".join(values), top=level == 0, doc=doc_text(self.text[self.t[first].full : self.t[first].start]))
+        return close + 1
+
     def _members(self, i: int, end: int, owner: str) -> None:
+        """Members of an interface or an object type; those of an inline object type have `owner.member` as owner."""
         while i < end:
             start = i
             while i < end and self._is(i, "readonly") and not self._is(i + 1, ":", "?"):
@@ -371,6 +411,7 @@ class Parser:
                 i += 1
                 continue
             t = self.t[i]
+            index = t.kind == "open" and t.text == "["
             if t.kind == "open":  # an index signature or a call signature
                 i = t.pair + 1
                 name = None
@@ -393,6 +434,10 @@ class Parser:
             if name and i > start:
                 said = self.text[self.t[a].start : self._end_of(i)] if i > a else "any"
                 self._add("PropertySignature", name, start, i, owner=owner, type=said, optional=optional, doc=doc_text(self.text[self.t[start].full : self.t[start].start]))
+                if i > a and self.t[a].text == "{" and self.t[a].kind == "open" and self.t[a].pair + 1 == i:
+                    self._members(a + 1, self.t[a].pair, f"{owner}.{name}")
+            elif index and i > a:
+                self._add("IndexSignature", None, start, i, owner=owner, type=self.text[self.t[a].start : self._end_of(i)])
             while i < end and not (self._is(i, ";", ",") or self.t[i].newline):
                 i += 1
 
@@ -424,9 +469,13 @@ class Parser:
             elif word == "type" and i + 2 < end and self.t[i + 1].kind == "word" and self._is(i + 2, "=", "<"):
                 name = self.t[i + 1].text
                 i = self._angles(i + 2, end) if self._is(i + 2, "<") else i + 2
-                i = max(i + 1, self._type(i + 1, end))
+                a = i + 1
+                i = max(a, self._type(a, end))
+                said = self.text[self.t[a].start : self._end_of(i)] if i > a else "any"
+                if a < end and self.t[a].text == "{" and self.t[a].kind == "open" and self.t[a].pair + 1 == i:
+                    self._members(a + 1, self.t[a].pair, name)
                 i += i < end and self._is(i, ";")
-                self._add("TypeAlias", name, first, i)
+                self._add("TypeAlias", name, first, i, type=said, top=level == 0, doc=doc_text(self.text[self.t[first].full : self.t[first].start]))
             elif word == "class":
                 name = self.t[i + 1].text if i + 1 < end else None
                 i = self._class(i + 1, end)
@@ -443,12 +492,14 @@ class Parser:
                 i += 1
                 if i < end and not (self.t[i].newline and word == "return"):
                     i = self._expression(i, end, False)
-            elif word in ("case", "default", "else", "do", "try", "finally", "export", "declare", "namespace", "module", "enum", "global"):
+            elif word == "enum" or word == "const" and self._is(i + 1, "enum"):
+                i = self._enum(i + 1 + (word == "const"), end, first, level)
+            elif word in ("case", "default", "else", "do", "try", "finally", "export", "declare", "namespace", "module", "global"):
                 i += 1
-                if word == "enum" or word == "case":
+                if word == "case":
                     while i < end and not (self.t[i].text in ("{", ":") and self.t[i].kind in ("open", "punct")):
                         i += 1
-                    i = self.t[i].pair + 1 if i < end and word == "enum" else i + 1
+                    i += 1
                 elif word in ("namespace", "module"):
                     i += 1
             elif t.kind == "open" and t.text == "{":

@@ -59,7 +59,23 @@ namespace N { interface Inner { z: 1 } }"""
     assert heads == [("A", ["B", "C<D>"], True), ("Inner", [], False)]
     members = [(n.name, n.extra["type"], n.extra["optional"], n.extra["doc"]) for n in nodes if n.kind == "PropertySignature"]
     assert members[:3] == [("a", "string | number", True, "one"), ("f", "(x: number): void", False, None), ("g", "() => Array<T>", False, None)]
-    assert [m[0] for m in members[3:]] == ["q-r", "readonly", "z"]
+    assert [m[0] for m in members[3:]] == ["q-r", "s", "readonly", "z"]
+    owners = {n.name: n.extra["owner"] for n in nodes if n.kind == "PropertySignature"}
+    assert owners["s"] == "A.q-r" and owners["z"] == "Inner" and [n.extra["owner"] for n in nodes if n.kind == "IndexSignature"] == ["A"]
+
+
+def test_aliases_enumerations_and_modules():
+    nodes = nodes_of('import { A as B } from "./k"; import D from "d";\nenum C { X = "x", Y = 3, Z }\ndeclare const enum E { P }\ntype T<Q> = { a: Q };\nswitch (x) { case 1: f(() => 2); default: g() }', False)
+    said = {(n.kind, n.name): n.extra for n in nodes}
+    assert said["ImportSpecifier", "B"] == {"imported": "A", "module": "./k"}
+    assert said["EnumDeclaration", "C"]["type"] == '"x" | 3 | 4' and said["EnumDeclaration", "E"]["type"] == "0"
+    assert said["TypeAlias", "T"]["type"] == "{ a: Q }" and said["PropertySignature", "a"]["owner"] == "T" and ("ArrowFunction", None) in said
+
+
+def test_functions_inside_elements():
+    text = "const A = () => <Ü v={() => 1} w={{ f: () => 2 }}>{xs.map((x) => <Y k={x} {...rest} />)}</Ü>;"
+    assert [text[n.start : n.end] for n in nodes_of(text) if n.kind == "ArrowFunction"][1:] == ["() => 1", "() => 2", "(x) => <Y k={x} {...rest} />"]
+    assert found(text, "JsxOpening", "JsxSelfClosing") == ["Ü", "Y"]
 
 
 @pytest.mark.parametrize("text", ["const a = (", "<A></B>", "'open", "`${", "const x = <A", "}"])
@@ -80,7 +96,8 @@ def test_any_text_gives_rows(parts):
 def test_table_and_table_function(spark):
     files = spark.createDataFrame([("a.tsx", "const A = () => <B />;"), ("b.ts", None), ("c.tsx", "const ("), ("d.tsx", "")], "file_path string, content string")
     rows = ts_nodes(files).orderBy("file", "node_id").collect()
-    assert [(r.file, r.node_id, r.parent_id, r.kind) for r in rows] == [("a.tsx", 1, 0, "VariableStatement"), ("a.tsx", 2, 1, "VariableDeclaration"), ("a.tsx", 3, 2, "ArrowFunction"), ("a.tsx", 4, 3, "JsxSelfClosing"), ("c.tsx", 0, None, "Error")]
+    assert [(r.file, r.node_id, r.parent_id, r.kind) for r in rows] == [("a.tsx", 0, None, "SourceFile"), ("a.tsx", 1, 0, "VariableStatement"), ("a.tsx", 2, 1, "VariableDeclaration"), ("a.tsx", 3, 2, "ArrowFunction"), ("a.tsx", 4, 3, "JsxSelfClosing"), ("b.ts", 0, None, "SourceFile"), ("c.tsx", 0, None, "Error"), ("d.tsx", 0, None, "SourceFile")]
     register(spark)
     files.createOrReplaceTempView("files")
-    assert spark.sql("select n.kind from files, lateral ts_nodes(file_path, content) n where file_path = 'a.tsx'").count() == 4
+    assert spark.sql("select n.kind from files, lateral ts_nodes(file_path, content) n where file_path = 'a.tsx'").count() == 5
+    assert [r[3] for r in node_rows("x.tsx", "<" * 3000)] == ["SourceFile"]
