@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: What the readers expect; fields that a file lacks are null, others are ignored.
@@ -15,9 +18,10 @@ RECORD = (
 LEGACY = "id string, name string, component string, file string, properties array<struct<name:string,type:string>>, element string"
 
 
-def json_rows(spark: SparkSession, path: str, schema: str, pattern: str | None = None) -> DataFrame:
-    """Rows of JSON files below a folder; a file is one object or an array of them."""
-    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+def json_rows(spark: SparkSession, path: str, schema: str, pattern: str | None = None, lines: bool = False) -> DataFrame:
+    """Rows of JSON files below a folder; a file is one object or an array of them, or with `lines` an object a line, as
+    save_json writes them."""
+    reader = spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).json(path)
 
 
@@ -40,6 +44,7 @@ def save_rows(df: DataFrame, path: str) -> None:
 
 
 def save_json(df: DataFrame, path: str) -> None:
+    """One combined set as JSON, an object a line."""
     df.write.mode("overwrite").json(path)
 
 
@@ -53,3 +58,61 @@ def array_documents(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != key and c not in order]
     rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(key, *rest).alias("row"))))
     return df.groupBy(key).agg(F.to_json(F.transform(rows, lambda r: r["row"])).alias("document"))
+
+
+# ---------------------------------------------------------------- intermediate tables
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, as the session or its context has it.
+
+    Where it is unset, a local session, as in tests, gets a folder of this machine; any other fails, since each executor
+    would write to a disk of its own.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file:///tmp/checkpoints/loam"
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+#: Tables of kept() that nobody has removed yet, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: what is dear to make is made once, however often it is read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loam-{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of any store that Spark reaches."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def remove_kept(spark: SparkSession) -> int:
+    """Removes the tables of kept() that this application has left; their number. Results that read them are lazy, so
+    this is for when they have been written."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
+def put_files(spark: SparkSession, root: str, files: dict[str, str | bytes]) -> None:
+    """Writes a few small files, by path below a folder, to any store that Spark reaches."""
+    for name, body in files.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(body.encode() if isinstance(body, str) else body))
+        out.close()
