@@ -52,13 +52,14 @@ def _when(condition: Column, kind: str, text: Column) -> Column:
 def rag_chunks(records: DataFrame) -> DataFrame:
     """component, ord, type, text: overview, props, dependencies, composition, render flow, state, functions, examples.
 
-    records: component, schema (map of name to JSON, or null), dependencies (structs with name), jsxUsage,
+    records: component, schema (map of name to JSON, or null), dependencies (structs with component or name, the first that has text), jsxUsage,
     internalComponents, state (structs with code), functions (structs with name). Null lists count as empty; the
     overview and the example of the component itself are always there. No shuffle: a row's chunks come from the row.
     """
     own = F.col("component")
     props = prop_texts(F.col("schema"))
-    deps = joined(without_blanks(F.transform("dependencies", lambda d: d["name"])), ", ")
+    fields = records.schema["dependencies"].dataType.elementType.names
+    deps = joined(without_blanks(F.transform("dependencies", lambda d: F.coalesce(*(F.nullif(d[f], F.lit("")) for f in ("component", "name") if f in fields)))), ", ")
     tags = F.slice(F.filter("jsxUsage", capitalised), 1, MOST_TAGS)
     chunk = lambda kind, text: F.struct(kind.alias("type"), text.alias("text"))
     none = F.slice(F.array(chunk(F.lit(""), F.lit(""))), 1, 0)

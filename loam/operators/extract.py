@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loam.functions.js import capitalised, first_match, first_seen, in_order, last_wins
+from loam.functions.js import capitalised, first_match, first_seen, in_order
+from loam.sources.stores import kept
 from loam.syntax.nodes import component_name
 
 #: Imported names that are no dependencies.
@@ -42,8 +43,8 @@ def tag() -> Column:
 def records(nodes: DataFrame) -> DataFrame:
     """component, file, dependencies, jsxUsage, internalComponents, state, functions of each file, in document order.
 
-    Lists of names are distinct in order of first occurrence; state and functions keep repeats. Files without any such
-    node still give a row, with empty lists; files that can't be parsed give none.
+    Lists of names are distinct in order of first occurrence; state and functions keep repeats. Every file that can be
+    parsed gives a row, with empty lists where there is nothing; files that can't be parsed give none.
     """
     own = component_name(F.col("file"))
     fn = function(own)
@@ -91,43 +92,21 @@ def pattern_chunks(texts: DataFrame, pattern: str = FUNCTION_PATTERN, kind: str
     return texts.select(key, F.posexplode(pairs).alias("ord", "m")).select(key, "ord", F.col("m.id").alias("id"), F.lit(kind).alias("type"), F.col("m.text").alias("text"))
 
 
-def _components(nodes: DataFrame, expression: str) -> DataFrame:
-    """file and the last component of each file: a function, or a name that a function is assigned to."""
-    is_one = (F.col("kind") == "FunctionDeclaration") | (F.col("kind") == "VariableDeclaration") & F.col("identifier") & F.col("init_kind").isin("ArrowFunction", expression)
-    return nodes.where(is_one & F.col("name").isNotNull()).groupBy("file").agg(last_wins(F.col("name"), F.col("node_id")).alias("component"))
-
-
-def interfaces_of_files(nodes: DataFrame) -> DataFrame:
-    """parser, component, propsInterface, file: the last component and the last interface of each file with a component."""
-    last = nodes.where("kind = 'InterfaceDeclaration'").groupBy("file").agg(last_wins(F.col("name"), F.col("node_id")).alias("i"))
-    return _components(nodes, "FunctionExpression").join(last, "file", "left").select(F.lit("babel").alias("parser"), "component", F.coalesce("i", F.lit("")).alias("propsInterface"), "file")
-
-
-def interfaces_by_name(nodes: DataFrame) -> DataFrame:
-    """The same with the interface that is named after the component, from whatever file declares it last."""
-    table = nodes.where("kind = 'InterfaceDeclaration'").groupBy("name").agg(last_wins(F.col("file"), F.col("file"), F.col("node_id")).alias("declared_in"))
-    found = _components(nodes, "FunctionExpression").withColumn("want", F.concat("component", F.lit("Props")))
-    return found.join(table, F.col("want") == F.col("name"), "left").select(F.lit("typescript").alias("parser"), "component", F.coalesce("name", F.lit("")).alias("propsInterface"), "file")
-
-
-def plain_components(nodes: DataFrame) -> DataFrame:
-    """parser, component, file: the last component alone."""
-    return _components(nodes, "FunctionExpression").select(F.lit("tree-sitter").alias("parser"), "component", "file")
-
-
 def front_ends(nodes: DataFrame) -> DataFrame:
-    """parser, component, propsInterface, file of all three front ends above; propsInterface is null for the last.
+    """parser, component, propsInterface, file of the three front ends.
 
-    One aggregate of the nodes holds what all of them need; the sources are not parsed again for each.
+    All give the last component of each file. `babel` adds the last interface of the same file, `typescript` the
+    interface that is named after the component, in whatever file it stands; `tree-sitter` has null. One aggregate of the nodes
+    holds what all of them need; it is written, a row a file, so that the sources are parsed once.
     """
     is_one = (F.col("kind") == "FunctionDeclaration") | (F.col("kind") == "VariableDeclaration") & F.col("identifier") & F.col("init_kind").isin("ArrowFunction", "FunctionExpression")
     head = F.when(F.col("kind") == "InterfaceDeclaration", F.col("name"))
-    facts = nodes.groupBy("file").agg(
+    facts = kept(nodes.groupBy("file").agg(
         F.max_by(F.when(is_one, F.col("name")), F.when(is_one & F.col("name").isNotNull(), F.col("node_id"))).alias("component"),
         F.max_by(head, F.when(head.isNotNull(), F.col("node_id"))).alias("last"),
         F.collect_set(head).alias("declared"),
-    )
-    table = facts.select(F.explode("declared").alias("name"), F.col("file").alias("declared_in")).groupBy("name").agg(F.max("declared_in").alias("declared_in"))
+    ), "front-ends")
+    table = facts.select(F.explode("declared").alias("name")).distinct()
     found = facts.where("component is not null").withColumn("want", F.concat("component", F.lit("Props"))).join(table, F.col("want") == F.col("name"), "left")
     each = F.array(
         F.struct(F.lit("babel").alias("parser"), F.coalesce("last", F.lit("")).alias("i")),
@@ -137,18 +116,39 @@ def front_ends(nodes: DataFrame) -> DataFrame:
     return found.select(F.explode(each).alias("e"), "component", "file").select("e.parser", "component", F.col("e.i").alias("propsInterface"), "file")
 
 
+def module_paths(file: Column, module: Column) -> Column:
+    """Where a relative module may be: its path from the importing file's folder with each ending that a file may have; an
+    empty list for a package."""
+    parts = F.filter(F.split(F.concat(F.regexp_replace(file, "[^/]*$", ""), module), "/"), lambda p: p != ".")
+    empty = F.array().cast("array<string>")
+    path = F.array_join(F.aggregate(parts, empty, lambda seen, p: F.when((p == "..") & (F.size(seen) > 0), F.slice(seen, 1, F.size(seen) - 1)).otherwise(F.array_append(seen, p))), "/")
+    every = F.array(*(F.concat(path, F.lit(end)) for end in ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx")))
+    return F.when(F.startswith(module, F.lit(".")), every).otherwise(empty)
+
+
 def documented_components(nodes: DataFrame) -> DataFrame:
     """parser, componentName, doc, file of every component function at the top of a file; doc is JSON of its name and props.
 
-    Props are the members of the interface that its text names as React.FC<...> or as the type of its parameter.
+    Props are the members of the interface that its text names as React.FC<...> or as the type of its parameter: the one
+    of its own file, else the one that the file imports under that name from a relative module. An interface of another
+    file that is not imported does not count; without one there are no props.
     """
     is_one = (F.col("kind") == "FunctionDeclaration") | (F.col("kind") == "VariableDeclaration") & F.col("init_kind").isin("ArrowFunction", "FunctionExpression")
     head = F.substring_index(F.coalesce("statement", "text"), "=>", 1)
     named = F.coalesce(F.nullif(F.regexp_extract(head, r"FC\s*<\s*(\w+)", 1), F.lit("")), F.regexp_extract(head, r"[)}\w]\s*:\s*(\w*Props)\b", 1))
-    own = nodes.where(is_one & capitalised(F.col("name"))).select("file", "node_id", "name", named.alias("owner"))
-    members = nodes.where("kind = 'PropertySignature'").groupBy("owner").agg(in_order(F.struct("name", "type", "optional", "doc"), F.col("file"), F.col("node_id")).alias("props"))
+    nodes = kept(nodes.where(is_one & capitalised(F.col("name")) | F.col("kind").isin("PropertySignature", "ImportSpecifier")).select(
+        "file", "node_id", "kind", "name", "owner", "type", "optional", "doc", "imported", "module", F.when(is_one, named).alias("wants"),
+    ), "documented")
+    own = nodes.where("wants is not null").select("file", "node_id", "name", "wants")
+    members = nodes.where("kind = 'PropertySignature'").groupBy(F.col("file").alias("_file"), F.col("owner").alias("_owner")).agg(in_order(F.struct("name", "type", "optional", "doc"), F.col("node_id")).alias("props"))
+    imports = nodes.where("kind = 'ImportSpecifier'").select(F.col("file").alias("_by"), F.col("name").alias("_as"), F.col("imported").alias("_name"), F.posexplode(module_paths(F.col("file"), F.col("module"))).alias("_rank", "_from"))
+    there = members.select("_file", "_owner")
+    brought = imports.join(there, (F.col("_from") == F.col("_file")) & (F.col("_name") == F.col("_owner"))).groupBy("_by", "_as").agg(F.min_by(F.struct("_file", "_owner"), "_rank").alias("at"))
+    at = own.join(there, (F.col("file") == F.col("_file")) & (F.col("wants") == F.col("_owner")), "left").join(brought, (F.col("file") == F.col("_by")) & (F.col("wants") == F.col("_as")), "left")
+    at = at.select("file", "node_id", "name", F.coalesce("_file", "at._file").alias("in_file"), F.coalesce("_owner", "at._owner").alias("in_owner"))
+    held = at.join(members, (F.col("in_file") == F.col("_file")) & (F.col("in_owner") == F.col("_owner")), "left")
     doc = F.to_json(F.struct(F.col("name").alias("displayName"), "props"))
-    return own.join(members, "owner", "left").select(F.lit("docgen").alias("parser"), F.col("name").alias("componentName"), doc.alias("doc"), "file", "node_id")
+    return held.select(F.lit("docgen").alias("parser"), F.col("name").alias("componentName"), doc.alias("doc"), "file", "node_id")
 
 
 def interfaces(nodes: DataFrame) -> DataFrame:

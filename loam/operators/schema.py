@@ -6,13 +6,15 @@ stays that of the document.
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from loam.functions.js import in_order, last_wins
+from loam.functions.js import in_order
 from loam.syntax.nodes import ts_nodes
+from loam.syntax.parser import Node, SyntaxProblem, nodes_of
 
 MAP = "map<string,string>"
 
@@ -97,30 +99,84 @@ def nodes_or_retry(files: DataFrame, path: str = "file_path", content: str = "co
 _PLAIN = {"string": "string", "number": "number", "boolean": "boolean", "null": "null", "object": "object"}
 
 
-def property_schema(kind: str, doc: str | None, names: set[str] | None = None) -> dict:
-    """JSON schema of a member's type text: plain types, literals as enums, unions, arrays and references; what only a
-    type checker could tell (functions, generics of other libraries) has no type but its text as comment."""
-    kind = kind.strip()
+def split_type(kind: str, at: str) -> list[str]:
+    """The parts of a type text between separators that stand in no bracket, string or function type."""
+    parts, depth, begin, quote = [], 0, 0, ""
+    for i, c in enumerate(kind):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in "([{<":
+            depth += 1
+        elif c in ")]}" or c == ">" and kind[i - 1 : i] != "=":
+            depth -= 1
+        elif c == at and not depth:
+            parts.append(kind[begin:i].strip())
+            begin = i + 1
+    return [p for p in (*parts, kind[begin:].strip()) if p]
+
+
+def _bare(kind: str) -> str:
+    """Without brackets around the whole; those of a function's parameters are none."""
+    while kind.startswith("(") and kind.endswith(")"):
+        depth = 0
+        for i, c in enumerate(kind):
+            depth += (c == "(") - (c == ")")
+            if not depth:
+                break
+        if i < len(kind) - 1:
+            break
+        kind = kind[1:-1].strip()
+    return kind
+
+
+def object_schema(members: list[Node]) -> dict:
+    """Schema of the members of one owner, nodes of kinds PropertySignature and IndexSignature."""
+    props = {n.name: property_schema(n.extra["type"], n.extra.get("doc")) for n in members if n.kind == "PropertySignature"}
+    out: dict = {"type": "object", "properties": props}
+    if required := [n.name for n in members if n.kind == "PropertySignature" and not n.extra["optional"]]:
+        out["required"] = required
+    for n in members:
+        if n.kind == "IndexSignature":
+            out["additionalProperties"] = property_schema(n.extra["type"], None)
+    return out
+
+
+def property_schema(kind: str, doc: str | None) -> dict:
+    """JSON schema of a type text: plain types, literals as enums, unions, intersections, arrays, inline objects, records
+    and references; what only a type checker could tell (functions, generics of other libraries) has no type but its text
+    as comment."""
+    kind = _bare(kind.strip())
     out: dict = {}
-    if m := re.fullmatch(r"(.+)\[\]", kind, re.S):
-        inner = m[1].strip()
-        inner = inner[1:-1] if inner.startswith("(") and inner.endswith(")") else inner
-        out = {"type": "array", "items": property_schema(inner, None, names)}
-    elif m := re.fullmatch(r"Array<(.+)>", kind, re.S):
-        out = {"type": "array", "items": property_schema(m[1], None, names)}
-    elif "=>" in kind:
+    unions, both = split_type(kind, "|"), split_type(kind, "&")
+    if "=>" in kind and len(unions) == 1:
         out = {"$comment": kind}
-    elif "|" in kind:
-        parts = [p.strip() for p in kind.split("|") if p.strip()]
-        texts = [p[1:-1] for p in parts if p[0] in "\"'"]
-        if len(texts) == len(parts):
+    elif len(unions) > 1:
+        texts = [p[1:-1] for p in unions if p[0] in "\"'"]
+        numbers = [float(p) if "." in p else int(p) for p in unions if re.fullmatch(r"-?\d+(\.\d+)?", p)]
+        if len(texts) == len(unions):
             out = {"type": "string", "enum": texts}
-        elif all(p in _PLAIN for p in parts):
-            out = {"type": [_PLAIN[p] for p in parts]}
+        elif len(texts) + len(numbers) == len(unions):
+            out = {"type": "number" if not texts else ["string", "number"], "enum": [*texts, *numbers]}
+        elif all(p in _PLAIN for p in unions):
+            out = {"type": [_PLAIN[p] for p in unions]}
         else:
-            out = {"anyOf": [property_schema(p, None, names) for p in parts]}
-    elif kind[:1] in "\"'":
+            out = {"anyOf": [property_schema(p, None) for p in unions]}
+    elif len(both) > 1:
+        out = {"allOf": [property_schema(p, None) for p in both]}
+    elif m := re.fullmatch(r"(?:readonly\s+)?(.+)\[\]", kind, re.S):
+        out = {"type": "array", "items": property_schema(m[1], None)}
+    elif m := re.fullmatch(r"(?:Readonly)?Array<(.+)>", kind, re.S):
+        out = {"type": "array", "items": property_schema(m[1], None)}
+    elif (m := re.fullmatch(r"Record<(.+)>", kind, re.S)) and len(parts := split_type(m[1], ",")) == 2:
+        out = {"type": "object", "additionalProperties": property_schema(parts[1], None)}
+    elif kind.startswith("{"):
+        out = object_schema([n for n in nodes_of(f"interface _ {kind}", False) if n.extra.get("owner") == "_"])
+    elif kind[:1] in "\"'" and kind:
         out = {"type": "string", "enum": [kind[1:-1]]}
+    elif re.fullmatch(r"-?\d+(\.\d+)?", kind):
+        out = {"type": "number", "enum": [float(kind) if "." in kind else int(kind)]}
     elif kind in _PLAIN:
         out = {"type": _PLAIN[kind]}
     elif kind in ("any", "unknown"):
@@ -133,36 +189,56 @@ def property_schema(kind: str, doc: str | None, names: set[str] | None = None) -
 
 
 @F.pandas_udf(T.StringType())
-def _member_json(kind: pd.Series, doc: pd.Series) -> pd.Series:
-    import json
+def _type_json(kind: pd.Series, doc: pd.Series) -> pd.Series:
+    def one(k: str | None, d: str | None) -> str:
+        try:
+            return json.dumps(property_schema(k or "any", d if isinstance(d, str) else None))
+        except (SyntaxProblem, RecursionError, IndexError):
+            return json.dumps({"$comment": k})
 
-    return pd.Series([json.dumps(property_schema(k or "any", d if isinstance(d, str) else None)) for k, d in zip(kind, doc, strict=True)])
+    return pd.Series([one(k, d) for k, d in zip(kind, doc, strict=True)])
+
+
+def _quoted(c: Column) -> Column:
+    """A JSON string."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
 
 def definitions(nodes: DataFrame) -> DataFrame:
-    """file, ord, name, definition (JSON) of every interface; members in order, inherited ones through allOf.
+    """file, ord, name, definition (JSON) of every interface, type alias and enumeration; members of interfaces in order,
+    inherited ones through allOf, index signatures as additionalProperties.
 
     Interfaces of one name in a file are merged into the first, as declarations merge.
     """
-    members = nodes.where("kind = 'PropertySignature'").withColumn("json", _member_json("type", "doc"))
-    entry = F.concat(F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(":"), F.col("json"))
-    props = members.groupBy("file", F.col("owner").alias("name")).agg(
-        F.concat(F.lit("{"), F.array_join(in_order(entry, F.col("node_id")), ","), F.lit("}")).alias("props"),
-        in_order(F.when(~F.col("optional"), F.col("name")), F.col("node_id")).alias("required"),
-    )
-    heads = nodes.where("kind = 'InterfaceDeclaration'").groupBy("file", "name").agg(F.min("node_id").alias("ord"), F.flatten(in_order(F.col("extends"), F.col("node_id"))).alias("extends"))
+    held = nodes.where(F.col("kind").isin("PropertySignature", "IndexSignature", "InterfaceDeclaration", "TypeAlias", "EnumDeclaration"))
+    held = held.withColumn("json", F.when(F.col("type").isNotNull(), _type_json("type", "doc")))
+    prop, index = F.col("kind") == "PropertySignature", F.col("kind") == "IndexSignature"
+    head, said = F.col("kind") == "InterfaceDeclaration", F.col("kind").isin("TypeAlias", "EnumDeclaration")
+    name = F.when(prop | index, F.col("owner")).otherwise(F.col("name"))
+    at = F.col("node_id")
+    rows = held.groupBy("file", name.alias("name")).agg(
+        F.min(F.when(head | said, at)).alias("ord"),
+        F.bool_or(head).alias("interface"),
+        F.concat(F.lit("{"), F.array_join(in_order(F.when(prop, F.concat(_quoted(F.col("name")), F.lit(":"), F.col("json"))), at), ","), F.lit("}")).alias("props"),
+        in_order(F.when(prop & ~F.col("optional"), F.col("name")), at).alias("required"),
+        F.max_by(F.when(index, F.col("json")), F.when(index, at)).alias("rest"),
+        F.flatten(in_order(F.when(head, F.col("extends")), at)).alias("extends"),
+        F.min_by(F.when(said, F.col("json")), F.when(said, at)).alias("said"),
+    )
     refs = F.transform(F.filter("extends", lambda h: h.rlike(r"^\w+$")), lambda h: F.concat(F.lit('{"$ref":"#/definitions/'), h, F.lit('"}')))
     body = F.concat(
-        F.lit('{"type":"object","properties":'), F.coalesce("props", F.lit("{}")),
+        F.lit('{"type":"object","properties":'), F.col("props"),
         F.when(F.size("required") > 0, F.concat(F.lit(',"required":'), F.to_json("required"))).otherwise(""),
+        F.when(F.col("rest").isNotNull(), F.concat(F.lit(',"additionalProperties":'), F.col("rest"))).otherwise(""),
         F.when(F.size(refs) > 0, F.concat(F.lit(',"allOf":['), F.array_join(refs, ","), F.lit("]"))).otherwise(""), F.lit("}"),
     )
-    return heads.join(props, ["file", "name"], "left").select("file", "ord", "name", body.alias("definition"))
+    # Members of inline objects have an owner that is no declaration; they stand in their member's schema.
+    return rows.where("ord is not null").select("file", "ord", "name", F.when(F.col("interface"), body).otherwise(F.col("said")).alias("definition"))
 
 
 def schema_documents(nodes: DataFrame) -> DataFrame:
     """file, schema: one JSON document of all definitions of a file."""
-    pair = F.concat(F.lit('"'), F.col("name"), F.lit('":'), F.col("definition"))
+    pair = F.concat(_quoted(F.col("name")), F.lit(":"), F.col("definition"))
     return definitions(nodes).groupBy("file").agg(F.concat(F.lit('{"definitions":{'), F.array_join(in_order(pair, F.col("ord")), ","), F.lit("}}")).alias("schema"))
 
 
@@ -181,30 +257,34 @@ def selected(definitions: DataFrame, key: str = "component", name: str = "defini
     return best.select(key, f"d.{name}", f"d.{body}")
 
 
+#: What is read of a property's schema; `type` and `enum` may be of any kind and come as text.
+PROPERTY = "struct<type:string,`$ref`:string,items:struct<type:string,`$ref`:string>,enum:array<string>,description:string,`$comment`:string>"
+
+
 def own_and_inherited(rows: DataFrame, body: str = "body", keys: tuple[str, ...] = ("component", "ord", "definition")) -> DataFrame:
     """keys, place, name, value: the properties of each definition, then those of its allOf parts; a later value takes
-    the place of an earlier one, and the place stays that of the first."""
-    parts = F.concat(F.array(F.get_json_object(body, "$.properties")), F.transform(F.from_json(F.get_json_object(body, "$.allOf"), "array<string>"), lambda p: F.get_json_object(p, "$.properties")))
-    parts = F.coalesce(parts, F.array(F.get_json_object(body, "$.properties")))
-    each = rows.select(*keys, F.posexplode(parts).alias("source", "held"))
-    each = each.select(*keys, "source", F.posexplode(F.from_json("held", MAP)).alias("at", "name", "value"))
-    return each.groupBy(*keys, "name").agg(F.min(F.struct("source", "at")).alias("place"), last_wins(F.col("value"), F.col("source"), F.col("at")).alias("value"))
+    the place of an earlier one, and the place stays that of the first. All within the row: nothing is shuffled."""
+    held = F.from_json(body, "struct<properties:map<string,string>,allOf:array<struct<properties:map<string,string>>>>")
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    entries = lambda m: F.coalesce(F.map_entries(m), none)
+    every = F.concat(entries(F.col("held.properties")), F.coalesce(F.flatten(F.transform("held.allOf", lambda p: entries(p["properties"]))), none))
+    merged = F.transform(F.array_distinct(F.transform("every", lambda e: e["key"])), lambda n: F.struct(n.alias("name"), F.element_at(F.filter("every", lambda e: e["key"] == n), -1)["value"].alias("value")))
+    out = rows.select(*keys, held.alias("held")).select(*keys, every.alias("every"))
+    return out.select(*keys, F.posexplode(merged).alias("place", "p")).select(*keys, "place", "p.name", "p.value")
 
 
-def _type_text(value: Column) -> Column:
+def _type_text(kind: Column) -> Column:
     """`type` as text; a list of types with commas, as lists print."""
-    raw = F.get_json_object(value, "$.type")
-    return F.when(F.startswith(raw, F.lit("[")), F.array_join(F.from_json(raw, "array<string>"), ",")).otherwise(raw)
+    return F.when(F.startswith(kind, F.lit("[")), F.array_join(F.from_json(kind, "array<string>"), ",")).otherwise(kind)
 
 
 def _tail(ref: Column) -> Column:
     return F.element_at(F.split(ref, "/"), -1)
 
 
-def resolved_type(value: Column) -> tuple[Column, Column]:
-    """Type text of a property, and the definition it refers to or null."""
-    kind, ref = _type_text(value), F.get_json_object(value, "$['$ref']")
-    item_ref, item_type = F.get_json_object(value, "$.items['$ref']"), _type_text(F.get_json_object(value, "$.items"))
+def resolved_type(held: Column) -> tuple[Column, Column]:
+    """Type text of a property (a PROPERTY struct), and the definition it refers to or null."""
+    kind, ref, item_ref, item_type = _type_text(held["type"]), held["$ref"], held["items"]["$ref"], _type_text(held["items"]["type"])
     is_list = kind == "array"
     link = F.when(is_list, F.when(item_ref.isNotNull(), _tail(item_ref))).when(kind.isNull() & ref.isNotNull(), _tail(ref))
     said = (
@@ -215,14 +295,13 @@ def resolved_type(value: Column) -> tuple[Column, Column]:
     return said, link
 
 
-def described(name: Column, value: Column, component: Column) -> Column:
-    """The property's own description, or a sentence by its kind."""
-    choices = F.from_json(F.get_json_object(value, "$.enum"), "array<string>")
+def described(name: Column, held: Column, component: Column) -> Column:
+    """The property's own description, or a sentence by its kind. held: a PROPERTY struct."""
     return F.coalesce(
-        F.nullif(F.get_json_object(value, "$.description"), F.lit("")),
+        F.nullif(held["description"], F.lit("")),
         F.when(F.startswith(name, F.lit("on")), F.concat(F.lit("Callback function triggered when "), F.lower(F.substring(name, 3, 1 << 20)), F.lit(" occurs in "), component, F.lit(".")))
-        .when(choices.isNotNull(), F.concat(name, F.lit(" can be one of: "), F.array_join(choices, ", "), F.lit(".")))
-        .when(F.get_json_object(value, "$.type") == "boolean", F.concat(F.lit("Boolean flag to control "), name, F.lit(" behavior in "), component, F.lit(".")))
+        .when(held["enum"].isNotNull(), F.concat(name, F.lit(" can be one of: "), F.array_join(held["enum"], ", "), F.lit(".")))
+        .when(held["type"] == "boolean", F.concat(F.lit("Boolean flag to control "), name, F.lit(" behavior in "), component, F.lit(".")))
         .otherwise(F.concat(name, F.lit(" property of "), component, F.lit(" component."))),
     )
 
@@ -235,31 +314,33 @@ def property_kind(name: Column) -> Column:
 def schema_chunks(schemas: DataFrame) -> DataFrame:
     """component, definition, isSubType, name, description, type, dataType, enum, linksTo, signature of every property of
     every definition of (component, schema), with ord and place for their order."""
-    rows = own_and_inherited(exploded_definitions(schemas))
-    name, value, kind = F.col("name"), F.col("value"), property_kind(F.col("name"))
-    said, link = resolved_type(value)
+    rows = own_and_inherited(exploded_definitions(schemas)).withColumn("held", F.from_json("value", PROPERTY))
+    name, held, kind = F.col("name"), F.col("held"), property_kind(F.col("name"))
+    said, link = resolved_type(held)
     return rows.select(
         "component", "ord", "place", "definition", (F.col("definition") != F.concat("component", F.lit("Props"))).alias("isSubType"), "name",
-        described(name, value, F.col("component")).alias("description"), kind.alias("type"),
+        described(name, held, F.col("component")).alias("description"), kind.alias("type"),
         F.when(kind == "property", said).when(kind == "ref", "ref").alias("dataType"),
-        F.when(kind == "property", F.from_json(F.get_json_object(value, "$.enum"), "array<string>")).alias("enum"),
+        F.when(kind == "property", held["enum"]).alias("enum"),
         F.when(kind == "property", link).alias("linksTo"),
-        F.when(kind == "event", F.coalesce(F.nullif(F.get_json_object(value, "$['$comment']"), F.lit("")), F.lit("unknown"))).alias("signature"),
+        F.when(kind == "event", F.coalesce(F.nullif(held["$comment"], F.lit("")), F.lit("unknown"))).alias("signature"),
     )
 
 
 def with_schemas(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Component records with their own schema (null if there is none) and that of each dependency, in order.
 
-    schemas: component, schema. Both are plain equi-joins; Spark picks broadcast or sort-merge by size.
+    schemas: component, schema; a row a component. Both are plain equi-joins; Spark picks broadcast or sort-merge by size.
+    A record goes through once: its rows, one for each dependency, meet again by component and file, and only the first
+    of them carries the record's lists.
     """
     own = records.join(schemas, "component", "left")
-    each = own.select("component", "file", F.posexplode_outer("dependencies").alias("at", "name"))
+    lists = F.struct("schema", "jsxUsage", "internalComponents", "state", "functions")
+    each = own.select("component", "file", lists.alias("rest"), F.posexplode_outer("dependencies").alias("at", "name"))
+    each = each.withColumn("rest", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("rest")))
     found = each.join(schemas.select(F.col("component").alias("name"), F.col("schema").alias("held")), "name", "left")
-    deps = found.where("name is not null").groupBy("component", "file").agg(in_order(F.struct("name", F.col("held").alias("schema")), F.col("at")).alias("deps"))
-    out = own.join(deps, ["component", "file"], "left")
-    empty = F.array().cast("array<struct<name:string,schema:string>>")
-    return out.select("component", "file", "schema", F.coalesce("deps", empty).alias("dependencies"), "jsxUsage", "internalComponents", "state", "functions")
+    nested = found.groupBy("component", "file").agg(F.first("rest", ignorenulls=True).alias("rest"), in_order(F.when(F.col("name").isNotNull(), F.struct("name", F.col("held").alias("schema"))), F.col("at")).alias("dependencies"))
+    return nested.select("component", "file", "rest.schema", "dependencies", "rest.jsxUsage", "rest.internalComponents", "rest.state", "rest.functions")
 
 
 # ---------------------------------------------------------------- types along references
@@ -268,26 +349,61 @@ def with_schemas(records: DataFrame, schemas: DataFrame) -> DataFrame:
 def type_tree(spark: SparkSession, edges: DataFrame, max_depth: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
     """root, path, depth, name, said: every property reached from each root along references.
 
-    edges: owner, name, said (its type as text), target (an owner or null). A property is not followed at `max_depth`,
+    edges: owner, name, said (its type as text), target (an owner or null); a property with several targets, as a union
+    has, stands in several rows and is followed into each at the same depth. A property is not followed at `max_depth`,
     into a type that is already on its path, or into one on the skip list; there its type text stands.
     """
-    view = f"_edges_{abs(hash((id(edges), max_depth))):x}"
-    edges.createOrReplaceTempView(view)
-    listed = ", ".join(f"'{s}'" for s in skip) or "''"
-    return spark.sql(f"""
-        WITH RECURSIVE reached(root, path, seen, depth, name, said, target) MAX RECURSION LEVEL {max_depth + 2} AS (
-            SELECT owner, array(name), array(owner), 1, name, said, target FROM {view}
+    props = edges.select("owner", "name", "said").distinct()
+    links = edges.where("target is not null").select("owner", "name", "target").distinct()
+    links = links.where(~F.col("target").isin(*skip)) if skip else links
+    return spark.sql(
+        f"""WITH RECURSIVE reached(root, path, seen, depth, owner, name, said) MAX RECURSION LEVEL {int(max_depth) + 2} AS (
+            SELECT owner, array(name), array(owner), 1, owner, name, said FROM {{props}}
             UNION ALL
-            SELECT r.root, array_append(r.path, e.name), array_append(r.seen, e.owner), r.depth + 1, e.name, e.said, e.target
-            FROM reached r JOIN {view} e ON e.owner = r.target
-            WHERE r.depth <= {max_depth} AND NOT array_contains(r.seen, r.target) AND r.target NOT IN ({listed})
-        ) SELECT root, array_join(path, '.') AS path, depth, name, said FROM reached""")
+            SELECT r.root, array_append(r.path, e.name), array_append(r.seen, e.owner), r.depth + 1, e.owner, e.name, e.said
+            FROM reached r JOIN {{links}} l ON l.owner = r.owner AND l.name = r.name JOIN {{props}} e ON e.owner = l.target
+            WHERE r.depth <= {int(max_depth)} AND NOT array_contains(r.seen, l.target)
+        ) SELECT root, array_join(path, '.') AS path, depth, name, said FROM reached""",
+        props=props,
+        links=links,
+    )
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def type_targets(kind: pd.Series, own: pd.Series) -> pd.Series:
+    """Owners that a type text refers to: each branch of a union or intersection by its name, arrays by their items, an
+    inline object by `own`. Functions, plain types and literals refer to none."""
+
+    def one(text: str | None, inline: str) -> list[str]:
+        out: list[str] = []
+        for part in (q for p in split_type(text or "", "|") for q in split_type(p, "&")):
+            part = _bare(part)
+            if len(inner := split_type(part, "|")) > 1:
+                out += one(part, inline)
+                continue
+            while m := re.fullmatch(r"(?:readonly\s+)?(.+)\[\]|(?:Readonly)?Array<(.+)>", part, re.S):
+                part = _bare((m[1] or m[2]).strip())
+                inner = split_type(part, "|")
+                if len(inner) > 1:
+                    break
+            if len(inner) > 1:
+                out += one(part, inline)
+            elif "=>" in part:
+                continue
+            elif part.startswith("{"):
+                out.append(inline)
+            elif re.fullmatch(r"[A-Za-z_$][\w$]*", part) and part not in _PLAIN:
+                out.append(part)
+        return list(dict.fromkeys(out))
+
+    return pd.Series([one(k, o) for k, o in zip(kind, own, strict=True)])
 
 
 def interface_edges(nodes: DataFrame) -> DataFrame:
-    """owner, name, said, target of every interface member; a target is a bare name or the item of an array."""
-    target = F.nullif(F.regexp_extract("type", r"^(\w+)(?:\[\])*$", 1), F.lit(""))
-    return nodes.where("kind = 'PropertySignature'").select("owner", "name", F.col("type").alias("said"), target.alias("target"))
+    """owner, name, said, target of every member of an interface or object type: a row for each type that it refers to, one
+    without target if there is none."""
+    held = nodes.where("kind = 'PropertySignature'").select("owner", "name", F.col("type").alias("said"), type_targets("type", F.concat_ws(".", "owner", "name")).alias("targets"))
+    return held.select("owner", "name", "said", F.explode_outer("targets").alias("target"))
 
 
 def last_interface(trees: DataFrame, interfaces: DataFrame) -> DataFrame:

@@ -44,14 +44,24 @@ def test_loose_records(spark):
 def test_front_ends(spark):
     n = nodes(spark)
     of = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
-    assert of(extract.interfaces_of_files(n), "component", "propsInterface") == [("Node", "Props"), ("_low", "")]
-    assert of(extract.interfaces_by_name(n), "component", "propsInterface") == [("Node", "NodeProps"), ("_low", "")]
-    assert of(extract.plain_components(n), "component") == [("Node",), ("_low",)]
+    assert of(extract.front_ends(n), "parser", "component", "propsInterface")[:4] == [("babel", "Node", "Props"), ("babel", "_low", ""), ("tree-sitter", "Node", None), ("tree-sitter", "_low", None)]
+    assert of(extract.front_ends(n).where("parser = 'typescript'"), "component", "propsInterface") == [("Node", "NodeProps"), ("_low", "")]
     assert of(extract.interfaces(n), "interface", "ord") == [("NodeProps", 0), ("Props", 0)]
     docs = {r.componentName: r.doc for r in extract.documented_components(n).collect()}
     assert '"name":"onToggle"' in docs["Node"] and "Panel" in docs
 
 
+def test_props_of_each_file_are_its_own(spark):
+    view = 'const {0}: React.FC<Props> = () => <i />;'
+    rows = [("r/A.tsx", "interface Props { x: string }\n" + view.format("A")), ("r/B.tsx", "interface Props { y: string }\n" + view.format("B")), ("r/C.tsx", view.format("C"))]
+    rows += [("r/u/D.tsx", 'import { Q as Props } from "../t";\n' + view.format("D")), ("r/t/index.ts", "export interface Q { z: string }"), ("r/E.tsx", 'import { Props } from "react";\n' + view.format("E"))]
+    got = {r.componentName: r.doc for r in extract.documented_components(nodes(spark, rows)).collect()}
+    assert "x" in got["A"] and '"y"' not in got["A"] and '"y"' in got["B"] and '"z"' in got["D"]
+    assert got["C"] == '{"displayName":"C"}' and got["E"] == '{"displayName":"E"}'
+    empty = extract.records(nodes(spark, [("r/X.tsx", ""), ("r/Y.tsx", "// c"), ("r/Z.tsx", "foo();"), ("r/W.tsx", None)])).collect()
+    assert sorted(r.component for r in empty) == ["W", "X", "Y", "Z"] and all(r.functions == [] and r.dependencies == [] for r in empty)
+
+
 def test_chunks_of_source(spark):
     rows = extract.ast_chunks(nodes(spark)).where("file like '%Node.tsx'").orderBy("node_id").collect()
     assert [(r.id, r.text[:10]) for r in rows] == [("Node.tsx_62", "const Node"), ("Node.tsx_92", "({ node })")]
@@ -95,7 +105,7 @@ def test_cleaning(spark):
 
 def test_retry_without_heads(spark):
     files = spark.createDataFrame([("a.ts", "export interface A extends B<`> { x: string }"), ("b.ts", "export interface B extends C { y: A }"), ("c.ts", "const (")], "file_path string, content string")
-    got = sorted((r.file, r.kind, r.name) for r in schema.nodes_or_retry(files).collect())
+    got = sorted((r.file, r.kind, r.name) for r in schema.nodes_or_retry(files).where("kind <> 'SourceFile'").collect())
     assert got == [("a.ts", "InterfaceDeclaration", "A"), ("a.ts", "PropertySignature", "x"), ("b.ts", "InterfaceDeclaration", "B"), ("b.ts", "PropertySignature", "y"), ("c.ts", "Error", None)]
 
 
