@@ -68,9 +68,10 @@ def with_retry(provider: Provider, texts: list[str], retries: int = RETRIES, wai
 def embedded(rows: DataFrame, provider: Provider | None = None, column: str = "text", out: str = "embedding", batch: int = 64, pause: float = 0.0, wait: float = WAIT) -> DataFrame:
     """rows with a vector of `column`; batches of texts go to the provider from the executors.
 
-    `pause` seconds pass before each call, in each task; with a pause one task after the other calls, so that is the rate. A null text
-    counts as an empty one.
+    With `pause`, no more than one call in so many seconds is made by all tasks together: each waits that long for every
+    task that may run beside it. A null text counts as an empty one.
     """
+    wait_each = pause * rows.sparkSession.sparkContext.defaultParallelism
     provider = provider or HashProvider()
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
@@ -78,11 +79,11 @@ def embedded(rows: DataFrame, provider: Provider | None = None, column: str = "t
         for whole in batches:
             for lo in range(0, whole.num_rows, batch):
                 part = whole.slice(lo, batch)
-                time.sleep(pause)
+                time.sleep(wait_each)
                 vectors = with_retry(provider, [t or "" for t in part.column(column).to_pylist()], wait=wait)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*part.schema.names, out])
 
-    return (rows.coalesce(1) if pause else spread(rows)).mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def index(chunks: DataFrame, components: DataFrame, provider: Provider | None = None, keep_text: bool = True, **how) -> DataFrame:

@@ -156,13 +156,15 @@ def vector_top(items: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
             lengths = np.array([len(v) for v in vectors])
             for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
                 item = np.asarray(batch.column("item"))
-                held = [np.array(v if v is not None else [], np.float64) for v in batch.column("v").to_pylist()]
-                size = np.array([len(v) for v in held])
+                lists = batch.column("v")
+                size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+                flat = np.asarray(lists.flatten().fill_null(np.nan), np.float64)
+                begin = np.cumsum(size) - size
                 score = np.full((len(ids), len(item)), -np.inf)
                 for n in np.unique(size[size > 0]):
                     q, c = np.flatnonzero(lengths == n), np.flatnonzero(size == n)
                     if len(q):
-                        a, b = np.stack([vectors[i] for i in q]), np.stack([held[i] for i in c])
+                        a, b = np.stack([vectors[i] for i in q]), flat[begin[c][:, None] + np.arange(n)]
                         with np.errstate(all="ignore"):
                             s = (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None])
                         score[np.ix_(q, c)] = np.where(np.isfinite(s), s, -np.inf)
