@@ -9,27 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.functions import js
 from loam.operators import answer, chunks, embed, extract, retrieval, schema
+from loam.plans.registry import ORACLES, QUERIES, query
 from loam.plans.tables import part_schemas, read, region_records, sources
 from loam.sources import files
 from loam.streaming import streams
 from loam.syntax.nodes import ts_nodes
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 # ---------------------------------------------------------------- retrieval
 
 _KEYWORD = """
@@ -102,7 +87,7 @@ def boosted_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embedding_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[embedding provider, index, search] Documents by vectors of hashed words; tests hold it against a plain loop."""
+    """[embedding provider] Documents by vectors of hashed words; test_hash_embedding_top5 holds it against a plain loop."""
     docs = embed.embedded(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "embedding")
     asked = embed.embedded(read(spark, sf_dir, "benchmark").select("item_id", "text")).select(F.col("item_id").alias("doc_id"), "embedding")
     top = retrieval.vector_top(docs, asked, 5, "doc_id")
@@ -233,16 +218,15 @@ def schema_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("component", "definition", F.col("isSubType").alias("is_sub_type"), "name", "description", "type", F.col("dataType").alias("data_type"), F.array_join("enum", "|").alias("enum"), F.col("linksTo").alias("links_to"), "signature")
 
 
-@query("""WITH d AS (SELECT p_brand AS component, CASE p_partkey % 5 WHEN 0 THEN p_brand || 'Props' WHEN 1 THEN 'My' || p_size || 'PROPS' WHEN 2 THEN 'Data' || p_size ELSE 'Z' || p_size END AS definition, p_type AS body, p_partkey FROM part
-        WHERE p_size % 3 <> 0 OR p_partkey % 5 > 0),
+@query("""WITH d AS (SELECT p_brand || '-' || p_size AS component, CASE p_partkey % 5 WHEN 0 THEN p_brand || '-' || p_size || 'Props' WHEN 1 THEN 'My' || p_size || 'PROPS' WHEN 2 THEN 'Data' || p_size ELSE 'Z' || p_size END AS definition, p_type AS body, p_partkey FROM part),
     r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY CASE WHEN definition = component || 'Props' THEN 1 WHEN contains(lower(definition), 'props') THEN 2
         WHEN contains(lower(definition), 'data') THEN 3 ELSE 4 END, p_partkey) AS n FROM d)
     SELECT component, definition, body FROM r WHERE n = 1""")
 def schema_select_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[schema selection]"""
-    m = F.col("p_partkey") % 5
-    name = F.when(m == 0, F.concat("p_brand", F.lit("Props"))).when(m == 1, F.concat(F.lit("My"), "p_size", F.lit("PROPS"))).when(m == 2, F.concat(F.lit("Data"), "p_size")).otherwise(F.concat(F.lit("Z"), "p_size"))
-    rows = read(spark, sf_dir, "part").where("p_size % 3 <> 0 or p_partkey % 5 > 0").select(F.col("p_brand").alias("component"), name.alias("definition"), F.col("p_type").alias("body"), F.col("p_partkey").alias("ord"))
+    """[schema selection] Of each brand and size, whose definitions begin at any priority."""
+    m, component = F.col("p_partkey") % 5, F.concat_ws("-", "p_brand", "p_size")
+    name = F.when(m == 0, F.concat(component, F.lit("Props"))).when(m == 1, F.concat(F.lit("My"), "p_size", F.lit("PROPS"))).when(m == 2, F.concat(F.lit("Data"), "p_size")).otherwise(F.concat(F.lit("Z"), "p_size"))
+    rows = read(spark, sf_dir, "part").select(component.alias("component"), name.alias("definition"), F.col("p_type").alias("body"), F.col("p_partkey").alias("ord"))
     return schema.selected(rows)
 
 
@@ -338,10 +322,11 @@ def knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.knowledge_chunks(region_records(spark, sf_dir).withColumn("dependencies", F.col("internalComponents")))
 
 
-@query("""SELECT p_brand || '_props' AS id, p_brand AS component, 'component-props' AS type, p_brand || ' component props ' || string_agg(p_name || ' ' || p_type, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand || '_props' AS id, p_brand AS component, 'component-props' AS type, p_brand || ' component props ' || string_agg(p_name || ' ' || p_type, ' ' ORDER BY p_partkey) AS text FROM part WHERE p_size % 7 > 0 GROUP BY p_brand""")
 def component_props_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[property texts] One text for each brand."""
-    entries = read(spark, sf_dir, "part").select(F.col("p_brand").alias("component"), F.col("p_partkey").alias("ord"), F.array(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("type"))).alias("properties"))
+    """[property texts, entries without properties] One text for each brand."""
+    props = F.when(F.col("p_size") % 7 > 0, F.array(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("type"))))
+    entries = read(spark, sf_dir, "part").select(F.col("p_brand").alias("component"), F.col("p_partkey").alias("ord"), props.alias("properties"))
     return chunks.component_props(entries).drop("metadata")
 
 
@@ -423,11 +408,15 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(js.joined(js.in_order(line, F.col("turn"), F.col("text")), "\n").alias("context"))
 
 
-@query("SELECT conv_id, turn, n_nationkey FROM conversations JOIN nation ON contains(lower(text), lower(left(n_name, 4)))")
+@query("""WITH q AS (SELECT conv_id, turn, text || ' about ' || n_name AS question FROM conversations JOIN nation ON n_nationkey = (conv_id + turn) % 25)
+    SELECT conv_id, turn, question, n_nationkey FROM q JOIN nation ON contains(lower(question), lower(n_name))""")
 def theta_component_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[names in a question] A join by containment; the 25 nations are broadcast."""
+    """[names in a question] A join by containment of whole names; questions are made to name a nation. `nation` is
+    broadcast by its size if at all: the hint is the planner's."""
     asked, names = read(spark, sf_dir, "conversations"), read(spark, sf_dir, "nation")
-    return asked.join(F.broadcast(names), answer.named_in(F.col("text"), F.substring("n_name", 1, 4))).select("conv_id", "turn", "n_nationkey")
+    named = asked.join(names.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")), F.col("k") == (F.col("conv_id") + F.col("turn")) % 25)
+    asked = named.select("conv_id", "turn", F.concat("text", F.lit(" about "), "n").alias("question"))
+    return asked.join(names, answer.named_in(F.col("question"), F.col("n_name"))).select("conv_id", "turn", "question", "n_nationkey")
 
 
 def _sql_text(s: str) -> str:
@@ -440,3 +429,6 @@ def prompt_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
     prompt = F.when(answer.code_request(F.col("text")), answer.filled(answer.CODE_PROMPT, F.col("role"), F.col("text"))).otherwise(answer.filled(answer.QA_PROMPT, F.col("role"), F.col("text")))
     return rows.select("conv_id", "turn", F.md5(prompt.cast("binary")).alias("prompt_md5"))
+
+
+from loam.plans import answer_queries, source_queries  # noqa: E402,F401  (they register theirs)

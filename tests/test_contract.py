@@ -57,5 +57,12 @@ def test_nothing_else_imports_the_subpackage_and_the_rest_works_without_it(tmp_p
         assert "llm" in f.relative_to(ROOT).parts or "loam.llm" not in f.read_text(), f
     shutil.copytree(ROOT / "loam", tmp_path / "loam", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
-    assert said.stdout.split() == sorted(catalogue.QUERIES), said.stderr
+    code = f"""
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+print('ROWS', e.entry(spark).count(), e.queries()['record_shapes'](spark, '{SF}').count())
+print('NAMES', *sorted(e.queries()))
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=300)
+    assert "ROWS 120 200" in said.stdout and said.stdout.rpartition("NAMES")[2].split() == sorted(catalogue.QUERIES), said.stderr

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from loam.operators import answer, embed, retrieval
-from loam.plans import rag
+from loam.plans import catalogue, rag
 
 
 def plain_score(query, text):
@@ -100,6 +100,32 @@ def test_embedding(spark):
     assert texts[0] == 'The T component has a property called "d".\n\nType: N[]\n\nDescription:\nNo description provided.\n\nCode:' and texts[1:] == ["T renders N", "This is the full implementation of the T component.\n\nCode:\ncode"]
 
 
+def test_hash_embedding_top5(spark):
+    """The registered query against a plain loop over all documents."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    vectors = dict(zip(docs, np.array(embed.HashProvider()(list(docs.values()))), strict=True))
+    got = {}
+    for r in catalogue.QUERIES["hash_embedding_top5"](spark, sf).collect():
+        got.setdefault(r.item_id, []).append((r["rank"], r.doc_id, r.score))
+    for item in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        q = np.array(embed.HashProvider()([item.text])[0])
+        best = sorted((-round(float(q @ v), 6), d) for d, v in vectors.items())[:5]
+        held = sorted(got[item.item_id])
+        assert [r for r, _, _ in held] == [1, 2, 3, 4, 5]
+        assert all(abs(s + b) < 2e-6 for (_, _, s), (b, _) in zip(held, best, strict=True))
+        assert {d for _, d, s in held if s > -best[4][0] + 2e-6} <= {d for _, d in best}
+
+
+def test_paced_calls(spark):
+    import time as clock
+
+    rows = spark.createDataFrame([(i, "x") for i in range(6)], "id long, text string").repartition(3)
+    began = clock.time()
+    assert embed.embedded(rows, lambda t: [[1.0]] * len(t), batch=1, pause=0.05).count() == 6
+    assert clock.time() - began > 6 * 0.05
+
+
 def test_prompts(spark):
     ranked = spark.createDataFrame([(1, 2, "property", "Tree", "data", "N[]", None), (1, 1, "x", "Tree", None, None, "Tree {question} text"), (2, 1, "x", "Button", None, None, "no"), (3, 1, "x", None, None, None, "kept")], "question_id long, rank int, chunk_type string, component string, name string, dataType string, text string")
     asked = spark.createDataFrame([(1, "What is the tree?"), (2, "What is the tree?"), (3, "Create a PAGE"), (4, "nothing")], "question_id long, question string")
