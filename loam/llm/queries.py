@@ -5,6 +5,7 @@ from __future__ import annotations
 from loam.llm.knn import op10_voronoi_knn
 from loam.llm.line_crf import op6_crf_line_rules
 from loam.llm.ngram_join import op2_ngram_jaccard_join
+from loam.llm.oracles import KNN, NGRAM_JOIN, URL_FILTER
 from loam.llm.packing import op8_length_bucket_packing
 from loam.llm.pieces import op3_sentencepiece_codec
 from loam.llm.quality_fm import op1_quality_fm
@@ -26,6 +27,6 @@ QUERIES = {
     "op10_voronoi_knn": op10_voronoi_knn,
 }
 
-#: Each of these operators has a crc32, a hash join of its own, a tokenizer or a trained model, which DuckDB cannot
-#: express; tests/llm/ holds them against brute force instead.
-ORACLES: dict[str, str] = {}
+#: The others have a crc32, a tokenizer or a trained model, which DuckDB can't express; tests/llm/ holds them against
+#: brute force, exact round trips or held-out labels.
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": NGRAM_JOIN, "op9_url_redirect_filter": URL_FILTER, "op10_voronoi_knn": KNN}
