@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loam.llm.common import bounded_batches, table, text_blocks, tokenizer_path
+from loam.llm.common import bounded_batches, drop_table, materialize, table, text_blocks, tokenizer_path
 
 #: Kinds in their order; `guess` is the method's own.
 KINDS = ("assign", "access", "hex", "guess")
@@ -70,10 +70,22 @@ def vocabulary(path: str) -> list[str]:
 
 
 def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_COUNT) -> list[str]:
-    """The most frequent words of running text in all documents, the commonest first; at most `most`, so the list is bounded."""
+    """The most frequent words of running text in all documents, the commonest first: at most `most`.
+
+    Counts are classed (eight classes for each doubling) and the classes counted; whole classes are taken from the top as
+    long as they fit, so nothing but the words themselves comes to the driver.
+    """
     every = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_RUNNING), F.lit(0))).alias("word"))
-    top = every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.collect()]
+    counts = every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counts = materialize(counts.withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "words")
+    floor, left = None, most
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # eight rows a doubling
+        if r["count"] > left:
+            break
+        floor, left = r["class"], left - r["count"]
+    found = counts.where(F.col("class") >= floor).select("word", "n").collect() if floor is not None else []
+    drop_table(counts)
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 class Lexicon:

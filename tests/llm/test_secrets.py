@@ -120,7 +120,7 @@ def test_words_of_the_corpus(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     words = secrets.corpus_words(docs)
     assert words[0] == "ththonedbly" and "ingoner" in words and "zqxwvkjqpzkf" not in words
-    assert secrets.corpus_words(docs, most=1) == ["ththonedbly"] and secrets.corpus_words(empty_docs(spark)) == []
+    assert secrets.corpus_words(docs, most=1) == ["ththonedbly"] and secrets.corpus_words(docs, most=0) == [] and secrets.corpus_words(empty_docs(spark)) == []
     assert guess_cost("ththonedblyingoner", secrets.Lexicon(words)) < 5 and guess_cost("ththonedblyingoner") > 10
     assert all("guess" in r.spans for r in scan(docs).where("doc_id < 4").collect())
 
