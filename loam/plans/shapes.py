@@ -90,6 +90,14 @@ SHAPES = (
         "", "Überschrift", "", "", "pick|const pick = <T,>(xs: T[]): T => xs[{z}];", last="Über", interface="Last{z}",
         chunks=("const pick = <T,>(xs: T[]): T => xs[{z}];", "<T,>(xs: T[]): T => xs[{z}]", "function Über() { return <Überschrift größe={{z}} />; }"),
     ),
+    Shape(
+        'import { One, Two, Three } from "x";\nconst far = (a) => { return a + "{t}" + "01234567890123456789012345678901234567890123456789012345678901234567890123456789012345678901234567890123456789"; };\nexport default () => <One><Two/><div/><Three/><Four/><Two/><Five/><Six/></One>;\n',
+        "One,Two,Three", "One,Two,Three,Four,Five,Six", "", "", 'far|const far = (a) => { return a + "{t}" + "01234567890123456789012345678901234567890123456789012345678901234567890123456789012345678901234567890123456789"; };', last="far",
+        chunks=(
+            'const far = (a) => { return a + "{t}" + "01234567890123456789012345678901234567890123456789012345678901234567890123456789012345678901234567890123456789"; };', '(a) => { return a + "{t}" + "01234567890123456789012345678901234567890123456789012345678901234567890123456789012345678901234567890123456789"; }',
+            "() => <One><Two/><div/><Three/><Four/><Two/><Five/><Six/></One>",
+        ),
+    ),
 )
 
 

@@ -66,6 +66,43 @@ def ast_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.ast_chunks(ts_nodes(shape_files(spark, sf_dir))).select("file", "text")
 
 
+_SHAPED = f"""s AS (SELECT 'S' || p_partkey AS c, {', '.join(f"{_strict(f)} AS {f}" for f in _LISTS)} FROM part),
+    f AS (SELECT c, unnest(l) AS f, generate_subscripts(l, 1) AS i FROM (SELECT c, CASE WHEN functions = '' THEN [] ELSE string_split(functions, '#') END AS l FROM s)),
+    g AS (SELECT c, i, regexp_extract(f, '^([^|]*)[|]', 1) AS name, regexp_extract(f, '(?s)^[^|]*[|](.*)$', 1) AS code FROM f),
+    t AS (SELECT c, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT c, CASE WHEN tags = '' THEN [] ELSE string_split(tags, ',') END AS l FROM s)),
+    d AS (SELECT c, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT c, CASE WHEN dependencies = '' THEN [] ELSE string_split(dependencies, ',') END AS l FROM s)),
+    z AS (SELECT c, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT c, CASE WHEN state = '' THEN [] ELSE string_split(state, '#') END AS l FROM s))"""
+
+
+@query(f"""WITH {_SHAPED},
+    b AS (SELECT 1 AS b, 0 AS i, c, 'overview' AS type, c || ' is a UI component' || CASE WHEN internal <> '' THEN ' composed of ' || replace(internal, ',', ', ') ELSE '' END || CASE WHEN state <> '' THEN ' that manages state' ELSE '' END || '.' AS text FROM s
+        UNION ALL SELECT 3, 0, c, 'dependencies', c || ' depends on: ' || replace(dependencies, ',', ', ') FROM s WHERE dependencies <> ''
+        UNION ALL SELECT 4, 0, c, 'composition', c || ' is composed of: ' || replace(internal, ',', ', ') FROM s WHERE internal <> ''
+        UNION ALL SELECT 5, 0, c, 'render_flow', c || ' renders ' || string_agg(x, ', ' ORDER BY i) FROM t WHERE i <= 5 GROUP BY c
+        UNION ALL SELECT 6, i, c, 'state', c || ' manages state: ' || CASE WHEN length(x) > 200 THEN left(x, 200) || '...' ELSE x END FROM z
+        UNION ALL SELECT 7, i, c, CASE WHEN left(name, 1) = upper(left(name, 1)) THEN 'subcomponent' ELSE 'function_summary' END, name || CASE WHEN left(name, 1) = upper(left(name, 1)) THEN ' is a reusable UI subcomponent' ELSE ' is a helper logic function' END FROM g
+        UNION ALL SELECT 8, i, c, 'example', '<' || name || ' />' FROM g WHERE left(name, 1) = upper(left(name, 1))
+        UNION ALL SELECT 9, 0, c, 'example', '<' || c || ' />' FROM s)
+    SELECT c AS component, (row_number() OVER (PARTITION BY c ORDER BY b, i) - 1)::INT AS ord, type, text FROM b""")
+def rag_chunk_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[retrieval chunks] From files of many shapes, without schemas."""
+    records = extract.records(ts_nodes(shape_files(spark, sf_dir)))
+    none = F.lit(None)
+    records = records.withColumn("schema", none.cast("map<string,string>")).withColumn("dependencies", F.transform("dependencies", lambda n: F.struct(n.alias("name"))))
+    return chunks.rag_chunks(records)
+
+
+@query(f"""WITH {_SHAPED},
+    b AS (SELECT 1 AS b, 0 AS i, c, 'behavior' AS type, NULL AS name, c || ' uses React useState hook for internal state management.' AS text FROM s WHERE state <> ''
+        UNION ALL SELECT 2, i, c, 'dependency', NULL, c || ' imports and uses ' || x || ' component.' FROM d
+        UNION ALL SELECT 3, i, c, 'render', NULL, c || ' renders ' || x || ' component in JSX.' FROM t
+        UNION ALL SELECT 4, i, c, 'function', name, c || ' contains function ' || name || ': ' || left(code, 100) FROM g)
+    SELECT c AS component, (row_number() OVER (PARTITION BY c ORDER BY b, i) - 1)::INT AS ord, type, name, text FROM b""")
+def knowledge_chunk_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[knowledge chunks] From the same files; the code of one function is cut at a hundred characters."""
+    return chunks.knowledge_chunks(extract.records(ts_nodes(shape_files(spark, sf_dir))))
+
+
 _TYPED = (
     "const A{k}: React.FC<P{z}> = ({ a }) => { return a; };\nconst B{k} : React.FC = () => {t};",
     "function none() { return {z}; }",
