@@ -7,19 +7,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loam.llm.common import drop_table, materialize
+from loam.llm.common import drop_table, join_keyed, materialize
 
 #: Edges (16 bytes each) that one task solves by itself; more are contracted in rounds until they are so few or done.
 LOCAL_EDGES = 400_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round. The least neighbour of a node is an aggregate joined back, so a hub's edges need not meet in a task."""
+def _star(edges: DataFrame, large: bool, spare: list[DataFrame]) -> DataFrame:
+    """One round. The least neighbour of a node is an aggregate joined back; hubs are cut into pieces for that, so their
+    edges don't meet in a task. The aggregate is written, since it is read up to three times; `spare` gets it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    seen = both.join(least, "u")
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_many")), "least")
+    spare.append(least)
+    seen = join_keyed(both, least, ["u"], "_many", F.col("v"))
     if large:
         out = seen.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -64,9 +66,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             drop_table(now)
             now = step
             break
-        step = materialize(_star(_star(now, True), False), "edges")
-        drop_table(now)
-        now = step
+        spare = [now]
+        half = materialize(_star(now, True, spare), "edges")
+        now = materialize(_star(half, False, spare), "edges")
+        for t in (*spare, half):
+            drop_table(t)
     else:
         raise RuntimeError("components did not settle")
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -16,7 +16,9 @@ as many units as the sum is over H. Subsets that nobody else has cost nothing an
 
 Lists of more than `heavy` sets are not looked up. Sets that can't reach the sum without them (mostly in large groups of
 near copies) meet in clusters: all sets of a cluster whose sizes allow it are compared, in blocks, and a block passes on
-numbers of links and a spanning forest. So no link is lost and no group is paired out. No task holds a long list: a
+numbers of links and a spanning forest. So no link is lost and no group is paired out. A set whose subsets are too few on
+a level goes on to the next; sets that stop there find it by their own allocation, or, if they can't reach their sum,
+by its looking up all its lists of that level. No task holds a long list: a
 batch that has over `heavy` sets on an entry sends a mark to the entry's place and deals the sets elsewhere. Candidates
 are verified on whole sets. Sets go by their 64-bit hash (node) throughout.
 """
@@ -40,8 +42,8 @@ FILL, BEGIN = (3, 4), (128, 16)
 HEAVY, CHEAP = 32, 3
 #: Index entries of a bucket and of a batch, sets of a verification block, and shingles of its sets, about.
 BUCKET_ROWS, BATCH_ROWS, BLOCK, BLOCK_SHINGLES = 600_000, 1_000_000, 1024, 1_000_000
-#: Buckets of the clusters of sets without a guarantee, at least.
-CLUSTER_BUCKETS = 24
+#: Buckets of entries, and of entries of sets without a guarantee, at least.
+BUCKETS, CLUSTER_BUCKETS = 64, 24
 #: Candidate sets up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds their texts.
 BROADCAST_IDS = 500_000
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -61,7 +63,7 @@ def spread(size: int, num: int, den: int) -> int:
     return size * (den - num) // num
 
 
-def schemes(s: np.ndarray, num: int, den: int) -> list[Scheme]:
+def schemes(s: np.ndarray, num: int, den: int, fill: tuple[float, float] = FILL) -> list[Scheme]:
     """How one sorted set is indexed: scheme code (band * 4 + level), units of v that it can give, and for levels 0 and 1
     where each subset begins, its size, and its segment. For each band the last scheme has units enough, the ones before
     it have not: sets that stop there find this one by their own allocation."""
@@ -76,7 +78,7 @@ def schemes(s: np.ndarray, num: int, den: int) -> list[Scheme]:
             if level == 2:
                 out.append((k * 4 + 2, size, None, None, None))
                 break
-            segment = ((s >> np.uint64(32)) * np.uint64(max(1, (2 << k) // FILL[level]))) >> np.uint64(32)
+            segment = ((s >> np.uint64(32)) * np.uint64(max(1, int((2 << k) // fill[level])))) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
             many = np.diff(np.append(first, size))
             units = len(first) if level == 0 else int(np.minimum(many, 2).sum())
@@ -166,20 +168,20 @@ def _bucket_of(entry: np.ndarray, buckets: int) -> np.ndarray:
     return (((entry >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _nodes(docs: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
+def _nodes(docs: DataFrame, width: int, num: int, den: int, seed: int, fill: tuple[float, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             values, bounds = shingle_sets(block.column("text"), width)
             node, check = identities(values, bounds, seed)
             n = np.diff(bounds)
-            told = [final_units(schemes(values[a:b], num, den), spread(b - a, num, den) + 1) if b > a else [] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            told = [final_units(schemes(values[a:b], num, den, fill), spread(b - a, num, den) + 1) if b > a else [] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             cols = [block.column("doc_id"), pa.array(n), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(told, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "check", "units"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, check long, units array<int>")
 
 
-def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets: int, heavy: int) -> DataFrame:
+def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets: int, heavy: int, fill: tuple[float, float]) -> DataFrame:
     """Index entries as packed blobs, one row for a bucket and a batch of a task: entries, nodes, codes and size codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +220,7 @@ def _buckets(docs: DataFrame, width: int, num: int, den: int, seed: int, buckets
                 if (own := int(node[i])) not in done:  # equal sets of a task are indexed once
                     done.add(own)
                     one = values[bounds[i] : bounds[i + 1]]
-                    keys, code = index_entries(one, schemes(one, num, den), seed)
+                    keys, code = index_entries(one, schemes(one, num, den, fill), seed)
                     parts.append((keys, code, own, codes[i]))
                     held += len(keys)
             if len(done) > 200_000:
@@ -271,8 +273,9 @@ def allocate(node: np.ndarray, code: np.ndarray, one: np.ndarray, two: np.ndarra
 
     facts: group (place of the set times 128, and scheme), units and need of every allocation, by group; node: place of
     the set of each record. Gives for each record 0, or what it looks up (1: subsets, 2: subsets and deletions, from a
-    subset; 3: subsets, from a deletion), for each allocation how many units a similar set shares at least, and whether it
-    would need a heavy list.
+    subset; 3: subsets, from a deletion), for each allocation how many units a similar set shares at least, whether it
+    would need a heavy list, and whether it looks up any; last, which sets have a heavy list on a level that they went
+    beyond, where they look up all others.
     """
     scheme = (code >> np.uint32(21)).astype(np.int64) & 127
     kind, segment = (code >> np.uint32(28)) & np.uint32(3), code.astype(np.int64) & _SEGMENT
@@ -304,7 +307,9 @@ def allocate(node: np.ndarray, code: np.ndarray, one: np.ndarray, two: np.ndarra
     mode[plain[take[: len(plain)]]] = 1
     v = take[len(plain) : len(plain) + len(pair)].astype(np.int64) + take[len(plain) + len(pair) :]
     mode[paired] = np.where(subset, v[place], np.where(v[place] == 2, 3, 0))
-    return mode, least, dense, more > 0
+    beyond, dear = ~own, one >= _DEAR
+    mode[beyond & ~dear] = kind[beyond & ~dear] + 1
+    return mode, least, dense, more > 0, np.unique(node[beyond & dear])
 
 
 def _allocate(costs: DataFrame, facts: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
@@ -326,10 +331,10 @@ def _allocate(costs: DataFrame, facts: DataFrame, num: int, den: int, buckets: i
         order = np.argsort(group)
         facts = {"group": group[order], "units": flat[order, 1], "need": np.array([spread(int(x), num, den) + 1 for x in size], np.int64)[place[order]]}
         at = np.searchsorted(nodes, node)
-        mode, least, dense, asks = allocate(at, code, one.astype(np.int64), two.astype(np.int64), facts)
+        mode, least, dense, asks, past = allocate(at, code, one.astype(np.int64), two.astype(np.int64), facts)
         some = mode > 0
         to, blobs = _packed(_bucket_of(entry[some], buckets), buckets, entry[some], node[some], ((code[some] >> np.uint32(21)) & np.uint32(127)).astype(np.uint8), mode[some].astype(np.uint8), size_code(size[at[some]]))
-        own, bare = asks & ~dense, np.unique(facts["group"][dense] >> 7)
+        own, bare = asks & ~dense, np.union1d(facts["group"][dense] >> 7, past)
         least = b"".join(c.tobytes() for c in (nodes[facts["group"][own] >> 7], (facts["group"][own] & 127).astype(np.uint8), least[own].astype(np.int32)))
         return pa.table([pa.array([0] * len(to) + [1, 2], pa.int32()), pa.array([*to, 0, 0], pa.int32()), pa.array([*blobs, least, nodes[bare].tobytes()], pa.binary())], names=names)
 
@@ -393,7 +398,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> DataFrame:
+def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int, fill: tuple[float, float]) -> DataFrame:
     """node, component: connected components of sets that share an index entry, whatever its weight.
 
     A batch joins its own sets by itself and gives an edge a set; only one set for each of its entries goes on, packed,
@@ -427,7 +432,7 @@ def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int) -> D
             own = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")]
             if not own:
                 continue
-            own = [index_entries(s, schemes(s, num, den), seed)[0] for s in own]
+            own = [index_entries(s, schemes(s, num, den, fill), seed)[0] for s in own]
             entry, first, root = hubs(np.concatenate(own), np.repeat(np.array(batch.column("node").to_pylist(), np.int64), [len(o) for o in own]))
             if root:
                 ends = np.array(list(root.items()), np.int64)
@@ -518,7 +523,9 @@ def _cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> D
             hub, links = node, node
         else:
             hit = _similar([np.frombuffer(blobs[x], np.uint64) for x in order], k, num, den)
-            up, down = _forest(hit)  # in a part with itself each set is linked with itself
+            if alone:
+                np.fill_diagonal(hit, True)  # shingles that one set alone has are not counted, so its own place may be unset
+            up, down = _forest(hit)
             if alone:
                 hub, links = node[up], hit @ docs - docs
             else:
@@ -530,14 +537,14 @@ def _cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> D
     return dealt.groupBy("cluster", "lo", "i", "hi", "j").applyInArrow(run, "node long, hub long, links long")
 
 
-def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heavy: int | None = HEAVY, key: str = "doc_id", text: str = "text", cleanup: bool = True) -> tuple[DataFrame, int]:
+def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heavy: int | None = HEAVY, key: str = "doc_id", text: str = "text", cleanup: bool = True, fill: tuple[float, float] = FILL) -> tuple[DataFrame, int]:
     """The columns of near_duplicates with node (null for the empty set) and root (a component's least node) beside
-    them, and the seed of the nodes. heavy: None for no limit."""
+    them, and the seed of the nodes. heavy: None for no limit; fill: mean shingles of a segment on levels 0 and 1."""
     bounded_batches(docs.sparkSession)
     heavy = heavy or 1 << 40
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     for seed in range(8):
-        nodes = materialize(_nodes(docs, width, num, den, seed), "nodes")
+        nodes = materialize(_nodes(docs, width, num, den, seed, fill), "nodes")
         classes = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("units").alias("units"), (F.min("check") != F.max("check")).alias("clash"))
         classes = materialize(classes, "classes")
         told = classes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("clash"), F.lit(False)).alias("clash")).first()
@@ -545,17 +552,20 @@ def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heav
             break
         drop_table(nodes), drop_table(classes)
     info = classes.select("node", "doc_id", "docs", "n")
-    buckets = max(64, -(-int(0.6 * told["n"]) // BUCKET_ROWS))
-    met = materialize(_measure(_buckets(docs, width, num, den, seed, buckets, heavy), heavy, buckets), "met")
+    buckets = max(BUCKETS, -(-int(0.6 * told["n"]) // BUCKET_ROWS))
+    met = materialize(_measure(_buckets(docs, width, num, den, seed, buckets, heavy, fill), heavy, buckets), "met")
     release_shuffles(docs.sparkSession)
     facts = classes.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "n", "units")
     chosen = materialize(_allocate(met.where("kind = 1").select("bucket", "blob"), facts, num, den, buckets), "chosen")
     found = _look_up(met.where("kind = 0").select("bucket", "blob"), chosen.where("kind = 0").select("bucket", "blob"), num, den)
     enough = _rows_of(chosen.where("kind = 1"), ["x", "scheme", "least"], "<i8", "<u1", "<i4")
-    found = found.groupBy("x", "y", "scheme").agg(F.sum("n").alias("n")).join(enough, ["x", "scheme"]).where("n >= least")
-    pairs = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    found = found.groupBy("x", "y", "scheme").agg(F.sum("n").alias("n")).join(enough, ["x", "scheme"], "left").where("least is null or n >= least")
+    found = materialize(found.select("x", "y", F.col("least").isNull().alias("beyond")), "found")
     # Sets that need heavy lists.
     bare = materialize(_rows_of(chosen.where("kind = 2"), ["node"], "<i8").distinct().join(info, "node").select("node", "n", "docs"), "bare")
+    # On a level that a set went beyond it has to find only those that can't find it.
+    found = found.where("not beyond").unionByName(found.where("beyond").join(bare.select(F.col("node").alias("y")), "y", "left_semi").select("x", "y", "beyond"))
+    pairs = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     spare = [classes, pairs, bare]
     drop_table(met)
     drop_table(chosen)
@@ -582,7 +592,7 @@ def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heav
     bulk = bare.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     more = None
     if bulk:
-        clustered = _clusters(sets.join(bare.select("node"), "node", "left_semi"), num, den, seed, max(CLUSTER_BUCKETS, -(-int(0.6 * bulk) // BUCKET_ROWS)))
+        clustered = _clusters(sets.join(bare.select("node"), "node", "left_semi"), num, den, seed, max(CLUSTER_BUCKETS, -(-int(0.6 * bulk) // BUCKET_ROWS)), fill)
         spare.append(clustered)
         release_shuffles(docs.sparkSession)
         more = materialize(_cluster_links(clustered.withColumnRenamed("component", "cluster").join(bare, "node"), sets, num, den), "links")

@@ -6,7 +6,7 @@ import loam.llm.components as module
 from loam.llm.components import components
 
 
-@pytest.mark.parametrize("local", [0, 100, 10**6])
+@pytest.mark.parametrize("local", [0, 10**6])
 def test_against_union_find(spark, monkeypatch, local):
     monkeypatch.setattr(module, "LOCAL_EDGES", local)
     rng = random.Random(1)
