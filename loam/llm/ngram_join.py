@@ -561,12 +561,14 @@ def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heav
     enough = _rows_of(chosen.where("kind = 1"), ["x", "scheme", "least"], "<i8", "<u1", "<i4")
     found = found.groupBy("x", "y", "scheme").agg(F.sum("n").alias("n")).join(enough, ["x", "scheme"], "left").where("least is null or n >= least")
     found = materialize(found.select("x", "y", F.col("least").isNull().alias("beyond")), "found")
+    looked = found
     # Sets that need heavy lists.
     bare = materialize(_rows_of(chosen.where("kind = 2"), ["node"], "<i8").distinct().join(info, "node").select("node", "n", "docs"), "bare")
     # On a level that a set went beyond it has to find only those that can't find it.
     found = found.where("not beyond").unionByName(found.where("beyond").join(bare.select(F.col("node").alias("y")), "y", "left_semi").select("x", "y", "beyond"))
     pairs = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     spare = [classes, pairs, bare]
+    drop_table(looked)
     drop_table(met)
     drop_table(chosen)
     release_shuffles(docs.sparkSession)
