@@ -52,12 +52,24 @@ class Parser:
     def _is(self, i: int, *texts: str) -> bool:
         return i < len(self.t) and self.t[i].text in texts and self.t[i].kind not in ("string",)
 
+    def _opens(self, i: int, text: str, end: int) -> bool:
+        """Whether token i, ahead of `end`, is the opening bracket `text`; only then its pair lies ahead."""
+        return i < end and self.t[i].kind == "open" and self.t[i].text == text
+
+    def _ahead(self, before: int, i: int) -> int:
+        """i, which has to be beyond `before`: every loop over tokens moves on, or the text can't be parsed."""
+        if i <= before:
+            raise SyntaxProblem(f"no way on after offset {self.t[before].start}")
+        return i
+
     def _end_of(self, i: int) -> int:
         """Offset where token i - 1 ends."""
         return self.t[i - 1].end
 
     def _add(self, kind: str, name: str | None, first: int, last: int, **extra) -> None:
-        """A node of tokens first..last - 1."""
+        """A node of tokens first..last - 1; a text has no more than a few nodes a token."""
+        if len(self.nodes) > 4 * len(self.t):
+            raise SyntaxProblem("more nodes than tokens can make")
         self.nodes.append(Node(kind, name, self.t[first].full, self.t[first].start, self._end_of(last), extra))
 
     def _ends_statement(self, i: int) -> bool:
@@ -370,8 +382,8 @@ class Parser:
                 i = max(i + 1, self._type(i, end))
                 heads.append(self.text[self.t[a].start : self._end_of(i)])
                 i += i < end and self._is(i, ",")
-        if i >= end:
-            return i
+        if not self._opens(i, "{", end):
+            raise SyntaxProblem(f"interface {name} has no members in braces")
         close = self.t[i].pair
         self._add("InterfaceDeclaration", name, first, close + 1, extends=heads, top=level == 0, doc=doc_text(self.text[self.t[first].full : self.t[first].start]))
         self._members(i + 1, close, name)
@@ -423,9 +435,11 @@ class Parser:
             if i < end and self._is(i, ":"):
                 a = i + 1
                 i = max(a, self._type(a, end))
-            elif i < end and (self.t[i].text == "(" or self._is(i, "<")):  # a method
+            elif i < end and (self._opens(i, "(", end) or self._is(i, "<")):  # a method
                 a = i
                 i = self._angles(i, end) if self._is(i, "<") else i
+                if not self._opens(i, "(", end):
+                    raise SyntaxProblem(f"member {name} has type parameters but no parameters")
                 i = self.t[i].pair + 1
                 if i < end and self._is(i, ":"):
                     i = self._type(i + 1, end)
@@ -440,6 +454,7 @@ class Parser:
                 self._add("IndexSignature", None, start, i, owner=owner, type=self.text[self.t[a].start : self._end_of(i)])
             while i < end and not (self._is(i, ";", ",") or self.t[i].newline):
                 i += 1
+            self._ahead(start, i)
 
     def _statements(self, i: int, end: int, level: int | None = None) -> None:
         level = 0 if i == 0 and end == len(self.t) else 1
@@ -482,7 +497,7 @@ class Parser:
                 self._add("ClassDeclaration", name, first, i)
             elif word in ("if", "while", "for", "switch", "catch", "with") and i + 1 < end:
                 i += 1 + self._is(i + 1, "await")
-                if i < end and self.t[i].text == "(":
+                if self._opens(i, "(", end):
                     inner, close = i + 1, self.t[i].pair
                     if word == "for" and self._is(inner, "const", "let", "var"):
                         inner = self._declarators(inner + 1, close, inner, False)
@@ -509,6 +524,7 @@ class Parser:
                 i += 1
             else:
                 i = max(i + 1, self._expression(i, end, False))
+            self._ahead(first, i)
 
 
 def nodes_of(text: str, jsx: bool = True) -> list[Node]:

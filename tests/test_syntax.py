@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -93,6 +97,30 @@ def test_any_text_gives_rows(parts):
     assert all(r[6] <= r[7] for r in rows)
 
 
+ODD = ["interface Foo\nfoo();\n", "interface Foo\n<<<<<<< ours\n{\n a: string }\n", "interface A { m<(a) }", "interface A { m< }", "for await x", "enum", "class", "interface A extends", "import {", "type A<"]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_odd_texts_end(text):
+    rows = node_rows("f.ts", text)
+    assert rows and all(r[6] <= r[7] for r in rows)
+
+
+def test_random_texts_end_in_bounded_memory():
+    """100,000 random texts in a process of its own, with a limit of memory and of time."""
+    code = """
+import random, resource
+resource.setrlimit(resource.RLIMIT_AS, (1 << 30, 1 << 30))
+from loam.syntax.nodes import node_rows
+parts = %r
+dice = random.Random(3)
+for k in range(100_000):
+    text = "".join(dice.choices(parts, k=dice.randint(1, 18)))
+    assert len(node_rows("f.tsx" if k %% 2 else "f.ts", text)) <= 4 * len(text) + 1, text
+""" % ["const ", "a", " = ", "(", ")", " => ", "{", "}", "<A />", "`", "${", "'", "/", ";", "\n", "interface ", "I ", ":", ",", "[", "]", "import ", "return ", "?", "<", ">", "type ", "enum ", "class ", "extends ", "for ", "function ", "async ", "await ", "case ", "export ", "default ", "=", ".", "|", "readonly ", "1"]
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_table_and_table_function(spark):
     files = spark.createDataFrame([("a.tsx", "const A = () => <B />;"), ("b.ts", None), ("c.tsx", "const ("), ("d.tsx", "")], "file_path string, content string")
     rows = ts_nodes(files).orderBy("file", "node_id").collect()
