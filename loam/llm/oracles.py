@@ -78,3 +78,20 @@ URL_FILTER = rf"""WITH RECURSIVE
     p AS (SELECT page_id, {_normal('url')} AS u, {_host('url')} AS host, {_PATH.format('url')} AS path FROM pages),
     r AS (SELECT *, {_case(1)} AS rule, {_case(0)} AS v, u IN (SELECT a FROM blocked) AS alias FROM p)
     SELECT page_id, host, path, rule, coalesce(v, CASE WHEN alias THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN alias THEN 'alias' ELSE 'default' END AS by FROM r"""
+
+#: Documents of equal flags are counted first here; the operator replays each one.
+FILTER_AUDIT = r"""WITH
+    d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    e AS (SELECT *, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS again FROM d),
+    g AS (SELECT part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN again THEN 'E' ELSE '' END) AS fs,
+        doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) IS TRUE AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) IS TRUE AS toxic FROM e),
+    h AS (SELECT part, fs, good, toxic, count(*) AS n FROM g GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    r AS (SELECT h.*, o, CASE WHEN fs = '' THEN 6 ELSE list_min(list_transform(string_split(fs, ''), lambda x: strpos(o, x))) END AS first FROM h, o),
+    s AS (SELECT *, i::INT AS step, substr(o, i::INT, 1) AS f FROM r, (SELECT unnest(range(1, 6)) AS i)),
+    c AS (SELECT part, o AS filter_order, step, f, coalesce(sum(n) FILTER (first > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (first = step), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (contains(fs, f) AND first < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fs = f), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (first = step AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (first = step AND toxic), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM c"""
