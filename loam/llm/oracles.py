@@ -95,3 +95,41 @@ FILTER_AUDIT = r"""WITH
         coalesce(sum(n) FILTER (contains(fs, f) AND first < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fs = f), 0)::BIGINT AS unique_fails,
         coalesce(sum(n) FILTER (first = step AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (first = step AND toxic), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
     SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM c"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_concat([xor(a, b)], [0::BIGINT FOR i IN range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split({text}, '')]), lambda a, b: {bits}), 4294967295)"
+
+
+def _tree(leaves: str) -> str:
+    """Recursive levels above rows of (g, nodes)."""
+    return f"SELECT g, 0 AS level, nodes FROM {leaves} UNION ALL SELECT g, level + 1, [sha256(array_to_string(nodes[i + 1:i + 3], '')) FOR i IN range(0, len(nodes), 3)] FROM {{}} WHERE len(nodes) > 1"
+
+
+def _runs(at: str) -> str:
+    """left|right of the node above place `at` on each level."""
+    own = f"({at} // (3 ** level)::BIGINT)"
+    run = f"({own} - {own} % 3)"
+    return f"list(array_to_string(nodes[{run} + 1:{own}], '') || '|' || array_to_string(nodes[{own} + 2:{run} + 3], '') ORDER BY level) FILTER (len(nodes) > 1)"
+
+
+MERKLE = f"""WITH RECURSIVE
+    f AS (SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf('text')} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS now FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM f),
+    b AS (SELECT g, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY g),
+    t AS ({_tree('b').format('t')}),
+    sub AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM t WHERE len(nodes) = 1),
+    c AS (SELECT '' AS g, list(subroot ORDER BY place) AS nodes FROM sub),
+    u AS ({_tree('c').format('u')}),
+    root AS (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1),
+    low AS (SELECT p.doc_id, p.g, p.pos, any_value(p.leaf) AS leaf, any_value(p.now) AS now, coalesce({_runs('p.pos')}, []) AS runs FROM p JOIN t USING (g) GROUP BY p.doc_id, p.g, p.pos),
+    high AS (SELECT sub.g, sub.subroot, coalesce({_runs('sub.place')}, []) AS above FROM sub, u GROUP BY sub.g, sub.subroot, sub.place),
+    m AS (SELECT doc_id, leaf, now, subroot, root, list_concat(runs, above) AS proof FROM low JOIN high USING (g), root),
+    o AS (SELECT *, list_reduce(list_concat([now], proof), lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2))) AS folded_root FROM m)
+    SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o"""
