@@ -64,6 +64,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def held_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder for files that a result reads; remove_tables() removes it."""
+    path = f"{shared_dir(spark)}/loam-{tag}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are over now; else they stay until the driver happens to collect
     its garbage, which is what tells Spark that nothing refers to them."""

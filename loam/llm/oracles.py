@@ -133,3 +133,9 @@ MERKLE = f"""WITH RECURSIVE
     m AS (SELECT doc_id, leaf, now, subroot, root, list_concat(runs, above) AS proof FROM low JOIN high USING (g), root),
     o AS (SELECT *, list_reduce(list_concat([now], proof), lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2))) AS folded_root FROM m)
     SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o"""
+
+WARC = """WITH
+    p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) END AS latest FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest IS NOT NULL AND page_id IS DISTINCT FROM latest THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to FROM q"""

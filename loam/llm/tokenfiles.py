@@ -7,7 +7,6 @@ store that Spark reaches will do and a task that is run again leaves nothing twi
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loam.llm.bytebpe import ByteEncoder
-from loam.llm.common import bounded_batches, drop_table, materialize, shared_dir, table, text_blocks, tokenizer_path
+from loam.llm.common import bounded_batches, drop_table, held_folder, materialize, table, text_blocks, tokenizer_path
 from loam.llm.rans import Coder, scale_frequencies
 
 #: Ids of a block; a longer document has a block of its own.
@@ -149,6 +148,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
 
 def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/loam-tokens-{uuid.uuid4().hex}"
+    path = held_folder(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return read_token_files(spark, path, with_ids=False)
