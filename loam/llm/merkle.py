@@ -176,7 +176,7 @@ def forest(rows: DataFrame, group: str, order: list[str], levels: int = BLOCK_LE
     return met.withColumn("proof", F.concat("proof", "_upper")).drop("_upper", "_block").withColumnRenamed("_pos", "position"), top
 
 
-def manifest(rows: DataFrame, group: Column, key: Column, node: Column, carried: dict[str, Column] | None = None) -> DataFrame:
+def manifest(rows: DataFrame, group: Column, key: Column, node: Column, carried: dict[str, Column] | None = None, levels: int = BLOCK_LEVELS) -> DataFrame:
     """key, leaf, carried columns, position (in the group), subroot, root, proof: a row for each row of the table.
 
     Leaves of a group stand by key (nulls first), then by digest; groups stand by their UTF-8 bytes, null ahead of all
@@ -187,8 +187,8 @@ def manifest(rows: DataFrame, group: Column, key: Column, node: Column, carried:
     own = rows.select(F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit("")).alias("_group"), key.alias("_key"), node.alias("node"), *(c.alias(f"c_{n}") for n, c in carried.items()))
     # Equal rows are told apart by where they lie, so that even they can be dealt to several tasks.
     own = materialize(own.withColumn("_nth", F.monotonically_increasing_id()), "leaves")
-    leaves, roots = forest(own, "_group", ["_key", "node", "_nth"])
-    above, top = forest(roots.select(F.lit("").alias("_every"), F.col("_group").alias("_of"), "node"), "_every", ["_of"], tag="groups")
+    leaves, roots = forest(own, "_group", ["_key", "node", "_nth"], levels)
+    above, top = forest(roots.select(F.lit("").alias("_every"), F.col("_group").alias("_of"), "node"), "_every", ["_of"], levels, "groups")
     above = above.select(F.col("_of").alias("_group"), F.col("node").alias("subroot"), F.col("proof").alias("_above"))
     held = leaves.join(above, "_group").crossJoin(F.broadcast(top.select(F.col("node").alias("root"))))  # one row
     return held.select(

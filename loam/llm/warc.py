@@ -160,8 +160,9 @@ class Members:
 
     def __iter__(self) -> Iterator[tuple[int, Member]]:
         while self.rest or self._fill():
-            at = self.read - len(self.rest)
-            yield at, Member(self)
+            at, member = self.read - len(self.rest), Member(self)
+            yield at, member
+            member.close(quietly=True)  # whatever was left of it
 
     def _fill(self) -> bool:
         self.rest = self.take()
@@ -226,15 +227,15 @@ def read_archive(stream, archive: str, with_payload: bool = False, strict: bool
             if strict:
                 raise ArchiveProblem(f"{archive} at {at}: {e}") from e
             row["error"] = str(e)
-            yield row
-            if not e.goes_on:
-                return
             try:
                 member.close(quietly=True)
             except ArchiveProblem:
+                e.goes_on = False
+            yield row
+            if not e.goes_on:
                 return
-            continue
-        yield row
+        else:
+            yield row
 
 
 # ---------------------------------------------------------------- data source
