@@ -344,21 +344,18 @@ class Parser:
 
     def _import(self, i: int, end: int) -> int:
         mark = len(self.nodes)
+        if self._is(i, "type") and i + 1 < end and (self.t[i + 1].kind == "word" and not self._is(i + 1, "from") or self._is(i + 1, "{", "*")):
+            i += 1
+        if i + 1 < end and self.t[i].kind == "word" and self._is(i + 1, "from", ","):
+            self._add("ImportDefault", self.t[i].text, i, i + 1, imported="default")
         while i < end:
             t = self.t[i]
             if t.kind == "open" and t.text == "{":
-                k = i + 1
-                while k < t.pair:
-                    stop = k
-                    while stop < t.pair and not self._is(stop, ","):
-                        stop += 1
-                    words = [x for x in range(k, stop) if self.t[x].kind in ("word", "string")]
-                    if words:
-                        local = self.t[words[-1]].text
-                        named = [w for w in words if self.t[w].text != "type"] or words
-                        self._add("ImportSpecifier", local, k, stop, imported=self.t[named[0]].text)
-                    k = stop + 1
+                self._specifiers(i, "ImportSpecifier")
                 i = t.pair + 1
+            elif self._is(i, "*") and self._is(i + 1, "as") and i + 2 < end and self.t[i + 2].kind == "word":
+                self._add("ImportNamespace", self.t[i + 2].text, i, i + 3, imported="*")
+                i += 3
             elif t.kind == "string":
                 for n in self.nodes[mark:]:
                     n.extra["module"] = t.text[1:-1]
@@ -370,6 +367,35 @@ class Parser:
                 i += 1
         return i
 
+    def _specifiers(self, i: int, kind: str) -> None:
+        """Names between braces at i; a node's name is the last word of each, `imported` the first."""
+        close, k = self.t[i].pair, i + 1
+        while k < close:
+            stop = k
+            while stop < close and not self._is(stop, ","):
+                stop += 1
+            words = [x for x in range(k, stop) if self.t[x].kind in ("word", "string")]
+            if words:
+                named = [w for w in words if self.t[w].text != "type"] or words
+                self._add(kind, self.t[words[-1]].text, k, stop, imported=self.t[named[0]].text)
+            k = stop + 1
+
+    def _exports(self, i: int, end: int, first: int) -> int:
+        """`{ A as B }`, `*` or `* as N` behind export, with or without a module; the index after it."""
+        mark = len(self.nodes)
+        if self._opens(i, "{", end):
+            self._specifiers(i, "ExportSpecifier")
+            i = self.t[i].pair + 1
+        else:
+            named = self._is(i + 1, "as") and i + 2 < end and self.t[i + 2].kind in ("word", "string")
+            i += 3 if named else 1
+            self._add("ExportNamespace" if named else "ExportStar", self.t[i - 1].text if named else None, first, i, imported="*")
+        if self._is(i, "from") and i + 1 < end and self.t[i + 1].kind == "string":
+            for n in self.nodes[mark:]:
+                n.extra["module"] = self.t[i + 1].text[1:-1]
+            i += 2
+        return i + 1 if i < end and self._is(i, ";") else i
+
     def _interface(self, i: int, end: int, first: int, level: int) -> int:
         name, i = self.t[i].text, i + 1
         if i < end and self._is(i, "<"):
@@ -474,6 +500,8 @@ class Parser:
                 self._add("VariableStatement", None, first, i)
             elif word == "import" and not self._is(i + 1, "(", "."):
                 i = self._import(i + 1, end)
+            elif word == "export" and (self._opens(i + 1, "{", end) or self._is(i + 1, "*")) or word == "type" and i > first and (self._opens(i + 1, "{", end) or self._is(i + 1, "*")):
+                i = self._exports(i + 1, end, first)
             elif word == "function":
                 i += 1 + self._is(i + 1, "*")
                 name = self.t[i].text if i < end and self.t[i].kind == "word" else None
@@ -523,7 +551,9 @@ class Parser:
             elif t.text in (";", ":") or t.kind == "close":
                 i += 1
             else:
-                i = max(i + 1, self._expression(i, end, False))
+                name, i = i, max(i + 1, self._expression(i, end, False))
+                if i == name + 1 and t.kind == "word" and name == first + 2 and self._is(first, "export") and self._is(first + 1, "default"):
+                    self._add("ExportAssignment", "default", first, i, imported=t.text)
             self._ahead(first, i)
 
 
