@@ -393,7 +393,7 @@ def records_of(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:0
     same = F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "target_uri", "payload").cast("string")))
     groups = own.where(F.octet_length("payload") >= least).groupBy(F.sha2("payload", 256).alias("same")).agg(F.max("key").alias("latest"), F.count(F.lit(1)).alias("n"))
     repeated = materialize(groups.where("n > 1 and latest is not null").drop("n"), "revisits")
-    met = own.withColumn("same", same).join(repeated, "same", "left")
+    met = spread(own).withColumn("same", same).join(repeated, "same", "left")
     revisit = F.col("latest").isNotNull() & ~F.col("key").eqNullSafe(F.col("latest"))
     return met.select(
         page_uri(F.col("key")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(date).alias("date"),
@@ -428,5 +428,5 @@ def resolved(records: DataFrame) -> DataFrame:
 def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record, from the archives that were written of it."""
     path = held_folder(spark, "warc")
-    write_archives(records_of(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))), path)
+    write_archives(records_of(table(spark, sf_dir, "pages")), path)
     return read_archives(spark, path).select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
