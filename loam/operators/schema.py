@@ -10,7 +10,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loam.functions.js import in_order
 from loam.syntax.nodes import ts_nodes
@@ -346,24 +346,27 @@ def with_schemas(records: DataFrame, schemas: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- types along references
 
 
-def type_tree(spark: SparkSession, edges: DataFrame, max_depth: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
+def type_tree(spark: SparkSession, edges: DataFrame, max_depth: int = 4, skip: tuple[str, ...] = (), start: DataFrame | None = None) -> DataFrame:
     """root, path, depth, name, said: every property reached from each root along references.
 
     edges: owner, name, said (its type as text), target (an owner or null); a property with several targets, as a union
     has, stands in several rows and is followed into each at the same depth. A property is not followed at `max_depth`,
-    into a type that is already on its path, or into one on the skip list; there its type text stands.
+    into a type that is already on its path, or into one on the skip list; there its type text stands. Roots are all
+    owners, or those of `start` (owner). Edges are read at each level, so what is dear to make should be written first.
     """
     props = edges.select("owner", "name", "said").distinct()
     links = edges.where("target is not null").select("owner", "name", "target").distinct()
     links = links.where(~F.col("target").isin(*skip)) if skip else links
+    first = props if start is None else props.join(start, "owner", "left_semi")
     return spark.sql(
         f"""WITH RECURSIVE reached(root, path, seen, depth, owner, name, said) MAX RECURSION LEVEL {int(max_depth) + 2} AS (
-            SELECT owner, array(name), array(owner), 1, owner, name, said FROM {{props}}
+            SELECT owner, array(name), array(owner), 1, owner, name, said FROM {{first}}
             UNION ALL
             SELECT r.root, array_append(r.path, e.name), array_append(r.seen, e.owner), r.depth + 1, e.owner, e.name, e.said
             FROM reached r JOIN {{links}} l ON l.owner = r.owner AND l.name = r.name JOIN {{props}} e ON e.owner = l.target
             WHERE r.depth <= {int(max_depth)} AND NOT array_contains(r.seen, l.target)
         ) SELECT root, array_join(path, '.') AS path, depth, name, said FROM reached""",
+        first=first,
         props=props,
         links=links,
     )
@@ -397,18 +400,3 @@ def type_targets(kind: pd.Series, own: pd.Series) -> pd.Series:
         return list(dict.fromkeys(out))
 
     return pd.Series([one(k, o) for k, o in zip(kind, own, strict=True)])
-
-
-def interface_edges(nodes: DataFrame) -> DataFrame:
-    """owner, name, said, target of every member of an interface or object type: a row for each type that it refers to, one
-    without target if there is none."""
-    held = nodes.where("kind = 'PropertySignature'").select("owner", "name", F.col("type").alias("said"), type_targets("type", F.concat_ws(".", "owner", "name")).alias("targets"))
-    return held.select("owner", "name", "said", F.explode_outer("targets").alias("target"))
-
-
-def last_interface(trees: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """Of several interfaces of a file the last one's tree, as a file that is written again keeps the last."""
-    last = interfaces.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("ord")))).where("_n = 1")
-    return trees.join(last.select("file", F.col("interface").alias("root")), "root")
-
-

@@ -431,4 +431,4 @@ def prompt_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(prompt.cast("binary")).alias("prompt_md5"))
 
 
-from loam.plans import answer_queries, source_queries  # noqa: E402,F401  (they register theirs)
+from loam.plans import answer_queries, scope_queries, source_queries  # noqa: E402,F401  (they register theirs)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.functions import js
-from loam.operators import chunks, extract, schema
+from loam.operators import chunks, extract, schema, scopes
 from loam.plans import rag
 from loam.plans.registry import query
 from loam.plans.shapes import SHAPES, by_shape, filled, shape_files, sql_by_shape, sql_filled, sql_lists_by_shape, sql_text
@@ -194,14 +194,14 @@ _TREES = "interface R{k} { a: B{k} | C{k}[]; f: () => B{k}; x: { y: C{k} }; self
 def interface_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[recursive types] Unions, arrays, inline objects and aliases are followed, functions and cycles are not."""
     source = read(spark, sf_dir, "part").select(filled(F.lit("src/{k}.types.ts")).alias("file_path"), filled(F.lit(_TREES)).alias("content"))
-    return schema.type_tree(spark, schema.interface_edges(ts_nodes(source)), 4)
+    return scopes.trees(scopes.symbols(ts_nodes(source))).drop("file")
 
 
 @query("""SELECT 'B' || p_partkey AS root, CASE n WHEN 0 THEN 's' || p_size WHEN 1 THEN 'c' ELSE 'c.n' END AS path FROM part, range(3) t(n)""")
 def last_interface_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[the last interface of a file]"""
     nodes = ts_nodes(read(spark, sf_dir, "part").select(filled(F.lit("src/{k}.types.ts")).alias("file_path"), filled(F.lit(_TREES)).alias("content")))
-    return schema.last_interface(schema.type_tree(spark, schema.interface_edges(nodes), 4), extract.interfaces(nodes)).select("root", "path")
+    return scopes.last_trees(scopes.symbols(nodes)).select("root", "path")
 
 
 # ---------------------------------------------------------------- cleaning

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from loam.operators import chunks, extract, schema
+from loam.operators import chunks, extract, schema, scopes
 from loam.syntax.nodes import ts_nodes
 
 PANEL = """import React, { useState } from "react";
@@ -119,9 +119,10 @@ def test_schemas_from_source(spark):
     assert rows["Item", "children"].isSubType and not rows["TProps", "data"].isSubType and len(rows) == 7
     one = schema.selected(schema.exploded_definitions(docs)).collect()
     assert [(r.component, r.definition) for r in one] == [("T", "TProps")]
-    tree = {(r.root, r.path) for r in schema.type_tree(spark, schema.interface_edges(n)).collect()}
+    held = scopes.symbols(n)
+    tree = {(r.root, r.path) for r in scopes.trees(held).collect()}
     assert ("TProps", "data.children") in tree and ("TProps", "data.children.id") not in tree and ("Item", "children") in tree
-    last = schema.last_interface(schema.type_tree(spark, schema.interface_edges(n)), extract.interfaces(n)).select("root").distinct().collect()
+    last = scopes.last_trees(held).select("root").distinct().collect()
     assert [r.root for r in last] == ["Item"]
 
 
