@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loam.llm.common import bounded_batches, drop_table, materialize, table
@@ -25,7 +26,11 @@ GRID = 256
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Packed vectors as rows, with zeros up to `width`."""
+    """Packed vectors as rows, with zeros up to `width`; those of one length are taken as they lie."""
+    n = len(column)
+    if n and width and pc.min_max(pc.binary_length(column)).as_py() == {"min": 8 * width, "max": 8 * width}:
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.float64).reshape(n, width)
     out = np.zeros((len(column), width))
     for i, b in enumerate(column):
         v = np.frombuffer(b.as_buffer(), np.float64)
@@ -34,25 +39,48 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def quantized(vectors: DataFrame, grid: int = GRID, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """vec_id, vec (packed doubles): floor(grid * x) of each component; rows that take no part are gone."""
+    """vec_id, vec (packed doubles): floor(grid * x) of each component; rows that take no part are gone, and so are those
+    with a component beyond all doubles once it is scaled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vecs = [], []
             lists = batch.column("v")
-            flat, valid = lists.flatten(), ~np.asarray(lists.is_null())
-            values = np.asarray(flat.fill_null(np.nan), np.float64)
-            ends = np.cumsum(np.where(valid, np.asarray(lists.value_lengths().fill_null(0)), 0))
-            for i, key in enumerate(batch.column("vec_id").to_pylist()):
-                v = values[(ends[i - 1] if i else 0) : ends[i]]
-                if valid[i] and key is not None and np.isfinite(v).all():
-                    ids.append(key)
-                    vecs.append(np.floor(grid * v).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], names=["vec_id", "vec"])
+            valid = np.asarray(lists.is_valid()) & np.asarray(batch.column("vec_id").is_valid())
+            with np.errstate(over="ignore", invalid="ignore"):
+                values = np.floor(grid * np.asarray(lists.flatten().fill_null(np.nan), np.float64))
+            ends = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))))
+            wrong = np.concatenate(([0], np.cumsum(~np.isfinite(values))))
+            valid &= wrong[ends[1:]] == wrong[ends[:-1]]
+            vecs = [values[ends[i] : ends[i + 1]].tobytes() for i in np.flatnonzero(valid)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(valid)), pa.array(vecs, pa.binary())], names=["vec_id", "vec"])
 
     return vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, vec binary")
 
 
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers as longs; those beyond a long are its least or greatest.
+
+    Products whose sums stay under 2^53 are exact as doubles; only pairs of rows that may go beyond are multiplied as
+    integers of any size.
+    """
+    width = max(1, q.shape[1])
+    high = lambda m: np.abs(m).max(1, initial=0.0)
+    large, wide = high(q), high(x)
+    beyond = np.multiply.outer(large, wide) * width >= 2.0**53
+    if not beyond.any():
+        return (q @ x.T).astype(np.int64)
+    out = np.where(beyond, 0, q @ x.T).astype(np.int64)
+    rows, cols = np.flatnonzero(beyond.any(1)), np.flatnonzero(beyond.any(0))
+    whole = lambda m: np.array([[int(v) for v in r] for r in m], dtype=object).reshape(m.shape)
+    exact = np.clip(whole(q[rows]).dot(whole(x[cols]).T), _LEAST, _MOST).astype(np.int64)
+    at = np.ix_(rows, cols)
+    out[at] = np.where(beyond[at], exact, out[at])
+    return out
+
+
 def _solve(t: pa.Table, q: pa.Table, k: int, width: int) -> pa.Table:
     """The k best rows of a block for each of its queries, ties to the smaller id; rows of one id count once."""
     names = ["query_id", "vec_id", "score"]
@@ -66,13 +94,14 @@ def _solve(t: pa.Table, q: pa.Table, k: int, width: int) -> pa.Table:
     own = ids[first]
     out = []
     for lo in range(0, len(asked), 256):
-        s = vecs[lo : lo + 256] @ x.T
+        s = _scores(vecs[lo : lo + 256], x)
         if len(first) < len(ids):
             s = np.maximum.reduceat(s, first, 1)
-        s[asked[lo : lo + 256, None] == own[None, :]] = -np.inf
-        least = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-        order = np.lexsort((own[col], -s[row, col], row))
+        self = asked[lo : lo + 256, None] == own[None, :]
+        s[self] = _LEAST
+        least = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), _LEAST)
+        row, col = np.nonzero((s >= least[:, None]) & ~self)
+        order = np.lexsort((own[col], ~s[row, col], row))
         row, col = row[order], col[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         row, col = row[rank < k], col[rank < k]
@@ -96,7 +125,8 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = 5, grid: int = GRI
     """query_id, rank, vec_id, score: the k rows of the highest integer inner product for each query, ties to smaller
     ids; fewer where there are fewer. vectors and queries: vec_id, embedding.
 
-    Vectors that are null or hold a null or non-finite component take no part, nor do rows without an id. A query is
+    Vectors that are null or hold a null or non-finite component take no part, nor do rows without an id. Scores are exact
+    integers; one beyond a long counts as the least or greatest long, and ties of those go to smaller ids as all do. A query is
     never its own candidate; repeated rows of an id count once, with the best score where their vectors differ.
     Vectors of different length meet in their common components. Empty tables give none.
     """
@@ -177,7 +207,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = 5, grid: int = GRI
     near = materialize(solve(asking, np.eye(len(p), dtype=bool) & (most > -np.inf), True), "near")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
-    kth = top(near).where(f"rank = {k}").select("query_id", F.col("score").cast("double").alias("least"))
+    kth = top(near).where(f"rank = {k}").select("query_id", F.when(F.col("score") > F.lit(_LEAST), F.col("score")).cast("double").alias("least"))
     asking = materialize(asking.join(kth, "query_id", "left"), "asking")
     told = asking.groupBy("cell").agg(F.min(F.coalesce("least", F.lit(float("-inf")))).alias("least")).toPandas()  # a row for each pivot
     least = np.full(len(p), -np.inf)

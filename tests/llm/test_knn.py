@@ -12,7 +12,7 @@ def brute(rows, k):
     out = []
     for q, qs in held.items():
         if q % 50 == 0:
-            dot = lambda a, b: int((a[: len(b)] * b[: len(a)]).sum())
+            dot = lambda a, b: min(max(sum(int(x) * int(y) for x, y in zip(a, b, strict=False)), -(2**63)), 2**63 - 1)
             best = sorted((-max(dot(a, b) for a in qs for b in vs), i) for i, vs in held.items() if i != q)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
@@ -48,3 +48,21 @@ def test_far_groups_are_not_replicated(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
     pairs, met = got.group_pairs
     assert met < 0.5 * pairs
+
+
+@pytest.mark.parametrize("size", [1e6, 1e10, 3e38])
+def test_large_components_are_exact_and_beyond_a_long_count_as_its_ends(spark, monkeypatch, size):
+    monkeypatch.setattr(knn, "PER_PIVOT", 20)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=6) * (size if i % 3 else 1)).tolist()) for i in range(300)]
+    rows += [(300 + i, [size, -size, 1.0, float(i), 0.5, 0.25]) for i in range(40)] + [(350, [-size] * 6), (400, [1e308] * 6), (401, [size * 1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.knn_join(df, df.where("vec_id % 50 = 0")).collect()
+    assert sorted(tuple(r) for r in got) == brute([r for r in rows if r[0] != 400], 5)
+
+
+def test_scores_are_exact():
+    rng = np.random.default_rng(4)
+    q, x = np.floor(rng.normal(size=(7, 9)) * 1e9), np.floor(rng.normal(size=(11, 9)) * 10.0 ** rng.integers(0, 30, (11, 1)))
+    want = [[min(max(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)), -(2**63)), 2**63 - 1) for v in x] for u in q]
+    assert knn._scores(q, x).tolist() == want
