@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loam.llm.common import drop_table, materialize, table
+from loam.llm.common import drop_table, join_keyed, materialize, table
 from loam.llm.components import components
 
 #: (verdict, host and path) of the production rules.
@@ -105,10 +105,17 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", edges: DataFram
         urls = links.select(F.col("src").alias("u")).unionByName(links.select(F.col("dst").alias("u"))).distinct()
         _, told = ruled(host_of(F.col("u")), path_of(F.col("u")), rules)
         said = urls.select(number("u").alias("node"), told.alias("told")).join(found, "node")
-        blocked = said.groupBy("component").agg(F.coalesce(F.bool_or(F.col("told") == "block"), F.lit(False)).alias("_b"), F.coalesce(F.bool_or(F.col("told") == "allow"), F.lit(False)).alias("_a")).where("_b and not _a")
-        aliases = materialize(found.join(blocked, "component").select(F.col("node").alias("_node")), "blocked")
+        some = lambda v: F.coalesce(F.bool_or(F.col("told") == v), F.lit(False))
+        judged = materialize(said.groupBy("component").agg((some("block") & ~some("allow")).alias("_blocked"), F.count(F.lit(1)).alias("_urls")), "judged")
+        # A component may hold a third of all URLs: it is dealt to pieces.
+        aliases = join_keyed(found, judged, ["component"], "_urls", F.col("node")).where("_blocked").select(F.col("node").alias("_node"), F.lit(True).alias("_free"))
+        aliases = materialize(aliases, "blocked")
         drop_table(found)
-        out = rows.withColumn("_node", F.when(F.col("rule").isNull(), number(normal(F.col("url"))))).join(aliases.withColumn("blocked", F.lit(True)), "_node", "left")
+        drop_table(judged)
+        # Pages with a rule find no alias; a key of their own deals them to all tasks.
+        free = F.col("rule").isNull()
+        keyed = rows.withColumn("_free", free).withColumn("_node", F.when(free, number(normal(F.col("url")))).otherwise(F.xxhash64("page_id", "url")))
+        out = keyed.join(aliases.withColumn("blocked", F.lit(True)), ["_node", "_free"], "left")
     by_alias = F.coalesce("blocked", F.lit(False))
     out = out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(by_alias, "block").otherwise(default)).alias("verdict"), F.when(F.col("rule").isNotNull(), "rule").when(by_alias, "alias").otherwise("default").alias("by"))
     return out

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from loam.llm.urls import RULES, judge
 
 HOSTS = ["www.example.com", "example.com", "m.example.com", "a.net", "fnet", "net", "x.org", "EXAMPLE.com", "com", "y.org:80"]
@@ -96,3 +98,19 @@ def test_many_aliases_and_long_pages(spark):
     docs = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in judge(docs).collect()}
     assert all(got[i] == "block" for i in range(3001)) and all(got[10000 + i] == "allow" for i in range(3000)) and got[20000] == "block"
+
+
+def test_a_large_component_and_many_ruled_pages_meet_in_no_task(spark):
+    """With broadcasts off, rows of ruled pages and of one large component are dealt to all tasks."""
+    pages = [(i, "http://a.com/", None) for i in range(3000)] + [(5000 + i, f"http://h{i}.org/", '<link rel="canonical" href="http://x.net/es/">') for i in range(3000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = judge(spark.createDataFrame(pages, "page_id long, url string, html string"))
+        sizes = [r["count"] for r in out.withColumn("_p", F.spark_partition_id()).groupBy("_p").count().collect()]
+        assert out.groupBy("by").count().collect() and max(sizes) < 0.4 * 6000
+        assert {r.by: r["count"] for r in out.groupBy("by").count().collect()} == {"rule": 3000, "alias": 3000}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
