@@ -618,12 +618,12 @@ def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heav
     label = label.join(told.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     label = label.select("node", "root", "doc_id", "docs", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     label = materialize(label, "label")
-    least = materialize(label.groupBy("root").agg(F.count(F.lit(1)).alias("_sets"), F.min("doc_id").alias("least")).where("_sets > 1").select("root", "least"), "least")
+    least = materialize(label.groupBy("root").agg(F.count(F.lit(1)).alias("_sets"), F.min("doc_id").alias("least")).where("_sets > 1"), "least")
     if cleanup:
         for t in spare:
             drop_table(t)
     # A component of one set has that set's doc_id; only the others are looked up.
-    label = materialize(label.join(least, "root", "left").select("node", "root", "n_links", "docs", F.coalesce("least", "doc_id").alias("component_id")), "labels")
+    label = materialize(join_keyed(label, least, ["root"], "_sets", F.col("node")).select("node", "root", "n_links", "docs", F.coalesce("least", "doc_id").alias("component_id")), "labels")
     out = join_keyed(nodes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), label, ["node"], "docs", F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "root")
     return out, seed
@@ -648,30 +648,29 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Rows without a doc_id can't be told apart by it and all stay, and so do rows with the empty set.
     """
     found, seed = _linked(docs, **how)
-    key = docs["doc_id"].cast("long")
-    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialize(gone.unionByName(again.select(F.col("_again").alias("_gone"))).distinct(), "gone")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key == gone["_gone"], "left_anti")
+    # Rows travel as one struct, so no name of theirs meets a name of this function.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_key"))
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_key")), "again")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_key")).distinct()
+    gone = materialize(gone.unionByName(again).distinct(), "gone")
+    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_key", "left_anti").select("_row")
     if again.limit(1).count():  # rows of a repeated doc_id are told apart by their sets
         width = how.get("width", 5)
-        at = docs.columns.index("text")
 
         def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in text_blocks(batches):
-                values, bounds = shingle_sets(block.column(at), width)
+            for block in text_blocks(batches, "_text"):
+                values, bounds = shingle_sets(block.column(2), width)
                 node = pa.array(identities(values, bounds, seed)[0].view(np.int64), mask=np.diff(bounds) == 0)
-                yield pa.RecordBatch.from_arrays([*block.columns, node], names=[*block.schema.names, "_node"])
-
-        rows = docs.join(again, key == again["_again"], "left_semi")
-        schema = StructType([*docs.schema.fields, StructField("_node", LongType())])
-        kept = found.where("n_shingles > 0").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_set"), F.col("root").alias("_root"), F.col("component_id").alias("_least")).distinct()
-        rows = rows.mapInArrow(tell, schema)
-        rows = rows.join(kept, (rows["doc_id"].cast("long") == kept["_doc"]) & (rows["_node"] == kept["_set"]), "left").where("_root is null or _least = _doc")
-        first = F.row_number().over(Window.partitionBy("_doc", "_root").orderBy(F.xxhash64("text"), "text"))
-        sole = rows.where("_root is not null").withColumn("_nth", first).where("_nth = 1")
-        out = out.unionByName(sole.select(*docs.columns)).unionByName(rows.where("_root is null").select(*docs.columns))
-    return out
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), node], names=["_row", "_key", "_set"])
+
+        same = rows.join(again, "_key", "left_semi").select("_row", "_key", F.col("_row.text").alias("_text"))
+        sets = same.mapInArrow(tell, StructType([*same.schema.fields[:2], StructField("_set", LongType())]))
+        kept = found.where("n_shingles > 0").select(F.col("doc_id").alias("_key"), F.col("node").alias("_set"), F.col("root").alias("_root"), F.col("component_id").alias("_least")).distinct()
+        sets = sets.join(kept, ["_key", "_set"], "left").where("_root is null or _least = _key")
+        first = F.row_number().over(Window.partitionBy("_key", "_root").orderBy(F.xxhash64("_row.text"), "_row.text"))
+        sole = sets.where("_root is not null").withColumn("_nth", first).where("_nth = 1")
+        out = out.unionByName(sole.select("_row")).unionByName(sets.where("_root is null").select("_row"))
+    return out.select("_row.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

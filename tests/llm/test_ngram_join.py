@@ -189,3 +189,16 @@ def test_sets_that_go_to_further_levels(spark, heavy):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), heavy=heavy, fill=fill).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
     assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == links(rows)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    """Columns that are named as the function's own, and one doc_id that stands twice."""
+    names = ["_root", "_node", "_doc", "_set", "_least", "_nth", "_key", "_row", "_text", "_again", "_gone", "node", "root"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text + " z", "b"), (1, "another text of six words here", "c"), (2, text, "d"), (3, None, "e"), (None, text, "f")]
+    docs = spark.createDataFrame([(i, t, *[f"{v}{n}" for n in names]) for i, t, v in rows], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    left = {(r.doc_id, r.text) for r in got.collect()}
+    assert {(1, rows[2][1]), (3, None), (None, text)} <= left and (2, text) not in left and len(left) == 4
+    assert all({r[n][0] for n in names} == {v} for r in got.collect() for i, t, v in rows if (i, t) == (r.doc_id, r.text))
