@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loam.functions import js
 from loam.operators import chunks, extract, schema, scopes
@@ -12,7 +12,7 @@ from loam.plans import rag
 from loam.plans.registry import query
 from loam.plans.shapes import SHAPES, by_shape, filled, shape_files, sql_by_shape, sql_filled, sql_lists_by_shape, sql_text
 from loam.plans.tables import read
-from loam.sources import files, stores
+from loam.sources import files, folders, stores
 from loam.streaming import streams
 from loam.syntax.nodes import register, ts_nodes
 
@@ -300,26 +300,35 @@ def _new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Files of each supplier, by path: what it depends on, and the text; {n} is the key and {s} the name of the supplier.
+_FILES = (
+    ("true", "components/N{n}/{types}", "export interface N{n}Props { data: string; on{n}: () => void }\r\n"),
+    ("n % 3 > 0", "components/N{n}/{code}", "const N{n}: React.FC<N{n}Props> = () => <Leaf{n} />; // {s}"),
+    ("true", "components/N{n}/N{n}.schema.json", "{}"), ("true", "components/N{n}/chunks.N{n}.json", "[]"), ("true", "components/N{n}/N{n}.full.json", "{}"),
+    ("true", "dist/N{n}.tsx", "no"), ("true", "components/node_modules/N{n}/x.ts", "no"), ("true", "components/N{n}/__pycache__/y.ts", "no"),
+    ("true", "components/flat{n}.js", "f"), ("true", "other/{n}.md", "m"),
+)
+
+
 def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of components, some files for each of the 25 nations, written to the shared folder."""
+    """A folder of components, some files for each supplier, written by tasks to the shared folder."""
     root = _new_folder(spark, "source")
-    held: dict[str, str | bytes] = {}
-    for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 rows
-        n, name = r["n_nationkey"], f"N{r['n_nationkey']}"
-        at = f"components/{name}"
-        held[f"{at}/{name}.types.ts" if n % 2 else f"{at}/{name}.ts"] = f"export interface {name}Props {{ data: string; on{n}: () => void }}\r\n"
-        if n % 3:
-            held[f"{at}/{name}.tsx" if n % 3 == 1 else f"{at}/index.tsx"] = f"const {name}: React.FC<{name}Props> = () => <Leaf{n} />; // {r['n_name']}"
-        held[f"{at}/{name}.schema.json"], held[f"{at}/chunks.{name}.json"], held[f"{at}/{name}.full.json"] = "{}", "[]", "{}"
-        held[f"dist/{name}.tsx"] = held[f"components/node_modules/{name}/x.ts"] = held[f"{at}/__pycache__/y.ts"] = "no"
-        held[f"components/flat{n}.js"], held[f"other/{n}.md"] = "f", "m"
-        if n % 5 == 0:
-            held[f"{at}/Bad.ts"] = b"\xff\xfe\xfa"
-    stores.put_files(spark, root, held)
+    n = F.col("s_suppkey")
+    named = {"{n}": n.cast("string"), "{s}": F.col("s_name"), "{types}": F.concat(F.lit("N"), n, F.when(n % 2 == 1, ".types.ts").otherwise(".ts")), "{code}": F.when(n % 3 == 1, F.concat(F.lit("N"), n, F.lit(".tsx"))).otherwise("index.tsx")}
+
+    def said(text: str) -> Column:
+        out = F.lit(text)
+        for mark, value in named.items():
+            out = F.replace(out, F.lit(mark), value) if mark in text else out
+        return out
+
+    each = [F.when(F.expr(w.replace("n ", "s_suppkey ")), F.struct(said(p).alias("path"), said(t).cast("binary").alias("document"))) for w, p, t in _FILES]
+    each.append(F.when(n % 5 == 0, F.struct(said("components/N{n}/Bad.ts").alias("path"), F.lit(b"\xff\xfe\xfa").alias("document"))))
+    folders.save_documents(read(spark, sf_dir, "supplier").select(F.explode(F.array_compact(F.array(*each))).alias("f")).select("f.*"), root)
     return root
 
 
-_SCAN = """WITH n AS (SELECT n_nationkey AS n, 'N' || n_nationkey AS c, n_name FROM nation),
+_SCAN = """WITH n AS (SELECT s_suppkey AS n, 'N' || s_suppkey AS c, s_name AS n_name FROM supplier),
     f AS (SELECT n, c, c AS comp, CASE WHEN n % 2 = 1 THEN c || '.types.ts' ELSE c || '.ts' END AS name, '.ts' AS ext, 'export interface ' || c || 'Props { data: string; on' || n || ': () => void }' || chr(10) AS body FROM n
         UNION ALL SELECT n, c, c, CASE WHEN n % 3 = 1 THEN c || '.tsx' ELSE 'index.tsx' END, '.tsx', 'const ' || c || ': React.FC<' || c || 'Props> = () => <Leaf' || n || ' />; // ' || n_name FROM n WHERE n % 3 > 0
         UNION ALL SELECT n, '', 'flat' || n || '.js', 'flat' || n || '.js', '.js', 'f' FROM n
@@ -334,18 +343,16 @@ _WALKS = {
 @query(_SCAN + "\nUNION ALL ".join(f" SELECT '{k}' AS pattern, name AS file_name, comp AS component, ext AS extension, body AS content FROM f WHERE {w}" for k, w in _WALKS.items()))
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[code scan, declarative source, walks by suffix and prefix, pruned folders, paths] A folder that is written first."""
-    root = _folder(spark, sf_dir)
-    out = None
-    for kind in _WALKS:
-        rows = files.scan(spark, root, kind).select(F.lit(kind).alias("pattern"), "file_name", "component", "extension", "content")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    every = files.scan(spark, _folder(spark, sf_dir), "*")
+    kinds = F.array(*(F.when(files.fits(F.col("file_name"), k), F.lit(k)) for k in _WALKS))
+    return every.select(F.explode(F.array_compact(kinds)).alias("pattern"), "file_name", "component", "extension", "content")
 
 
-@query("SELECT 'N' || n_nationkey || '/Bad.ts' AS file, 'the file is no UTF-8' AS error FROM nation WHERE n_nationkey % 5 = 0")
+@query(_SCAN + f""" SELECT 'N' || n || '/Bad.ts' AS file, 'the file is no UTF-8' AS said, (SELECT count(*) FROM f WHERE {_WALKS['code']}) AS good, (SELECT count(*) FROM n WHERE n % 5 = 0) AS bad FROM n WHERE n % 5 = 0""")
 def scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[files that can't be read are reported and passed over]"""
-    return files.failures(spark, _folder(spark, sf_dir)).select(F.regexp_extract("file_path", "([^/]+/[^/]+)$", 1).alias("file"), "error")
+    """[files that can't be read are reported beside the good ones, with counts of both, in one pass]"""
+    _, bad, n = files.reported(files.scan_all(spark, _folder(spark, sf_dir)), _new_folder(spark, "reported"))
+    return bad.select(F.regexp_extract("file_path", "([^/]+/[^/]+)$", 1).alias("file"), F.col("error").alias("said"), F.lit(n["good"]).cast("long").alias("good"), F.lit(n["bad"]).cast("long").alias("bad"))
 
 
 @query(_SCAN + """, d AS (SELECT DISTINCT n, c FROM f WHERE c LIKE 'N%')
@@ -354,21 +361,21 @@ def scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[component folders, first existing candidate of types and code]"""
     found = files.scan(spark, _folder(spark, sf_dir), "typescript")
-    folders = files.component_folders(found)
-    one = lambda names, at: files.first_existing(found, folders, names).select("component", F.col("content").alias(at))
+    owners = files.component_folders(found)
+    one = lambda names, at: files.first_existing(found, owners, names).select("component", F.col("content").alias(at))
     return one(files.TYPES_CANDIDATES, "types").join(one(files.CODE_CANDIDATES, "code"), "component")
 
 
 @query(_SCAN + " SELECT name AS file_name FROM f WHERE ext IN ('.ts', '.tsx', '.js') AND (n % 2 = 0 OR name LIKE 'flat%')")
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[increments by content] Files of odd nations were seen before, flat ones with another content."""
+    """[increments by content] Files of odd suppliers were seen before, flat ones with another content."""
     found = files.scan(spark, _folder(spark, sf_dir))
     n = F.regexp_extract("file_path", r"(?:/N|flat)(\d+)", 1).cast("int")
     seen = found.where(n % 2 == 1).select("file_path", F.sha2(F.when(F.startswith("file_name", F.lit("flat")), F.lit("old")).otherwise(F.col("content")), 256).alias("digest"))
     return files.incremental(found, seen).select("file_name")
 
 
-@query("""WITH n AS (SELECT n_nationkey AS n, 'N' || n_nationkey AS c FROM nation), s AS (SELECT n, c, n % 3 = 1 OR (n % 3 = 2 AND n % 2 = 1) AS tsx, n % 2 = 0 AS ts FROM n)
+@query("""WITH n AS (SELECT s_suppkey AS n, 'N' || s_suppkey AS c FROM supplier), s AS (SELECT n, c, n % 3 = 1 OR (n % 3 = 2 AND n % 2 = 1) AS tsx, n % 2 = 0 AS ts FROM n)
     SELECT c AS component, 'property' AS type, 'data' AS name, 'data property of ' || c || ' component.' AS said FROM s
     UNION ALL SELECT c, 'event', 'on' || n, 'Callback function triggered when ' || n || ' occurs in ' || c || '.' FROM s
     UNION ALL SELECT CASE WHEN n % 3 = 1 THEN c ELSE 'index' END, 'render', NULL, CASE WHEN n % 3 = 1 THEN c ELSE 'index' END || ' renders Leaf' || n || ' component in JSX.' FROM s WHERE tsx
@@ -398,19 +405,32 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""SELECT 'N' || n_nationkey AS component, 'chunk' AS item_type, 'c' || i || ' ' || n_name AS text, 1.5::DOUBLE + i AS first FROM nation, range(2) t(i)
-    UNION ALL SELECT 'N' || n_nationkey, 'component', 'whole ' || n_name, n_nationkey::DOUBLE FROM nation""")
+@query("""SELECT 'N' || s_suppkey AS component, 'chunk' AS item_type, 'c' || i || ' ' || s_name AS text, 1.5::DOUBLE + i AS first FROM supplier, range(2) t(i)
+    UNION ALL SELECT 'N' || s_suppkey, 'component', 'whole ' || s_name, s_suppkey::DOUBLE FROM supplier""")
 def vector_store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[vector store of chunk files, each an array, and component files, each an object; chunk-set JSON]"""
-    root, held = _new_folder(spark, "vectors"), {}
-    for r in read(spark, sf_dir, "nation").collect():  # 25 rows
-        n, name = r["n_nationkey"], r["n_name"]
-        held[f"a/embedded.N{n}.json" if n % 2 else f"b/N{n}.embedded.json"] = "[" + ",\n".join(f'{{"component": "N{n}", "type": "chunk", "text": "c{i} {name}", "embedding": [{1.5 + i}, 2]}}' for i in range(2)) + "]"
-        held[f"a/component.N{n}.json" if n % 2 else f"b/N{n}.component.json"] = f'{{"component": "N{n}",\n "text": "whole {name}", "embedding": [{n}]}}'
-    stores.put_files(spark, root, held)
+    root, n = _new_folder(spark, "vectors"), F.col("s_suppkey")
+    name = F.concat(F.lit("N"), n)
+    chunk = lambda i: F.struct(name.alias("component"), F.lit("chunk").alias("type"), F.concat(F.lit(f"c{i} "), "s_name").alias("text"), F.array(F.lit(1.5 + i), F.lit(2.0)).alias("embedding"))
+    whole = F.struct(name.alias("component"), F.concat(F.lit("whole "), "s_name").alias("text"), F.array(n).alias("embedding"))
+    at = lambda odd, even: F.when(n % 2 == 1, F.format_string(odd, n)).otherwise(F.format_string(even, n))
+    files_ = F.array(F.struct(at("a/embedded.N%s.json", "b/N%s.embedded.json").alias("path"), F.to_json(F.array(chunk(0), chunk(1))).alias("document")), F.struct(at("a/component.N%s.json", "b/N%s.component.json").alias("path"), F.to_json(whole).alias("document")))
+    folders.save_documents(read(spark, sf_dir, "supplier").select(F.explode(files_).alias("f")).select("f.*"), root)
     return stores.vector_store(spark, root).select("component", "item_type", "text", F.element_at("embedding", 1).alias("first"))
 
 
+@query(_SCAN + """ SELECT c AS component, 'components/' || c || '/' || CASE WHEN n % 3 = 1 THEN c ELSE 'index' END || '.full.json' AS path, '["Leaf' || n || '"]' AS tags FROM n WHERE n % 3 > 0""")
+def component_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[a document for each component, beside its source, all or nothing] The record of each TSX file, written and read again."""
+    root = _folder(spark, sf_dir)
+    found = files.scan(spark, root, "tsx")
+    records = extract.records(ts_nodes(found))
+    below = F.substring("file", len(root.removeprefix("file:").replace("//", "/")) + 2, 1 << 20)
+    folders.save_documents(records.select(F.regexp_replace(below, "[.]tsx$", ".full.json").alias("path"), F.to_json(F.struct(*records.columns)).alias("document")), root)
+    written = files.scan(spark, root, "full").where("content <> '{}'").withColumn("held", F.from_json("content", "jsxUsage array<string>"))
+    return written.select("component", F.regexp_extract("file_path", "(components/.*)$", 1).alias("path"), F.to_json("held.jsxUsage").alias("tags"))
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -436,7 +456,7 @@ def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, out = _folder(spark, sf_dir), _new_folder(spark, "arrived")
     for again in (False, True):
         if again:
-            stores.put_files(spark, root, {"new/components/N1/N1.tsx": "later"})
+            folders.save_documents(spark.createDataFrame([("new/components/N1/N1.tsx", "later")], "path string, document string"), root)
         arriving = streams.arriving_files(spark, root).where(~F.col("file_path").rlike("/(dist|node_modules|__pycache__)/"))
         streams.keep_latest(arriving, f"{out}/table", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/table").select("component", "file_name", "content")

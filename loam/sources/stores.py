@@ -107,12 +107,3 @@ def remove_kept(spark: SparkSession) -> int:
     for path in paths:
         delete(spark, path)
     return len(paths)
-
-
-def put_files(spark: SparkSession, root: str, files: dict[str, str | bytes]) -> None:
-    """Writes a few small files, by path below a folder, to any store that Spark reaches."""
-    for name, body in files.items():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(body.encode() if isinstance(body, str) else body))
-        out.close()
