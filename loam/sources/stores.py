@@ -94,6 +94,25 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reaches."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a path, in order; none if it isn't there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().toString() for f in store.listStatus(hadoop) if f.isDirectory()) if store.exists(hadoop) else []
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df itself if reading it runs no Python, else a table of it: what a provider or a parser made is made once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return kept(df, tag) if re.search("InArrow|InPandas|Python|UDF", plan) else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a file or folder of any store that Spark reaches."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -148,3 +148,41 @@ def test_from_folder_to_answer(spark, tmp_path):
     asked = spark.createDataFrame([(1, "What data does the Tree have?")], "question_id long, question string")
     got = rag.ask(held, asked).first()
     assert "Tree" in got.context and got.question in got.prompt
+
+
+def counting(path):
+    """A provider that leaves a file for each text it gets."""
+
+    def provider(texts):
+        import uuid as ids
+
+        for t in texts:
+            with open(f"{path}/{ids.uuid4().hex}", "w") as f:
+                f.write(t)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return provider
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    asked = lambda: sorted(p.read_text() for p in (tmp_path / "calls").iterdir())
+    provider, at = counting(str(tmp_path / "calls")), f"file://{tmp_path}/store"
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "")], "digest long, text string")
+    got = embed.embedded_once(rows.withColumnRenamed("digest", "id"), at, provider)
+    assert sorted((r.id, r.embedding[0]) for r in got.collect()) == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 0.0), (5, 0.0)] and asked() == ["", "a", "b"]
+    more = spark.createDataFrame([(1, "a"), (2, "cc")], "id long, text string")
+    assert sorted((r.id, r.embedding[0]) for r in embed.embedded_once(more, at, provider).collect()) == [(1, 1.0), (2, 2.0)] and asked() == ["", "a", "b", "cc"]
+    assert embed.embedded_once(more, at, provider).count() == 2 and len(asked()) == 4
+    assert embed.embedded_once(more.where("id = 1"), at, provider, "other").count() == 1 and len(asked()) == 5
+    with pytest.raises(Exception):
+        embed.embedded_once(spark.createDataFrame([(1, "new")], "id long, text string"), at, lambda t: [], wait=0).count()
+    assert embed.stored(spark, at).count() == 5
+
+
+def test_search_asks_for_each_text_once(spark, tmp_path):
+    items = spark.createDataFrame([(i, f"c{i}", None, "chunk", None, None, f"text {i}") for i in range(10)], "item_id long, component string, name string, item_type string, chunk_type string, dataType string, text string")
+    index = embed.embedded(items, counting(str(tmp_path)))
+    questions = spark.createDataFrame([(1, "what is c3?")], "question_id long, question string")
+    assert rag.ask(index, questions, counting(str(tmp_path))).count() == 1
+    assert len(list(tmp_path.iterdir())) == 11
