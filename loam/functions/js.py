@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space that trimming removes at both ends of a template.
 _EDGES = r"^[\s ﻿]+|[\s ﻿]+$"
@@ -79,3 +79,10 @@ def last_wins(value: Column, *order: Column) -> Column:
 def first_match(value: Column, *order: Column) -> Column:
     """Aggregate: the value that comes first."""
     return F.min_by(value, F.struct(*order))
+
+
+def once(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """df's columns `kept` (all if none is named) and new ones, each of which is evaluated once a row, however often
+    later expressions use it: they pass through a generator, which the optimizer does not fold projections across."""
+    held = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")
+    return df.select(*(kept or df.columns), held).select(*(kept or df.columns), *(F.col(f"_once.{n}").alias(n) for n in columns))

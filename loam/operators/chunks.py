@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.functions.js import capitalised, in_order, joined, shortened, starts_with_any, without_blanks
+from loam.functions.js import capitalised, in_order, joined, once, shortened, starts_with_any, without_blanks
 
 #: Beginnings of property names that tell nothing about a component.
 DULL_PROPS = (
@@ -22,15 +22,16 @@ def useful_prop(name: Column) -> Column:
 def prop_texts(schema: Column) -> Column:
     """`name (type)` of the first definition's properties, without dull ones, at most MOST_PROPS. schema: map of JSON."""
     first = F.try_element_at(F.map_values(schema), F.lit(1))
-    props = F.map_entries(F.from_json(F.get_json_object(first, "$.properties"), "map<string,string>"))
-    kind = lambda v: F.get_json_object(v, "$.type")
-    shown = lambda v: F.when(F.startswith(kind(v), F.lit("[")), F.array_join(F.from_json(kind(v), "array<string>"), ",")).otherwise(kind(v))
+    props = F.map_entries(F.from_json(first, "struct<properties:map<string,string>>")["properties"])
+    shown = F.slice(F.filter(props, lambda p: useful_prop(p["key"])), 1, MOST_PROPS)
+    held = F.transform(shown, lambda p: F.struct(p["key"].alias("name"), F.from_json(p["value"], "struct<type:string,`$ref`:string>").alias("held")))
+    kind = lambda t: F.when(F.startswith(t, F.lit("[")), F.array_join(F.from_json(t, "array<string>"), ",")).otherwise(t)
     one = lambda p: (
-        F.when(kind(p["value"]).isNotNull(), F.concat(p["key"], F.lit(" ("), shown(p["value"]), F.lit(")")))
-        .when(F.get_json_object(p["value"], "$['$ref']").isNotNull(), F.concat(p["key"], F.lit(" (ref)")))
-        .otherwise(p["key"])
+        F.when(p["held"]["type"].isNotNull(), F.concat(p["name"], F.lit(" ("), kind(p["held"]["type"]), F.lit(")")))
+        .when(p["held"]["$ref"].isNotNull(), F.concat(p["name"], F.lit(" (ref)")))
+        .otherwise(p["name"])
     )
-    return F.slice(F.transform(F.filter(props, lambda p: useful_prop(p["key"])), one), 1, MOST_PROPS)
+    return F.transform(held, one)
 
 
 def overview(component: Column, internal: Column, state: Column) -> Column:
@@ -57,10 +58,11 @@ def rag_chunks(records: DataFrame) -> DataFrame:
     overview and the example of the component itself are always there. No shuffle: a row's chunks come from the row.
     """
     own = F.col("component")
-    props = prop_texts(F.col("schema"))
     fields = records.schema["dependencies"].dataType.elementType.names
     deps = joined(without_blanks(F.transform("dependencies", lambda d: F.coalesce(*(F.nullif(d[f], F.lit("")) for f in ("component", "name") if f in fields)))), ", ")
     tags = F.slice(F.filter("jsxUsage", capitalised), 1, MOST_TAGS)
+    records = once(records, "component", "internalComponents", "state", "functions", _props=prop_texts(F.col("schema")), _deps=deps, _tags=tags)
+    props, deps, tags = F.col("_props"), F.col("_deps"), F.col("_tags")
     chunk = lambda kind, text: F.struct(kind.alias("type"), text.alias("text"))
     none = F.slice(F.array(chunk(F.lit(""), F.lit(""))), 1, 0)
     parts = [

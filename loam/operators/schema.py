@@ -12,7 +12,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from loam.functions.js import in_order
+from loam.functions.js import in_order, once
+from loam.functions.spread import spread
 from loam.syntax.nodes import ts_nodes
 from loam.syntax.parser import Node, SyntaxProblem, nodes_of
 
@@ -244,7 +245,7 @@ def schema_documents(nodes: DataFrame) -> DataFrame:
 
 def exploded_definitions(schemas: DataFrame, key: str = "component", schema: str = "schema") -> DataFrame:
     """key, ord, definition, body: one row for each definition of a document; none for documents without definitions."""
-    held = F.from_json(F.get_json_object(schema, "$.definitions"), MAP)
+    held = F.from_json(schema, f"struct<definitions:{MAP}>")["definitions"]
     return schemas.select(key, F.posexplode(held).alias("ord", "definition", "body"))
 
 
@@ -267,10 +268,11 @@ def own_and_inherited(rows: DataFrame, body: str = "body", keys: tuple[str, ...]
     held = F.from_json(body, "struct<properties:map<string,string>,allOf:array<struct<properties:map<string,string>>>>")
     none = F.array().cast("array<struct<key:string,value:string>>")
     entries = lambda m: F.coalesce(F.map_entries(m), none)
+    rows = once(rows, *keys, held=held)
     every = F.concat(entries(F.col("held.properties")), F.coalesce(F.flatten(F.transform("held.allOf", lambda p: entries(p["properties"]))), none))
+    rows = once(rows, *keys, every=every)
     merged = F.transform(F.array_distinct(F.transform("every", lambda e: e["key"])), lambda n: F.struct(n.alias("name"), F.element_at(F.filter("every", lambda e: e["key"] == n), -1)["value"].alias("value")))
-    out = rows.select(*keys, held.alias("held")).select(*keys, every.alias("every"))
-    return out.select(*keys, F.posexplode(merged).alias("place", "p")).select(*keys, "place", "p.name", "p.value")
+    return rows.select(*keys, F.posexplode(merged).alias("place", "p")).select(*keys, "place", "p.name", "p.value")
 
 
 def _type_text(kind: Column) -> Column:
@@ -314,9 +316,11 @@ def property_kind(name: Column) -> Column:
 def schema_chunks(schemas: DataFrame) -> DataFrame:
     """component, definition, isSubType, name, description, type, dataType, enum, linksTo, signature of every property of
     every definition of (component, schema), with ord and place for their order."""
-    rows = own_and_inherited(exploded_definitions(schemas)).withColumn("held", F.from_json("value", PROPERTY))
+    rows = once(own_and_inherited(exploded_definitions(spread(schemas.select("component", "schema")))), "component", "ord", "place", "definition", "name", held=F.from_json("value", PROPERTY))
     name, held, kind = F.col("name"), F.col("held"), property_kind(F.col("name"))
     said, link = resolved_type(held)
+    rows = once(rows, _said=said, _link=link)
+    said, link = F.col("_said"), F.col("_link")
     return rows.select(
         "component", "ord", "place", "definition", (F.col("definition") != F.concat("component", F.lit("Props"))).alias("isSubType"), "name",
         described(name, held, F.col("component")).alias("description"), kind.alias("type"),
