@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loam.functions import js
 from loam.operators import answer, chunks, embed, extract, retrieval, schema
+from loam.operators.containment import contains_join
 from loam.plans.registry import ORACLES, QUERIES, query
 from loam.plans.tables import part_schemas, read, region_records, sources
 from loam.sources import files
@@ -411,12 +412,24 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH q AS (SELECT conv_id, turn, text || ' about ' || n_name AS question FROM conversations JOIN nation ON n_nationkey = (conv_id + turn) % 25)
     SELECT conv_id, turn, question, n_nationkey FROM q JOIN nation ON contains(lower(question), lower(n_name))""")
 def theta_component_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[names in a question] A join by containment of whole names; questions are made to name a nation. `nation` is
-    broadcast by its size if at all: the hint is the planner's."""
+    """[names in a question] A join by containment of whole names; questions are made to name a nation."""
     asked, names = read(spark, sf_dir, "conversations"), read(spark, sf_dir, "nation")
     named = asked.join(names.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")), F.col("k") == (F.col("conv_id") + F.col("turn")) % 25)
     asked = named.select("conv_id", "turn", F.concat("text", F.lit(" about "), "n").alias("question"))
-    return asked.join(names, answer.named_in(F.col("question"), F.col("n_name"))).select("conv_id", "turn", "question", "n_nationkey")
+    return contains_join(asked, names, "question", "n_name").select("conv_id", "turn", "question", "n_nationkey")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM part), q AS (SELECT conv_id, turn, text || ' of ' || p_type AS question FROM conversations, n JOIN part ON p_partkey = 1 + (conv_id * 31 + turn) % n),
+    w AS (SELECT DISTINCT p_type AS name FROM part UNION SELECT p_brand FROM part UNION SELECT p_name FROM part UNION SELECT 'part ' || p_partkey FROM part)
+    SELECT conv_id, turn, name FROM q JOIN w ON contains(lower(question), lower(name))""")
+def names_in_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[names in a question, both sides large] Names, brands and types of all parts in all turns of conversations."""
+    part = read(spark, sf_dir, "part")
+    n = part.count()
+    asked = read(spark, sf_dir, "conversations").withColumn("p_partkey", 1 + (F.col("conv_id") * 31 + F.col("turn")) % n)
+    asked = asked.join(part.select("p_partkey", "p_type"), "p_partkey").select("conv_id", "turn", F.concat("text", F.lit(" of "), "p_type").alias("question"))
+    said = F.array("p_type", "p_brand", "p_name", F.concat(F.lit("part "), "p_partkey"))
+    return contains_join(asked, part.select(F.explode(said).alias("name")).distinct()).select("conv_id", "turn", "name")
 
 
 def _sql_text(s: str) -> str:

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from loam.operators.containment import contains_join
 from loam.operators import answer, embed, retrieval
 from loam.plans import catalogue, rag
 
@@ -186,3 +187,15 @@ def test_search_asks_for_each_text_once(spark, tmp_path):
     questions = spark.createDataFrame([(1, "what is c3?")], "question_id long, question string")
     assert rag.ask(index, questions, counting(str(tmp_path))).count() == 1
     assert len(list(tmp_path.iterdir())) == 11
+
+
+def test_names_in_texts(spark):
+    texts = [(1, "The TreeNode of a Tree"), (2, "a b"), (3, None), (4, ""), (5, "undefined İstanbul ab"), (1, "tree"), (6, "x" * 50_000 + "needle" + "y" * 50_000)]
+    names = ["Tree", "TreeNode", "a", "AB", "", None, "zzz", "needle", "tree", "ode of a t", "İstanbul"]
+    left, right = spark.createDataFrame(texts, "id long, question string"), spark.createDataFrame([(i, n) for i, n in enumerate(names)], "k long, name string")
+    got = contains_join(left, right)
+    want = sorted((i, k) for i, t in texts if t is not None for k, n in enumerate(names) if (n or ("" if n == "" else "undefined")).lower() in t.lower())
+    assert sorted((r.id, r.k) for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert contains_join(left, right.limit(0)).collect() == [] and contains_join(left.limit(0), right).collect() == []
+    assert contains_join(left, right).columns == ["id", "question", "k", "name"]
