@@ -2,8 +2,8 @@
 
 A value that follows a credential word and a separator is cut into words, dates, repeats, walks and brute-force spans so
 that the sum of their guess costs (log10 of guesses) is least; a value that is still dear is a secret, whatever
-characters it has. Words come from a fixed list of passwords, from the vocabulary of a public tokenizer, whose ids rank
-them, and from the running text of the corpus itself.
+characters it has. Words come from a fixed list of passwords, from the whole words of two public vocabularies, whose ids
+rank them, and from the running text of the corpus itself, but for words that are a credential's value somewhere.
 """
 
 from __future__ import annotations
@@ -55,28 +55,36 @@ september october november december monday tuesday friday sunday the and you you
 false string value token key""".split()
 #: Words that the corpus gives at most, how often one stands there at least, and letters of a word of either vocabulary.
 CORPUS_WORDS, LEAST_COUNT, LETTERS = 20_000, 3, (4, 24)
-#: The most that a word costs: a value of four words or fewer counts as text, not as a secret.
-WORD_COST = 2.4
+#: What the last word of a list costs, those before it less by the logarithm of their ranks, and what a separator between
+#: two letters costs: a value of four words or fewer counts as text, not as a secret, run together or not.
+WORD_COST, SEPARATOR, SEPARATORS = 2.4, 0.1, "-_.+/,"
 #: Words in running text, between two others: what stands behind a colon or an equals sign is no word of a vocabulary.
+_GIVEN = r"""(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|key)["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([A-Za-z]+)"""
 _RUNNING = rf"(?<=\p{{L}} )\p{{Ll}}{{{LETTERS[0]},{LETTERS[1]}}}(?= \p{{L}})"
 
 
 def vocabulary(path: str) -> list[str]:
-    """Words of a byte-level tokenizer file that begin with a space, lower-cased, in the order of their ids."""
+    """The words of a tokenizer file in the order of their ids, lower-cased: what begins with a space in a byte-level one,
+    and what ends a word in one with word ends."""
     with open(path, encoding="utf-8") as f:
         ranks = json.load(f)["model"]["vocab"]
-    words = ((i, t[1:].lower()) for t, i in ranks.items() if t[:1] == "\u0120" and t[1:].isascii() and t[1:].isalpha())
+    ends = any(t.endswith("</w>") for t in ranks)
+    bare = lambda t: (t[:-4] if t.endswith("</w>") else "") if ends else (t[1:] if t[:1] == "\u0120" else "")
+    words = ((i, w.lower()) for t, i in ranks.items() if (w := bare(t)).isascii() and w.isalpha())
     return list(dict.fromkeys(w for _, w in sorted(words) if LETTERS[0] <= len(w) <= LETTERS[1]))
 
 
 def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_COUNT) -> list[str]:
-    """The most frequent words of running text in all documents, the commonest first: at most `most`.
+    """The most frequent words of running text in all documents, the commonest first: at most `most`. A word that is the
+    value of a credential in any text is none of them, however often it stands elsewhere.
 
     Counts are classed (eight classes for each doubling) and the classes counted; whole classes are taken from the top as
     long as they fit, so nothing but the words themselves comes to the driver.
     """
     every = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_RUNNING), F.lit(0))).alias("word"))
+    given = docs.where(F.col("text").rlike(_MAYBE_ASSIGN)).select(F.explode(F.regexp_extract_all("text", F.lit(_GIVEN), F.lit(1))).alias("word"))
     counts = every.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counts = counts.join(given.select(F.lower("word").alias("word")).distinct(), "word", "left_anti")
     counts = materialize(counts.withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "words")
     floor, left = None, most
     for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # eight rows a doubling
@@ -89,13 +97,14 @@ def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_C
 
 
 class Lexicon:
-    """Costs of words: log10 of the rank in the list where it is commonest, at most WORD_COST."""
+    """Costs of words: log10 of the rank in the list where it is cheapest; a long list's are scaled to end at WORD_COST."""
 
     def __init__(self, *lists: list[str]):
         self.costs: dict[str, float] = {}
         for words in lists:
+            scale = min(1.0, WORD_COST / math.log10(len(words) + 1)) if words else 1.0
             for rank, w in enumerate(words, 1):
-                cost = min(math.log10(rank + 1), WORD_COST)
+                cost = scale * math.log10(rank + 1)
                 if cost < self.costs.get(w, math.inf):
                     self.costs[w] = cost
         self._finder = None
@@ -113,15 +122,30 @@ class Lexicon:
         return [(end + 1, end + 1 - n, cost) for end, (n, cost) in self._finder.iter(text)] if self.costs else []
 
 
+#: Files of the two vocabularies.
+VOCABULARIES = ("byte_bpe_50k.json", "word_bpe_49k.json")
+
+
+#: Letters up to which a word has to stand in every vocabulary: short entries of one alone are mostly pieces of words.
+SHORT = 4
+
+
+@functools.lru_cache(4)
+def _fixed(paths: tuple[str, ...]) -> list[list[str]]:
+    found = list(map(vocabulary, paths or map(tokenizer_path, VOCABULARIES)))
+    every = set.intersection(*map(set, found))
+    return [WORDS, *([w for w in words if len(w) > SHORT or w in every] for words in found)]
+
+
 @functools.lru_cache(4)
-def common_words(path: str | None = None) -> Lexicon:
-    """The lexicon of the fixed list and of a tokenizer's vocabulary."""
-    return Lexicon(WORDS, vocabulary(path or tokenizer_path("byte_bpe_50k.json")))
+def common_words(*paths: str) -> Lexicon:
+    """The lexicon of the fixed list and of tokenizers' vocabularies (VOCABULARIES if none is named)."""
+    return Lexicon(*_fixed(paths))
 
 
-def lexicon(docs: DataFrame, path: str | None = None) -> Lexicon:
-    """The lexicon of the fixed list, a tokenizer's vocabulary, and the running text of all documents."""
-    return Lexicon(WORDS, vocabulary(path or tokenizer_path("byte_bpe_50k.json")), corpus_words(docs))
+def lexicon(docs: DataFrame, *paths: str) -> Lexicon:
+    """The lexicon of the fixed list, the vocabularies, and the running text of all documents."""
+    return Lexicon(*_fixed(paths), corpus_words(docs))
 
 
 # ---------------------------------------------------------------- guess costs
@@ -135,6 +159,7 @@ for _r, _row in enumerate(ROWS):
     for _x, _c in enumerate(_row):
         _PLACE[ord(_c)] = _r, _x + 0.5 * (_r > 1) + 0.5 * (_r > 0)
 _DATE = re.compile(r"(?=((?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\3(?:19|20)?\d\d|(?:19|20)\d\d))")
+_SEPARATES = np.array([ord(c) for c in SEPARATORS])
 #: Characters of the longest part that a repeat is made of.
 LONGEST_PART = 16
 #: Where a walk begins, a step that goes on as the one before or turns, a change of case, letters written over, the year alone and a whole date.
@@ -185,7 +210,7 @@ def guess_cost(value: str, words: Lexicon | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value.
 
     best[j] = min over segments i..j of best[i] + cost: a word (its rank, more for capitals and for letters written
-    over), a date, a repeat (cost of the part, times how often), a walk of three keys or more (where it begins, and each
+    over), a separator between letters, a date, a repeat (cost of the part, times how often), a walk of three keys or more (where it begins, and each
     step), or one character by brute force. Time and memory are linear in the value, whatever it holds.
     """
     n = len(value)
@@ -200,6 +225,8 @@ def guess_cost(value: str, words: Lexicon | None = None) -> float:
     capital, written = (np.concatenate(([0], np.cumsum(x))).tolist() for x in (code != small, small != read))
     digit, letter = (code >= 48) & (code <= 57), (small >= 97) & (small <= 122)
     brute = np.where(digit, 1.0, np.where(letter, math.log10(26), np.where(code < 128, math.log10(33), 2.0)))
+    if n > 2:  # between two letters
+        brute[1:-1][np.isin(code[1:-1], _SEPARATES) & letter[:-2] & letter[2:]] = SEPARATOR
     step = _steps(small)
     turned = (code != small)[1:] != (code != small)[:-1]
     step = (step + CASE * turned).tolist()
