@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.js import capitalised, first_match, first_seen, in_order
-from loam.sources.stores import kept
+from loam.sources.stores import kept, written
 from loam.syntax.nodes import component_name
 
 #: Imported names that are no dependencies.
@@ -60,7 +60,9 @@ def records(nodes: DataFrame) -> DataFrame:
 
 def loose_records(nodes: DataFrame) -> DataFrame:
     """The looser rules: dependencies without names in I, state by the word alone, functions by statements with =>,
-    each by its first declared name."""
+    each by its first declared name. The nodes are read three times, so those of a lazy table are written first."""
+    wanted = F.col("kind").isin("SourceFile", "VariableStatement", "VariableDeclaration", "ImportSpecifier", "JsxOpening", "JsxSelfClosing")
+    nodes = written(nodes.where(wanted), "loose")
     statement = nodes.where("kind = 'VariableStatement'").where(F.contains(F.col("text"), F.lit("=>"))).select("file", F.col("node_id").alias("statement_id"), "text")
     declared = nodes.where("kind = 'VariableDeclaration'").select("file", F.col("parent_id").alias("statement_id"), "node_id", "name")
     fns = statement.join(declared, ["file", "statement_id"]).groupBy("file", "statement_id").agg(first_match(F.col("name"), F.col("node_id")).alias("name"), F.first("text").alias("code"))

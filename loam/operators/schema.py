@@ -39,9 +39,12 @@ def repeats_interface(content: Column) -> Column:
     return F.size(names) != F.size(F.array_distinct(names))
 
 
+_HEADS = r"extends\s+[^{]+"
+
+
 def without_heads(content: Column) -> Column:
     """Takes out `extends ...` up to the brace."""
-    return F.regexp_replace(content, r"extends\s+[^{]+", "")
+    return F.regexp_replace(content, _HEADS, "")
 
 
 _DECLARED = re.compile(r"export interface (\w+)(?:(\s+extends\s+)(\w+)(?=\s*\{))?")
@@ -88,10 +91,7 @@ def cleaned(files: DataFrame, content: str = "content") -> DataFrame:
 def nodes_or_retry(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
     """The node table of files; one that can't be parsed is tried again without its `extends` heads, and is left out
     with its Error row if that fails too."""
-    first = ts_nodes(files, path, content)
-    failed = first.where("kind = 'Error'").select(F.col("file").alias(path))
-    again = ts_nodes(files.join(failed, path, "left_semi").withColumn(content, without_heads(F.col(content))), path, content)
-    return first.where("kind <> 'Error'").unionByName(again)
+    return ts_nodes(files, path, content, without=_HEADS)
 
 
 # ---------------------------------------------------------------- schema documents

@@ -128,6 +128,17 @@ def table_function_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT p_partkey AS k, n.kind, cast(count(*) AS int) AS n FROM {source}, LATERAL ts_nodes('f.tsx', content) n GROUP BY ALL", source=source)
 
 
+@query("""SELECT p_partkey % 10 AS part, kind, count(*) AS n FROM part, (VALUES ('FunctionDeclaration'), ('JsxSelfClosing'), ('SourceFile'), ('VariableDeclaration')) v(kind) GROUP BY ALL
+    UNION ALL SELECT p_partkey % 10, 'ImportSpecifier', sum(p_size % 3 + 1)::BIGINT FROM part GROUP BY ALL""")
+def table_argument_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[the SQL table function over a table] Nodes of each kind, from a table that goes through in Arrow batches."""
+    register(spark)
+    names = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 3), lambda i: F.concat(F.lit("N"), i)), ", ")
+    text = F.concat(F.lit("import { "), names, filled(F.lit(' } from "./n";\nfunction F{k}() { for (const x of {z}) { } return <G{k} />; }')))
+    source = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 10, F.lit("/"), "p_partkey", F.lit(".tsx")).alias("file_path"), text.alias("content"))
+    return spark.sql("SELECT cast(regexp_extract(file, '^p([0-9])/', 1) AS bigint) AS part, kind, count(*) AS n FROM ts_nodes_of(TABLE({source}) PARTITION BY file_path) GROUP BY ALL", source=source)
+
+
 _OWN = ("export const V{k}: React.FC<Props> = ({ a }) => <i />;\n", "interface Props { a{z}: string; b?: number }\n", 'import { Props } from "./types";\n', 'import { Given as Props } from "../shared/{k}";\n', "")
 
 
