@@ -471,3 +471,15 @@ def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         arriving = streams.arriving_files(spark, root).where(~F.col("file_path").rlike("/(dist|node_modules|__pycache__)/"))
         streams.keep_latest(arriving, f"{out}/table", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/table").select("component", "file_name", "content")
+
+
+@query(_SCAN + " SELECT comp AS component, name AS file_name, CASE WHEN name = 'N1.tsx' THEN 'Later' ELSE 'Leaf' || n END AS tags FROM f WHERE ext = '.tsx'")
+def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[records that follow their files] Components of files that arrive; the query is started again when one has changed."""
+    root, out = _folder(spark, sf_dir), _new_folder(spark, "records")
+    for again in (False, True):
+        if again:
+            folders.save_documents(spark.createDataFrame([("new/components/N1/N1.tsx", "const N1 = () => <Later />;")], "path string, document string"), root)
+        arriving = streams.arriving_files(spark, root, "tsx").where(~F.col("file_path").rlike("/(dist|node_modules|__pycache__)/"))
+        streams.keep_latest(arriving, f"{out}/table", f"{out}/state", make=streams.component_rows).awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("component", "file_name", js.joined(F.col("jsxUsage"), ",").alias("tags"))
