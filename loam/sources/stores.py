@@ -85,12 +85,17 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: dict[str, list[str]] = {}
 
 
+def kept_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which remove_kept() removes with the tables."""
+    path = f"{shared_dir(spark)}/loam-{tag}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: what is dear to make is made once, however often it is read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loam-{tag}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, kept_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,23 @@ def test_queries_in_blocks(spark, monkeypatch):
     q = spark.range(9).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), "id", F.lit(" v"), "id").alias("text"))
     whole = sorted(map(tuple, retrieval.keyword_top(c, q, 4).collect()))
     monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
-    assert sorted(map(tuple, retrieval.keyword_top(c, q, 4).collect())) == whole
+    monkeypatch.setattr(retrieval, "GATHERED", 20)
+    for kept in (0, 10):
+        monkeypatch.setattr(retrieval, "KEPT_BLOCKS", kept)
+        assert sorted(map(tuple, retrieval.keyword_top(c, q, 4).collect())) == whole
+        plan = retrieval.keyword_top(c, q, 4)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    assert retrieval.keyword_top(c, q.limit(0), 4).collect() == [] and retrieval.keyword_top(c.limit(0), q, 4).collect() == []
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4 if i % 9 else 3).tolist() if i % 31 else None, "component" if i % 2 else "chunk", f"n{i % 7}") for i in range(200)]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind string, name string").withColumn("question", F.concat(F.lit("what of n"), F.col("vec_id") % 5))
+    ask = lambda: sorted(map(str, retrieval.vector_top(items, items.where("vec_id % 4 = 0"), 6, kind="kind", name="name", question="question").collect()))
+    whole = ask()
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 7)
+    assert ask() == whole and len(whole) == 50 * 6
 
 
 def test_vectors(spark):
