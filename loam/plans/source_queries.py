@@ -436,7 +436,7 @@ def component_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark, sf_dir)
     found = files.scan(spark, root, "tsx")
     records = extract.records(ts_nodes(found))
-    below = F.substring("file", len(root.removeprefix("file:").replace("//", "/")) + 2, 1 << 20)
+    below = F.substring("file", len(files.plain_path(root)) + 2, 1 << 20)
     folders.save_documents(records.select(F.regexp_replace(below, "[.]tsx$", ".full.json").alias("path"), F.to_json(F.struct(*records.columns)).alias("document")), root)
     written = files.scan(spark, root, "full").where("content <> '{}'").withColumn("held", F.from_json("content", "jsxUsage array<string>"))
     return written.select("component", F.regexp_extract("file_path", "(components/.*)$", 1).alias("path"), F.to_json("held.jsxUsage").alias("tags"))
