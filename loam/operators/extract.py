@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.js import capitalised, first_match, first_seen, in_order
+from loam.operators import scopes
 from loam.sources.stores import kept, written
 from loam.syntax.nodes import component_name
 
@@ -118,39 +119,24 @@ def front_ends(nodes: DataFrame) -> DataFrame:
     return found.select(F.explode(each).alias("e"), "component", "file").select("e.parser", "component", F.col("e.i").alias("propsInterface"), "file")
 
 
-def module_paths(file: Column, module: Column) -> Column:
-    """Where a relative module may be: its path from the importing file's folder with each ending that a file may have; an
-    empty list for a package."""
-    parts = F.filter(F.split(F.concat(F.regexp_replace(file, "[^/]*$", ""), module), "/"), lambda p: p != ".")
-    empty = F.array().cast("array<string>")
-    path = F.array_join(F.aggregate(parts, empty, lambda seen, p: F.when((p == "..") & (F.size(seen) > 0), F.slice(seen, 1, F.size(seen) - 1)).otherwise(F.array_append(seen, p))), "/")
-    every = F.array(*(F.concat(path, F.lit(end)) for end in ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx")))
-    return F.when(F.startswith(module, F.lit(".")), every).otherwise(empty)
-
-
 def documented_components(nodes: DataFrame) -> DataFrame:
     """parser, componentName, doc, file of every component function at the top of a file; doc is JSON of its name and props.
 
-    Props are the members of the interface that its text names as React.FC<...> or as the type of its parameter: the one
-    of its own file, else the one that the file imports under that name from a relative module. An interface of another
-    file that is not imported does not count; without one there are no props.
+    Props are the members, own and inherited, of the interface that its text names as React.FC<...> or as the type of its
+    parameter, as that name is meant in its file: declared there, or imported from wherever it is declared. An interface of
+    another file that is not imported does not count; without one there are no props.
     """
     is_one = (F.col("kind") == "FunctionDeclaration") | (F.col("kind") == "VariableDeclaration") & F.col("init_kind").isin("ArrowFunction", "FunctionExpression")
     head = F.substring_index(F.coalesce("statement", "text"), "=>", 1)
     named = F.coalesce(F.nullif(F.regexp_extract(head, r"FC\s*<\s*(\w+)", 1), F.lit("")), F.regexp_extract(head, r"[)}\w]\s*:\s*(\w*Props)\b", 1))
-    nodes = kept(nodes.where(is_one & capitalised(F.col("name")) | F.col("kind").isin("PropertySignature", "ImportSpecifier")).select(
-        "file", "node_id", "kind", "name", "owner", "type", "optional", "doc", "imported", "module", F.when(is_one, named).alias("wants"),
-    ), "documented")
-    own = nodes.where("wants is not null").select("file", "node_id", "name", "wants")
-    members = nodes.where("kind = 'PropertySignature'").groupBy(F.col("file").alias("_file"), F.col("owner").alias("_owner")).agg(in_order(F.struct("name", "type", "optional", "doc"), F.col("node_id")).alias("props"))
-    imports = nodes.where("kind = 'ImportSpecifier'").select(F.col("file").alias("_by"), F.col("name").alias("_as"), F.col("imported").alias("_name"), F.posexplode(module_paths(F.col("file"), F.col("module"))).alias("_rank", "_from"))
-    there = members.select("_file", "_owner")
-    brought = imports.join(there, (F.col("_from") == F.col("_file")) & (F.col("_name") == F.col("_owner"))).groupBy("_by", "_as").agg(F.min_by(F.struct("_file", "_owner"), "_rank").alias("at"))
-    at = own.join(there, (F.col("file") == F.col("_file")) & (F.col("wants") == F.col("_owner")), "left").join(brought, (F.col("file") == F.col("_by")) & (F.col("wants") == F.col("_as")), "left")
-    at = at.select("file", "node_id", "name", F.coalesce("_file", "at._file").alias("in_file"), F.coalesce("_owner", "at._owner").alias("in_owner"))
-    held = at.join(members, (F.col("in_file") == F.col("_file")) & (F.col("in_owner") == F.col("_owner")), "left")
+    shown = is_one & capitalised(F.col("name"))
+    held = scopes.symbols(nodes, shown, wants=F.when(shown, named))
+    names = scopes.scope(held)
+    own = held.where("wants is not null").select("file", "node_id", "name", "wants")
+    props = scopes.properties(held, names).groupBy(F.col("file").alias("to_file"), F.col("owner").alias("to_name")).agg(in_order(F.struct("name", F.col("said").alias("type"), "optional", "doc"), F.col("place")).alias("props"))
+    at = own.join(names.withColumnRenamed("name", "wants"), ["file", "wants"], "left").join(props, ["to_file", "to_name"], "left")
     doc = F.to_json(F.struct(F.col("name").alias("displayName"), "props"))
-    return held.select(F.lit("docgen").alias("parser"), F.col("name").alias("componentName"), doc.alias("doc"), "file", "node_id")
+    return at.select(F.lit("docgen").alias("parser"), F.col("name").alias("componentName"), doc.alias("doc"), "file", "node_id")
 
 
 def interfaces(nodes: DataFrame) -> DataFrame:

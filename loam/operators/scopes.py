@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.operators.extract import module_paths
 from loam.operators.schema import type_targets, type_tree
 from loam.sources.stores import kept
 
@@ -26,12 +25,23 @@ def _key(file: str | Column, name: str | Column) -> Column:
     return F.concat_ws(_BETWEEN, file, name)
 
 
-def symbols(nodes: DataFrame) -> DataFrame:
-    """What scopes, members and trees need of the node table, written once: sources are parsed a single time."""
+def symbols(nodes: DataFrame, also: Column | None = None, **more: Column) -> DataFrame:
+    """What scopes, members and trees need of the node table, written once: sources are parsed a single time. also: other
+    nodes to keep; more: other columns."""
     shown = F.when(F.col("kind").isin(*_DECLARED), F.col("text").rlike(r"^export\b"))
     default = F.when(F.col("kind").isin(*_DECLARED), F.col("text").rlike(r"^export\s+default\b"))
     wanted = F.col("kind").isin("SourceFile", "PropertySignature", *_DECLARED, *_BROUGHT, *_SHOWN)
-    return kept(nodes.where(wanted).select("file", "node_id", "kind", "name", "owner", "type", "optional", "doc", "extends", "imported", "module", "top", shown.alias("shown"), default.alias("default")), "symbols")
+    return kept(nodes.where(wanted | also if also is not None else wanted).select("file", "node_id", "kind", "name", "owner", "type", "optional", "doc", "extends", "imported", "module", "top", shown.alias("shown"), default.alias("default"), *(c.alias(n) for n, c in more.items())), "symbols")
+
+
+def module_paths(file: Column, module: Column) -> Column:
+    """Where a relative module may be: its path from the importing file's folder with each ending that a file may have; an
+    empty list for a package."""
+    parts = F.filter(F.split(F.concat(F.regexp_replace(file, "[^/]*$", ""), module), "/"), lambda p: p != ".")
+    empty = F.array().cast("array<string>")
+    path = F.array_join(F.aggregate(parts, empty, lambda seen, p: F.when((p == "..") & (F.size(seen) > 0), F.slice(seen, 1, F.size(seen) - 1)).otherwise(F.array_append(seen, p))), "/")
+    every = F.array(*(F.concat(path, F.lit(end)) for end in ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx")))
+    return F.when(F.startswith(module, F.lit(".")), every).otherwise(empty)
 
 
 def declared(held: DataFrame) -> DataFrame:

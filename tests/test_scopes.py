@@ -2,7 +2,7 @@
 
 import uuid
 
-from loam.operators import scopes
+from loam.operators import extract, scopes
 from loam.syntax.nodes import ts_nodes
 
 FILES = [
@@ -62,3 +62,10 @@ def test_each_file_is_read_once(spark, tmp_path):
     files = spark.createDataFrame(FILES, "file_path string, content string").mapInArrow(counted, "file_path string, content string")
     scopes.trees(scopes.symbols(ts_nodes(files))).collect()
     assert len(list(tmp_path.iterdir())) == len(FILES)
+
+
+def test_props_through_barrels_and_heads(spark):
+    files = [*FILES, ("v.tsx", 'import { Far as P } from "./i1";\nexport const View: React.FC<P> = () => <i />;\nexport const Bare = (x: Props) => <i />;'), ("w.tsx", 'import { Props } from "./b.types";\nfunction Wide({ y }: Props) { return <i />; }')]
+    got = {r.componentName: r.doc for r in extract.documented_components(ts_nodes(spark.createDataFrame(files, "file_path string, content string"))).collect()}
+    assert '"name":"n"' in got["View"] and '"name":"up"' in got["View"] and got["Bare"] == '{"displayName":"Bare"}'
+    assert [p in got["Wide"] for p in ('"name":"y"', '"name":"n"', '"name":"up"', '"name":"x"')] == [True, True, True, False]
