@@ -97,11 +97,14 @@ def exported(held: DataFrame, wanted: DataFrame | None = None, at: DataFrame | N
 def scope(held: DataFrame) -> DataFrame:
     """file, name, to_file, to_name: what each type name that a file declares or imports means; imports that can't be
     resolved (packages, absent or ambiguous names) have no row. A file's own declaration hides an import of its name."""
-    own, at = declared(held), kept(modules(held), "modules")
+    own = declared(held)
+    mine = own.select("file", "name", F.col("file").alias("to_file"), F.col("name").alias("to_name"))
+    if not held.where(F.col("kind").isin(*_BROUGHT)).limit(1).count():
+        return kept(mine, "scope")
+    at = kept(modules(held), "modules")
     brought = held.where(F.col("kind").isin(*_BROUGHT)).join(at, ["file", "module"]).groupBy("file", "name").agg(F.min_by(F.struct("to_file", "imported"), "node_id").alias("b"))
     brought = brought.join(own, ["file", "name"], "left_anti").select("file", "name", F.col("b.to_file").alias("_from"), F.col("b.imported").alias("_as"))
     found = exported(held, at=at).select(F.col("file").alias("_from"), F.col("name").alias("_as"), "to_file", "to_name")
-    mine = own.select("file", "name", F.col("file").alias("to_file"), F.col("name").alias("to_name"))
     return kept(mine.unionByName(brought.join(found, ["_from", "_as"]).select("file", "name", "to_file", "to_name")), "scope")
 
 
