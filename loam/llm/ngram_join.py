@@ -44,6 +44,8 @@ HEAVY, CHEAP = 32, 3
 BUCKET_ROWS, BATCH_ROWS, BLOCK, BLOCK_SHINGLES = 600_000, 1_000_000, 1024, 1_000_000
 #: Buckets of entries, and of entries of sets without a guarantee, at least.
 BUCKETS, CLUSTER_BUCKETS = 64, 24
+#: Slots by which shingles of sets without a guarantee are counted, as a power of two, at most; slots that are added up together.
+MOST_SLOTS, COUNT_SLICE = 20, 1 << 16
 #: Candidate sets up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds their texts.
 BROADCAST_IDS = 500_000
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -398,12 +400,53 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int, fill: tuple[float, float]) -> DataFrame:
-    """node, component: connected components of sets that share an index entry, whatever its weight.
+def _counts(sets: DataFrame, slots: int) -> np.ndarray:
+    """How many of the sets' shingles fall in each of `slots` slots, a power of two; added up slice by slice."""
+    part = min(slots, COUNT_SLICE)
 
-    A batch joins its own sets by itself and gives an edge a set; only one set for each of its entries goes on, packed,
-    to the entry's bucket. So what meets there of the most frequent entry are as many sets as there are batches.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, np.int64)
+        for batch in batches:
+            for s in batch.column("shingles"):
+                np.add.at(n, _slots(np.frombuffer(s.as_buffer(), np.uint64), slots), 1)
+        some = np.flatnonzero(n.reshape(-1, part).any(1))
+        blobs = [n[k * part : (k + 1) * part].tobytes() for k in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["slice", "blob"])
+
+    def add(t: pa.Table) -> pa.Table:
+        n = np.zeros(part, np.int64)
+        for blob in (b for chunk in t.column("blob").chunks for b in chunk):
+            n += np.frombuffer(blob.as_buffer(), np.int64)
+        return pa.table([t.column("slice").slice(0, 1).combine_chunks(), pa.array([n.tobytes()], pa.binary())], names=["slice", "blob"])
+
+    out = np.zeros(slots, np.int64)
+    for row in sets.select("shingles").mapInArrow(count, "slice int, blob binary").groupBy("slice").applyInArrow(add, "slice int, blob binary").collect():
+        out[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(row["blob"], np.int64)
+    return out
+
+
+def _slots(s: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(s ^ _SEED) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def rarest(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """So many of a set's shingles, the rarest ones by `counts`, that every similar set has one of them among its own.
+
+    Similar sets share num/den of the larger one at least, and shingles have one order for all sets; what `counts` says
+    decides how large clusters become, not what is found.
+    """
+    most = len(s) + (-num * len(s)) // den + 1
+    return s[np.lexsort((s, counts[_slots(s, len(counts))]))[:most]]
+
+
+def _clusters(sets: DataFrame, num: int, den: int, buckets: int, slots: int) -> DataFrame:
+    """node, component: connected components of sets that have one of their rarest shingles in common.
+
+    What many sets have beside other things, as a common passage, joins none of them. A batch joins its own sets by
+    itself and gives an edge a set; only one set for each of its shingles goes on, packed, to the shingle's bucket. So
+    what meets there of the most frequent one are as many sets as there are batches.
     """
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets, slots))
 
     def joined(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
         root: dict[int, int] = {}
@@ -432,7 +475,7 @@ def _clusters(sets: DataFrame, num: int, den: int, seed: int, buckets: int, fill
             own = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")]
             if not own:
                 continue
-            own = [index_entries(s, schemes(s, num, den, fill), seed)[0] for s in own]
+            own = [rarest(s, counts.value, num, den) for s in own]
             entry, first, root = hubs(np.concatenate(own), np.repeat(np.array(batch.column("node").to_pylist(), np.int64), [len(o) for o in own]))
             if root:
                 ends = np.array(list(root.items()), np.int64)
@@ -594,7 +637,8 @@ def _linked(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, heav
     bulk = bare.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     more = None
     if bulk:
-        clustered = _clusters(sets.join(bare.select("node"), "node", "left_semi"), num, den, seed, max(CLUSTER_BUCKETS, -(-int(0.6 * bulk) // BUCKET_ROWS)), fill)
+        slots = 1 << min(MOST_SLOTS, max(8, int(bulk).bit_length()))
+        clustered = _clusters(sets.join(bare.select("node"), "node", "left_semi"), num, den, max(CLUSTER_BUCKETS, -(-int(0.6 * bulk) // BUCKET_ROWS)), slots)
         spare.append(clustered)
         release_shuffles(docs.sparkSession)
         more = materialize(_cluster_links(clustered.withColumnRenamed("component", "cluster").join(bare, "node"), sets, num, den), "links")

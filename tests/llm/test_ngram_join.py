@@ -202,3 +202,25 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
     left = {(r.doc_id, r.text) for r in got.collect()}
     assert {(1, rows[2][1]), (3, None), (None, text)} <= left and (2, text) not in left and len(left) == 4
     assert all({r[n][0] for n in names} == {v} for r in got.collect() for i, t, v in rows if (i, t) == (r.doc_id, r.text))
+
+
+def test_a_common_passage_joins_no_clusters(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = words(rng, 40, 3000)
+    texts = [f"{words(rng, 160, 3000)} {passage}" for _ in range(8)]
+    rows = [(100 * g + k, f"{t} copy{k}") for g, t in enumerate(texts) for k in range(6)]
+    seen = []
+    meet = ngram_join._cluster_links
+
+    def told(members, sets, num, den):
+        seen.extend((m.cluster, m.node) for m in members.collect())
+        return meet(members, sets, num, den)
+
+    monkeypatch.setattr(ngram_join, "_cluster_links", told)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), heavy=2).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute(rows)
+    assert {r.n_links for r in got} == {5}
+    many = {}
+    for cluster, node in seen:
+        many.setdefault(cluster, set()).add(node)
+    assert sorted(map(len, many.values())) == [6] * 8
