@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loam.functions.js import in_order, once
-from loam.functions.spread import spread
+from loam.functions.spread import shuffled, spread
+from loam.sources.stores import kept
 from loam.syntax.nodes import ts_nodes
 from loam.syntax.parser import Node, SyntaxProblem, nodes_of
 
@@ -356,24 +358,26 @@ def type_tree(spark: SparkSession, edges: DataFrame, max_depth: int = 4, skip: t
     edges: owner, name, said (its type as text), target (an owner or null); a property with several targets, as a union
     has, stands in several rows and is followed into each at the same depth. A property is not followed at `max_depth`,
     into a type that is already on its path, or into one on the skip list; there its type text stands. Roots are all
-    owners, or those of `start` (owner). Edges are read at each level, so what is dear to make should be written first.
+    owners, or those of `start` (owner). Edges are read twice, so what is dear to make should be written first.
+
+    A level is made from the one before it by two equi-joins and written, until one is empty; nothing limits its rows.
     """
     props = edges.select("owner", "name", "said").distinct()
     links = edges.where("target is not null").select("owner", "name", "target").distinct()
     links = links.where(~F.col("target").isin(*skip)) if skip else links
-    first = props if start is None else props.join(start, "owner", "left_semi")
-    return spark.sql(
-        f"""WITH RECURSIVE reached(root, path, seen, depth, owner, name, said) MAX RECURSION LEVEL {int(max_depth) + 2} AS (
-            SELECT owner, array(name), array(owner), 1, owner, name, said FROM {{first}}
-            UNION ALL
-            SELECT r.root, array_append(r.path, e.name), array_append(r.seen, e.owner), r.depth + 1, e.owner, e.name, e.said
-            FROM reached r JOIN {{links}} l ON l.owner = r.owner AND l.name = r.name JOIN {{props}} e ON e.owner = l.target
-            WHERE r.depth <= {int(max_depth)} AND NOT array_contains(r.seen, l.target)
-        ) SELECT root, array_join(path, '.') AS path, depth, name, said FROM reached""",
-        first=first,
-        props=props,
-        links=links,
-    )
+    props, links = kept(props, "tree-props"), kept(links, "tree-links")
+    first = props if start is None else kept(props.join(shuffled(start), "owner", "left_semi"), "tree")
+    level = first.select(F.col("owner").alias("root"), F.array("name").alias("path"), F.array("owner").alias("seen"), "owner", "name", "said")
+    step, reached = props.select(F.col("owner").alias("target"), F.col("name").alias("_name"), F.col("said").alias("_said")), []
+    for depth in range(1, max_depth + 2):
+        reached.append(level.select("root", F.array_join("path", ".").alias("path"), F.lit(depth).alias("depth"), "name", "said"))
+        if depth > max_depth:
+            break
+        onward = level.select("root", "path", "seen", "owner", "name").join(shuffled(links), ["owner", "name"]).where(~F.array_contains("seen", F.col("target")))
+        level = kept(onward.join(shuffled(step), "target").select("root", F.array_append("path", F.col("_name")).alias("path"), F.array_append("seen", F.col("target")).alias("seen"), F.col("target").alias("owner"), F.col("_name").alias("name"), F.col("_said").alias("said")), "tree")
+        if not level.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, reached)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

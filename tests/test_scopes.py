@@ -2,7 +2,10 @@
 
 import uuid
 
+import pytest
+
 from loam.operators import extract, scopes
+from loam.plans import catalogue
 from loam.syntax.nodes import ts_nodes
 
 FILES = [
@@ -69,3 +72,13 @@ def test_props_through_barrels_and_heads(spark):
     got = {r.componentName: r.doc for r in extract.documented_components(ts_nodes(spark.createDataFrame(files, "file_path string, content string"))).collect()}
     assert '"name":"n"' in got["View"] and '"name":"up"' in got["View"] and got["Bare"] == '{"displayName":"Bare"}'
     assert [p in got["Wide"] for p in ('"name":"y"', '"name":"n"', '"name":"up"', '"name":"x"')] == [True, True, True, False]
+
+
+@pytest.mark.parametrize(("query", "rows"), [("interface_trees", 3200)])
+def test_trees_know_no_limit_of_rows(spark, query, rows):
+    limit = "spark.sql.cteRecursionRowLimit"  # a million by default: no query may hang on it
+    spark.conf.set(limit, "20")
+    try:
+        assert catalogue.QUERIES[query](spark, "/root/testdata/sf0.001").count() == rows
+    finally:
+        spark.conf.unset(limit)
