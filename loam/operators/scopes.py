@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loam.functions.spread import shuffled
 from loam.operators.schema import type_targets, type_tree
 from loam.sources.stores import kept
 
@@ -54,7 +55,7 @@ def modules(held: DataFrame) -> DataFrame:
     asked = held.where("module is not null").select("file", "module").distinct()
     tried = asked.select("file", "module", F.posexplode(module_paths(F.col("file"), F.col("module"))).alias("rank", "to_file"))
     there = held.where("kind = 'SourceFile'").select(F.col("file").alias("to_file"))
-    return tried.join(there, "to_file").groupBy("file", "module").agg(F.min_by("to_file", "rank").alias("to_file"))
+    return tried.join(shuffled(there), "to_file").groupBy("file", "module").agg(F.min_by("to_file", "rank").alias("to_file"))
 
 
 def exported(held: DataFrame, wanted: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
@@ -66,26 +67,26 @@ def exported(held: DataFrame, wanted: DataFrame | None = None, at: DataFrame | N
     """
     at = modules(held) if at is None else at
     own = declared(held)
-    brought = held.where(F.col("kind").isin(*_BROUGHT)).join(at, ["file", "module"]).groupBy("file", "name").agg(F.min_by(F.struct("to_file", F.col("imported").alias("to_name")), "node_id").alias("b")).select("file", "name", "b.*")
+    brought = held.where(F.col("kind").isin(*_BROUGHT)).join(shuffled(at), ["file", "module"]).groupBy("file", "name").agg(F.min_by(F.struct("to_file", F.col("imported").alias("to_name")), "node_id").alias("b")).select("file", "name", "b.*")
     shown = held.where("shown and top").select("file", F.when(F.col("default"), F.lit("default")).otherwise(F.col("name")).alias("name"), F.lit(True).alias("done"), F.col("file").alias("to_file"), F.col("name").alias("to_name")).distinct()
     said = held.where("kind in ('ExportSpecifier', 'ExportAssignment')").select("file", "name", F.col("imported").alias("local"), "module")
-    local = said.where("module is null").join(own.select("file", F.col("name").alias("local"), F.lit(True).alias("here")), ["file", "local"], "left")
+    local = said.where("module is null").join(shuffled(own.select("file", F.col("name").alias("local"), F.lit(True).alias("here"))), ["file", "local"], "left")
     here = local.where("here").select("file", "name", F.lit(True).alias("done"), F.col("file").alias("to_file"), F.col("local").alias("to_name"))
-    passed = local.where("here is null").join(brought.withColumnRenamed("name", "local"), ["file", "local"]).select("file", "name", F.lit(False).alias("done"), "to_file", "to_name")
-    onward = said.where("module is not null").join(at, ["file", "module"]).select("file", "name", F.lit(False).alias("done"), "to_file", F.col("local").alias("to_name"))
+    passed = local.where("here is null").join(shuffled(brought.withColumnRenamed("name", "local")), ["file", "local"]).select("file", "name", F.lit(False).alias("done"), "to_file", "to_name")
+    onward = said.where("module is not null").join(shuffled(at), ["file", "module"]).select("file", "name", F.lit(False).alias("done"), "to_file", F.col("local").alias("to_name"))
     steps = kept(shown.unionByName(here).unionByName(passed).unionByName(onward).distinct(), "exports")
-    stars = held.where("kind = 'ExportStar'").join(at, ["file", "module"]).select(F.col("file").alias("at_file"), F.col("to_file").alias("star")).distinct()
+    stars = held.where("kind = 'ExportStar'").join(shuffled(at), ["file", "module"]).select(F.col("file").alias("at_file"), F.col("to_file").alias("star")).distinct()
 
     wanted = brought.select(F.col("to_file").alias("file"), F.col("to_name").alias("name")) if wanted is None else wanted
     front = wanted.select("file", "name").distinct().select("file", "name", F.col("file").alias("at_file"), F.col("name").alias("at_name"), F.array(_key("file", "name")).alias("seen"))
     found, here = None, steps.select(F.col("file").alias("at_file"), F.col("name").alias("at_name"), "done", "to_file", "to_name")
     while True:
-        met = kept(front.join(here, ["at_file", "at_name"], "left"), "met")
+        met = kept(front.join(shuffled(here), ["at_file", "at_name"], "left"), "met")
         done = met.where("done").select("file", "name", "to_file", "to_name")
         found = done if found is None else found.unionByName(done)
         if not met.where("done is null or not done").limit(1).count():
             break
-        through = met.where("done is null and at_name <> 'default'").join(stars, "at_file").select("file", "name", F.col("star").alias("to_file"), F.col("at_name").alias("to_name"), "seen")
+        through = met.where("done is null and at_name <> 'default'").join(shuffled(stars), "at_file").select("file", "name", F.col("star").alias("to_file"), F.col("at_name").alias("to_name"), "seen")
         onward = met.where("not done").select("file", "name", "to_file", "to_name", "seen").unionByName(through).withColumn("_key", _key("to_file", "to_name"))
         # Of several ways to a key one is enough: what follows is the same.
         onward = onward.where(~F.array_contains("seen", F.col("_key"))).groupBy("file", "name", "to_file", "to_name").agg(F.first(F.array_append("seen", F.col("_key"))).alias("seen"))
@@ -102,10 +103,10 @@ def scope(held: DataFrame) -> DataFrame:
     if not held.where(F.col("kind").isin(*_BROUGHT)).limit(1).count():
         return kept(mine, "scope")
     at = kept(modules(held), "modules")
-    brought = held.where(F.col("kind").isin(*_BROUGHT)).join(at, ["file", "module"]).groupBy("file", "name").agg(F.min_by(F.struct("to_file", "imported"), "node_id").alias("b"))
-    brought = brought.join(own, ["file", "name"], "left_anti").select("file", "name", F.col("b.to_file").alias("_from"), F.col("b.imported").alias("_as"))
+    brought = held.where(F.col("kind").isin(*_BROUGHT)).join(shuffled(at), ["file", "module"]).groupBy("file", "name").agg(F.min_by(F.struct("to_file", "imported"), "node_id").alias("b"))
+    brought = brought.join(shuffled(own), ["file", "name"], "left_anti").select("file", "name", F.col("b.to_file").alias("_from"), F.col("b.imported").alias("_as"))
     found = exported(held, at=at).select(F.col("file").alias("_from"), F.col("name").alias("_as"), "to_file", "to_name")
-    return kept(mine.unionByName(brought.join(found, ["_from", "_as"]).select("file", "name", "to_file", "to_name")), "scope")
+    return kept(mine.unionByName(brought.join(shuffled(found), ["_from", "_as"]).select("file", "name", "to_file", "to_name")), "scope")
 
 
 # ---------------------------------------------------------------- what is inherited
@@ -118,7 +119,7 @@ def heritage(held: DataFrame, names: DataFrame) -> DataFrame:
     parts = F.when(F.col("kind") == "InterfaceDeclaration", F.col("extends")).when(F.col("type").rlike(r"^\s*[\w$]+(\s*&\s*[\w$]+)*\s*$"), F.split("type", "&"))
     heads = held.where("kind in ('InterfaceDeclaration', 'TypeAlias') and top").select("file", "name", "node_id", F.posexplode(parts).alias("at", "head"))
     heads = heads.select("file", "name", (F.col("node_id").cast("long") * 1000 + F.col("at")).alias("ord"), F.regexp_extract("head", r"^\s*([A-Za-z_$][\w$]*)\s*(<.*)?$", 1).alias("head"))
-    return heads.join(names.withColumnRenamed("name", "head"), ["file", "head"]).select("file", "name", "ord", "to_file", "to_name")
+    return heads.join(shuffled(names.withColumnRenamed("name", "head")), ["file", "head"]).select("file", "name", "ord", "to_file", "to_name")
 
 
 def ancestry(held: DataFrame, names: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def ancestry(held: DataFrame, names: DataFrame) -> DataFrame:
     every = None
     while front.limit(1).count():
         every = front if every is None else every.unionByName(front)
-        met = front.join(up, ["at_file", "at_name"]).withColumn("_key", _key("to_file", "to_name")).where(~F.array_contains("seen", F.col("_key")))
+        met = front.join(shuffled(up), ["at_file", "at_name"]).withColumn("_key", _key("to_file", "to_name")).where(~F.array_contains("seen", F.col("_key")))
         best = met.groupBy("file", "name", "to_file", "to_name").agg(F.min(F.struct(F.array_append("way", F.col("ord")).alias("way"), F.array_append("seen", F.col("_key")).alias("seen"))).alias("w"))
         front = kept(best.select("file", "name", "w.way", F.col("to_file").alias("at_file"), F.col("to_name").alias("at_name"), "w.seen"), "ancestry")
     return front.drop("seen") if every is None else every.drop("seen")
@@ -146,9 +147,9 @@ def properties(held: DataFrame, names: DataFrame) -> DataFrame:
     """
     members = held.where("kind = 'PropertySignature'").select(F.col("file").alias("at_file"), F.col("owner").alias("at_name"), "node_id", F.col("name").alias("member"), "type", "optional", "doc")
     own = declared(held)
-    inline = members.join(own.select(F.col("file").alias("at_file"), F.col("name").alias("at_name")), ["at_file", "at_name"], "left_anti")
+    inline = members.join(shuffled(own.select(F.col("file").alias("at_file"), F.col("name").alias("at_name"))), ["at_file", "at_name"], "left_anti")
     inline = inline.select(F.col("at_file").alias("file"), F.col("at_name").alias("name"), F.array().cast("array<long>").alias("way"), "at_file", "at_name", "node_id", "member", "type", "optional", "doc")
-    found = ancestry(held, names).join(members, ["at_file", "at_name"]).unionByName(inline)
+    found = ancestry(held, names).join(shuffled(members), ["at_file", "at_name"]).unionByName(inline)
     first = found.groupBy("file", "name", "member").agg(F.min(F.struct("way", "node_id", "at_file", "at_name", "type", "optional", "doc")).alias("m"))
     out = first.groupBy("file", "name").agg(F.array_sort(F.collect_list(F.struct("m.way", "m.node_id", "member", "m"))).alias("all"))  # the properties of one type
     out = out.select("file", "name", F.posexplode("all").alias("place", "x"))
@@ -165,7 +166,7 @@ def edges(held: DataFrame) -> DataFrame:
     props = kept(properties(held, names), "properties")
     named = props.select("file", "owner", "name", "said", "in_file", F.explode_outer(type_targets("said", F.concat_ws(".", "in_owner", "name"))).alias("want"))
     inline = F.col("want").contains(".")
-    met = named.join(names.select(F.col("file").alias("in_file"), F.col("name").alias("want"), "to_file", "to_name"), ["in_file", "want"], "left")
+    met = named.join(shuffled(names.select(F.col("file").alias("in_file"), F.col("name").alias("want"), "to_file", "to_name")), ["in_file", "want"], "left")
     target = F.when(inline, _key("in_file", "want")).otherwise(F.when(F.col("to_file").isNotNull(), _key("to_file", "to_name")))
     return kept(met.select(_key("file", "owner").alias("owner"), "name", "said", target.alias("target")), "edges")
 

@@ -82,3 +82,8 @@ def test_trees_know_no_limit_of_rows(spark, query, rows):
         assert catalogue.QUERIES[query](spark, "/root/testdata/sf0.001").count() == rows
     finally:
         spark.conf.unset(limit)
+
+
+def test_props_of_many_files_meet_by_shuffles(spark):
+    plan = catalogue.QUERIES["documented_props"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
