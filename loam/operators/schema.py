@@ -336,15 +336,15 @@ def schema_chunks(schemas: DataFrame) -> DataFrame:
 def with_schemas(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Component records with their own schema (null if there is none) and that of each dependency, in order.
 
-    schemas: component, schema; a row a component. Both are plain equi-joins; Spark picks broadcast or sort-merge by size.
+    schemas: component, schema; a row a component. Both are equi-joins by shuffles, since schemas are as many as records.
     A record goes through once: its rows, one for each dependency, meet again by component and file, and only the first
     of them carries the record's lists.
     """
-    own = records.join(schemas, "component", "left")
+    own = records.join(shuffled(schemas), "component", "left")
     lists = F.struct("schema", "jsxUsage", "internalComponents", "state", "functions")
     each = own.select("component", "file", lists.alias("rest"), F.posexplode_outer("dependencies").alias("at", "name"))
     each = each.withColumn("rest", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("rest")))
-    found = each.join(schemas.select(F.col("component").alias("name"), F.col("schema").alias("held")), "name", "left")
+    found = each.join(shuffled(schemas.select(F.col("component").alias("name"), F.col("schema").alias("held"))), "name", "left")
     nested = found.groupBy("component", "file").agg(F.first("rest", ignorenulls=True).alias("rest"), in_order(F.when(F.col("name").isNotNull(), F.struct("name", F.col("held").alias("schema"))), F.col("at")).alias("dependencies"))
     return nested.select("component", "file", "rest.schema", "dependencies", "rest.jsxUsage", "rest.internalComponents", "rest.state", "rest.functions")
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from loam.operators import chunks, extract, schema, scopes
+from loam.plans import catalogue
 from loam.syntax.nodes import ts_nodes
 
 PANEL = """import React, { useState } from "react";
@@ -136,3 +137,8 @@ def test_records_with_schemas(spark):
 def test_documents_without_definitions(spark):
     docs = spark.createDataFrame([("A", "{}"), ("B", None), ("C", "nonsense"), ("D", '{"definitions":{"X":{}}}')], "component string, schema string")
     assert schema.schema_chunks(docs).collect() == []
+
+
+def test_records_meet_their_schemas_by_shuffles(spark):
+    plan = catalogue.QUERIES["merged_rag_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
