@@ -74,7 +74,7 @@ def test_props_through_barrels_and_heads(spark):
     assert [p in got["Wide"] for p in ('"name":"y"', '"name":"n"', '"name":"up"', '"name":"x"')] == [True, True, True, False]
 
 
-@pytest.mark.parametrize(("query", "rows"), [("interface_trees", 3200), ("last_interface_trees", 600)])
+@pytest.mark.parametrize(("query", "rows"), [("interface_trees", 3200), ("last_interface_trees", 600), ("scoped_trees", 87)])
 def test_trees_know_no_limit_of_rows(spark, query, rows):
     limit = "spark.sql.cteRecursionRowLimit"  # a million by default: no query may hang on it
     spark.conf.set(limit, "20")
